@@ -21,25 +21,26 @@ from pyspark.sql import functions as F
 _ROOT = Path(__file__).resolve().parents[2]
 
 
+def position(df: DataFrame, name: str) -> int:
+    """Place of a column: an exactly spelt one wins over one that differs in
+    case, and of several columns with one name the first counts."""
+    columns = df.columns
+    folded = [c.lower() for c in columns]
+    if name in columns:
+        return columns.index(name)
+    if name.lower() in folded:
+        return folded.index(name.lower())
+    raise ValueError(f"column {name!r} is missing; the frame has {columns}")
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Project the named columns whatever else the frame holds.
 
-    An exactly spelt column wins over one that differs in case; of several
-    columns with one name the first counts. Renaming by position first keeps
-    clashing or dotted extra columns from making the reference ambiguous.
+    Renaming by position first keeps clashing or dotted extra columns from
+    making a reference ambiguous.
     """
-    columns = df.columns
-    folded = [c.lower() for c in columns]
-    chosen = []
-    for name in names:
-        if name in columns:
-            chosen.append(columns.index(name))
-        elif name.lower() in folded:
-            chosen.append(folded.index(name.lower()))
-        else:
-            raise ValueError(f"column {name!r} is missing; the frame has {columns}")
-    return df.toDF(*[f"_{i}" for i in range(len(columns))]).select(
-        *[F.col(f"_{i}").alias(n) for i, n in zip(chosen, names, strict=True)]
+    return df.toDF(*[f"_{i}" for i in range(len(df.columns))]).select(
+        *[F.col(f"_{position(df, n)}").alias(n) for n in names]
     )
 
 

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinfold.llm.frames import ship
+from twinfold.llm import bpe
+from twinfold.llm.frames import pick, ship
 from twinfold.llm.sharding import shuffle_into_shards
 
 
@@ -17,6 +18,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _vocabulary() -> tuple[str, str]:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pick(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    encoded = bpe.encode_documents(docs, *_vocabulary(), decode=True)
+    return bpe.digests(encoded).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shuffle_into_shards(_table(spark, sf_dir, "documents"), n_shards=40)
     return placed.select(
@@ -31,6 +44,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_byte_bpe": op3_byte_bpe,
     "op8_sharding": op8_sharding,
 }
 
