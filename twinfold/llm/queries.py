@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinfold.llm import bpe
+from twinfold.llm import bpe, decontam, secrets
 from twinfold.llm.frames import pick, ship
 from twinfold.llm.sharding import shuffle_into_shards
 
@@ -30,6 +30,25 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(encoded).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pick(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    out = decontam.decontaminate(docs, _table(spark, sf_dir, "benchmark"))
+    return out.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pick(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    out = secrets.span_digests(secrets.scan_secrets(docs))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shuffle_into_shards(_table(spark, sf_dir, "documents"), n_shards=40)
     return placed.select(
@@ -45,6 +64,8 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
+    "op6_decontamination": op6_decontamination,
+    "op7_secrets": op7_secrets,
     "op8_sharding": op8_sharding,
 }
 
