@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from twinfold.llm import bpe, decontam, secrets
 from twinfold.llm.frames import pick, ship
+from twinfold.llm.neardup import near_duplicates
 from twinfold.llm.sharding import shuffle_into_shards
 
 
@@ -62,11 +63,16 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
+
+
 QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op6_decontamination": op6_decontamination,
     "op7_secrets": op7_secrets,
     "op8_sharding": op8_sharding,
+    "op10_minhash_neardup": op10_minhash_neardup,
 }
 
 #: No registered operator but the URL filter can be stated in DuckDB SQL.
