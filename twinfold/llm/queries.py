@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinfold.llm import bpe, decontam, secrets
+from twinfold.llm import bpe, decontam, langid, lengths, secrets, urlfilter
 from twinfold.llm.frames import pick, ship
 from twinfold.llm.neardup import near_duplicates
 from twinfold.llm.sharding import shuffle_into_shards
@@ -25,12 +25,97 @@ def _vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pick(_table(spark, sf_dir, "documents"), "source", "text")
+    encoded = bpe.encode_documents(docs, *_vocabulary())
+    out = lengths.length_histogram(encoded.select("source", "n_tokens"), by=["source"])
+    # what all documents come to when the context ends at this length
+    return out.withColumn("tokens_truncated", F.col("tokens_below") + F.col("n_tokens") * F.col("docs_at_least"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pick(_table(spark, sf_dir, "documents"), "doc_id", "text")
     encoded = bpe.encode_documents(docs, *_vocabulary(), decode=True)
     return bpe.digests(encoded).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def listed_hosts(pages: DataFrame) -> DataFrame:
+    """A history of dated list entries, by rule from the hosts of a table.
+
+    The tables hold no URL list, so one is made: hosts and their first path
+    segments are added and removed on days that follow from their first page.
+    """
+    day = lambda n: F.date_add(F.lit("2023-01-01").cast("date"), n.cast("int"))
+    name = urlfilter.host(F.col("url"))
+    seen = pages.select(name.alias("host"), F.get(urlfilter.path_segments(F.col("url")), F.lit(0)).alias("top"), "page_id")
+    seen = seen.where("host != '' AND page_id IS NOT NULL")
+    hosts = seen.groupBy("host").agg(F.min("page_id").alias("p"))
+    tops = seen.where("top IS NOT NULL").groupBy("host", "top").agg(F.min("page_id").alias("p"))
+    first = F.pmod(F.col("p") * 17, F.lit(600))
+
+    def entries(rows, listed, kind, pattern, when, shift, action):
+        return rows.where(when).select(
+            F.lit(listed).alias("list"),
+            F.lit(kind).alias("kind"),
+            pattern.alias("pattern"),
+            day(first + shift).alias("listed_on"),
+            F.lit(action).alias("action"),
+        )
+
+    parent = F.regexp_replace("host", r"^[^.]+\.", "")
+    return (
+        entries(hosts, "hosts", "block", F.col("host"), F.col("p") % 3 != 2, 0, "add")
+        .union(entries(hosts, "hosts", "block", F.col("host"), F.col("p") % 2 == 0, 90, "remove"))
+        .union(entries(hosts, "hosts", "block", F.col("host"), F.col("p") % 4 == 0, 180, "add"))
+        .union(entries(hosts, "domains", "block", parent, F.col("p") % 5 == 0, 30, "add"))
+        .union(entries(tops, "sections", "allow", F.concat("host", F.lit("/"), "top"), F.col("p") % 2 == 1, 0, "add"))
+        .union(entries(tops, "sections", "allow", F.concat("host", F.lit("/"), "top"), F.col("p") % 3 == 1, 60, "remove"))
+    )
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = pick(_table(spark, sf_dir, "pages"), "page_id", "url")
+    # pages carry no fetch time; one follows from the id
+    fetched = F.date_add(F.lit("2023-01-01").cast("date"), F.pmod(F.col("page_id") * 131, F.lit(730)).cast("int"))
+    return urlfilter.filter_urls(pages.withColumn("fetched_on", fetched), listed_hosts(pages))
+
+
+OP5_SQL = r"""
+WITH captures AS (
+  SELECT page_id, url, CAST(DATE '2023-01-01' + CAST((page_id * 131) % 730 AS INTEGER) AS DATE) AS fetched_on,
+         regexp_replace(lower(regexp_extract(url, '{url}', 1)), '\.$', '') AS host,
+         list_filter(string_split(regexp_extract(url, '{url}', 2), '/'), lambda s: s <> '') AS segments,
+         row_number() OVER () AS tag
+  FROM pages),
+hosts AS (SELECT host, min(page_id) AS p, (min(page_id) * 17) % 600 AS d FROM captures WHERE host <> '' GROUP BY host),
+tops AS (SELECT host || '/' || segments[1] AS pattern, min(page_id) AS p, (min(page_id) * 17) % 600 AS d
+         FROM captures WHERE host <> '' AND len(segments) > 0 GROUP BY 1),
+entries AS (
+  SELECT 'hosts' AS list, 'block' AS kind, host AS pattern, d AS day, false AS removed FROM hosts WHERE p % 3 <> 2
+  UNION ALL SELECT 'hosts', 'block', host, d + 90, true FROM hosts WHERE p % 2 = 0
+  UNION ALL SELECT 'hosts', 'block', host, d + 180, false FROM hosts WHERE p % 4 = 0
+  UNION ALL SELECT 'domains', 'block', regexp_replace(host, '^[^.]+\.', ''), d + 30, false FROM hosts WHERE p % 5 = 0
+  UNION ALL SELECT 'sections', 'allow', pattern, d, false FROM tops WHERE p % 2 = 1
+  UNION ALL SELECT 'sections', 'allow', pattern, d + 60, true FROM tops WHERE p % 3 = 1),
+days AS (SELECT list, kind, pattern, DATE '2023-01-01' + CAST(day AS INTEGER) AS listed_on, bool_or(removed) AS removed
+         FROM entries GROUP BY ALL),
+spans AS (SELECT *, lead(listed_on) OVER (PARTITION BY list, kind, pattern ORDER BY listed_on) AS valid_to FROM days),
+asked AS (
+  SELECT tag, fetched_on, unnest(list_concat(
+    list_transform(range(1, len(string_split(host, '.')) + 1), lambda n: array_to_string(string_split(host, '.')[-n:], '.')),
+    list_transform(range(1, len(segments) + 1), lambda n: host || '/' || array_to_string(segments[1:n], '/')))) AS pattern
+  FROM captures WHERE host <> ''),
+hits AS (
+  SELECT tag, count(*) AS n, min(ROW(-length(a.pattern), kind, list, a.pattern)) AS b
+  FROM asked a JOIN spans s ON a.pattern = s.pattern AND NOT removed
+    AND fetched_on >= listed_on AND (valid_to IS NULL OR fetched_on < valid_to)
+  GROUP BY tag)
+SELECT page_id, url, fetched_on, coalesce(n, 0) AS n_active, b[4] AS decided_by, b[3] AS decided_list,
+       coalesce(b[2] = 'block', false) AS blocked
+FROM captures LEFT JOIN hits USING (tag)
+""".replace("{url}", urlfilter.URL)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pick(_table(spark, sf_dir, "documents"), "doc_id", "text")
     out = decontam.decontaminate(docs, _table(spark, sf_dir, "benchmark"))
@@ -63,20 +148,31 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.learn(langid.training_rows(docs))
+    held_out = F.coalesce(langid.fraction_of_crc(F.col("doc_id")) == 2, F.lit(False))
+    out = langid.identify(pick(docs, "doc_id", "text"), model)
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
 QUERIES = {
+    "op2_token_counts": op2_token_counts,
     "op3_byte_bpe": op3_byte_bpe,
+    "op5_url_filters": op5_url_filters,
     "op6_decontamination": op6_decontamination,
     "op7_secrets": op7_secrets,
     "op8_sharding": op8_sharding,
+    "op9_language_id": op9_language_id,
     "op10_minhash_neardup": op10_minhash_neardup,
 }
 
 #: No registered operator but the URL filter can be stated in DuckDB SQL.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_url_filters": OP5_SQL}
 
 
 def queries():
