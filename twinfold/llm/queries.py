@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinfold.llm import bpe, decontam, langid, lengths, secrets, urlfilter
+from twinfold.llm.ann import nearest_neighbours
 from twinfold.llm.frames import pick, ship
 from twinfold.llm.neardup import near_duplicates
 from twinfold.llm.sharding import shuffle_into_shards
@@ -25,6 +26,10 @@ def _vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_vantage_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"), k=10)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pick(_table(spark, sf_dir, "documents"), "source", "text")
     encoded = bpe.encode_documents(docs, *_vocabulary())
@@ -161,6 +166,7 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_vantage_trees": op1_vantage_trees,
     "op2_token_counts": op2_token_counts,
     "op3_byte_bpe": op3_byte_bpe,
     "op5_url_filters": op5_url_filters,
