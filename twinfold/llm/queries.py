@@ -13,6 +13,7 @@ from twinfold.llm import bpe, decontam, langid, lengths, secrets, urlfilter
 from twinfold.llm.ann import nearest_neighbours
 from twinfold.llm.frames import pick, ship
 from twinfold.llm.neardup import near_duplicates
+from twinfold.llm.siteextract import extract_text
 from twinfold.llm.sharding import shuffle_into_shards
 
 
@@ -44,6 +45,11 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(encoded).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = pick(_table(spark, sf_dir, "pages"), "page_id", "url", "html")
+    return extract_text(pages).select("page_id", "url", "text", "n_chars")
+
+
 def listed_hosts(pages: DataFrame) -> DataFrame:
     """A history of dated list entries, by rule from the hosts of a table.
 
@@ -169,6 +175,7 @@ QUERIES = {
     "op1_vantage_trees": op1_vantage_trees,
     "op2_token_counts": op2_token_counts,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_html_extraction": op4_html_extraction,
     "op5_url_filters": op5_url_filters,
     "op6_decontamination": op6_decontamination,
     "op7_secrets": op7_secrets,
