@@ -20,6 +20,8 @@ BLOCK = frozenset(
     "search section summary table tbody td tfoot th thead tr ul".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements nested deeper than this are taken as siblings, as browsers do.
+MOST_DEPTH = 512
 #: A start tag of the key closes an open element of the value, up to a border.
 _CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -43,6 +45,7 @@ _TAG = re.compile(
     r"""|(?P<comment>!--)|(?P<bogus>[!?/]))"""
 )
 _ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*))?)?""")
+_OPEN = re.compile("</?[A-Za-z]")
 _COMMENT_END = re.compile(r"--!?>")
 
 
@@ -68,6 +71,7 @@ def parse(page: str) -> Element:
     """The tree of a page. What is never closed ends with the page."""
     root = Element("#root", {})
     stack = [root]
+    flat: dict[str, int] = {}  # open elements that were too deep for the stack
     at, n, lower = 0, len(page), None
 
     def text(s: str):
@@ -89,6 +93,9 @@ def parse(page: str) -> Element:
             break
         m = _TAG.match(page, less)
         if m is None:
+            if _OPEN.match(page, less):
+                text(page[at:less])
+                break  # a tag that the page ends in is no text
             text(page[at : less + 1])
             at = less + 1
             continue
@@ -105,6 +112,9 @@ def parse(page: str) -> Element:
             at = stop + 1 if stop >= 0 else n
         elif m["end"]:
             tag = m["name"].lower()
+            if flat.get(tag):
+                flat[tag] -= 1
+                continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
                     del stack[i:]
@@ -133,5 +143,8 @@ def parse(page: str) -> Element:
                 after = page.find(">", stop)
                 at = after + 1 if stop < n and after >= 0 else n
             elif tag not in VOID:
-                stack.append(element)
+                if len(stack) < MOST_DEPTH:
+                    stack.append(element)
+                else:
+                    flat[tag] = flat.get(tag, 0) + 1
     return root
