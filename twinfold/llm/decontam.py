@@ -235,6 +235,37 @@ def _broadcast_items(benchmark: DataFrame, id_col: str, window: int, chunk_bytes
     return [*out, sc.broadcast(part)]
 
 
+def _load(chunks, window: int):
+    """The suffixes of each chunk; the last one stays for the next task."""
+    for b in chunks:
+        key = hashlib.sha256(repr((window, b.value)).encode()).hexdigest()
+        if key not in _suffixes:
+            _suffixes.clear()
+            _suffixes[key] = Suffixes.of(b.value, window)
+        yield _suffixes[key]
+
+
+def remove_contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    window: int = 10,
+    chunk_bytes: int = 8 << 20,
+    shard_rows: int = 8192,
+) -> DataFrame:
+    """The rows without any hit word, with the columns they came with."""
+    chunks = _broadcast_items(benchmark, "item_id", window, chunk_bytes)
+    at, arrow = position(docs, "text"), to_arrow_schema(docs.schema)
+
+    def work(batches):
+        one = list(_load(chunks, window)) if len(chunks) == 1 else None
+        for part in slices(batches, most_rows=shard_rows, most_bytes=48 << 20):
+            texts = part.column(at).cast(pa.binary()).to_pylist()
+            _, n_hit, _ = _shard_rows([t or b"" for t in texts], one or _load(chunks, window))
+            yield part.filter(pa.array(n_hit == 0, pa.bool_())).cast(arrow)
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def decontaminate(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -264,19 +295,11 @@ def decontaminate(
     schema = StructType([docs.schema.fields[i] for i in kept] + added)
     arrow, at = to_arrow_schema(schema), position(docs, "text")
 
-    def load():
-        for b in chunks:
-            key = hashlib.sha256(repr((window, b.value)).encode()).hexdigest()
-            if key not in _suffixes:
-                _suffixes.clear()
-                _suffixes[key] = Suffixes.of(b.value, window)
-            yield _suffixes[key]
-
     def work(batches):
-        one = list(load()) if len(chunks) == 1 else None
+        one = list(_load(chunks, window)) if len(chunks) == 1 else None
         for part in slices(batches, most_rows=shard_rows, most_bytes=48 << 20):
             texts = part.column(at).cast(pa.binary()).to_pylist()
-            n_words, n_hit, items = _shard_rows([t or b"" for t in texts], one or load())
+            n_words, n_hit, items = _shard_rows([t or b"" for t in texts], one or _load(chunks, window))
             same = [part.column(i).cast(arrow.field(k).type) for k, i in enumerate(kept)]
             columns = [
                 pa.array(n_words, pa.int64()),

@@ -265,3 +265,22 @@ def identify(docs: DataFrame, model: LanguageFilter) -> DataFrame:
             yield pa.RecordBatch.from_arrays(same + columns, schema=arrow)
 
     return docs.mapInArrow(work, schema)
+
+
+def keep_identified(docs: DataFrame, model: LanguageFilter, least: float = 0.2) -> DataFrame:
+    """The rows whose language is known, with the columns they came with.
+
+    Rejected are ``und`` texts and those with a score below ``least``: fewer
+    of their n-grams than that belong to any learned language.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.masks))
+    at, arrow = position(docs, "text"), to_arrow_schema(docs.schema)
+
+    def work(batches):
+        judge = LanguageFilter(*shared.value).decide
+        for part in slices(batches):
+            found = [judge(t) for t in part.column(at).to_pylist()]
+            keep = pa.array([name != UNDETERMINED and score >= least for name, score in found], pa.bool_())
+            yield part.filter(keep).cast(arrow)
+
+    return docs.mapInArrow(work, docs.schema)

@@ -21,7 +21,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _vocabulary() -> tuple[str, str]:
+def vocabulary() -> tuple[str, str]:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -33,7 +33,7 @@ def op1_vantage_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pick(_table(spark, sf_dir, "documents"), "source", "text")
-    encoded = bpe.encode_documents(docs, *_vocabulary())
+    encoded = bpe.encode_documents(docs, *vocabulary())
     out = lengths.length_histogram(encoded.select("source", "n_tokens"), by=["source"])
     # what all documents come to when the context ends at this length
     return out.withColumn("tokens_truncated", F.col("tokens_below") + F.col("n_tokens") * F.col("docs_at_least"))
@@ -41,7 +41,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pick(_table(spark, sf_dir, "documents"), "doc_id", "text")
-    encoded = bpe.encode_documents(docs, *_vocabulary(), decode=True)
+    encoded = bpe.encode_documents(docs, *vocabulary(), decode=True)
     return bpe.digests(encoded).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
