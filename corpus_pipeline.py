@@ -1,18 +1,89 @@
-"""The corpus pipeline: stages of the training-data operators, in order."""
+"""The corpus pipeline: stages of the training-data operators, in order.
+
+Every stage takes ``(spark, docs, sf_dir)`` and returns what it keeps, with the
+columns of ``docs``; the last returns the encoded documents. Null and empty
+texts go in the first stage, as they have no language.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from twinfold.llm import bpe, decontam, langid, secrets
+from twinfold.llm.frames import pick, position, ship, stage, unstage
+from twinfold.llm.neardup import near_duplicates
+from twinfold.llm.queries import vocabulary
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the languages learned from the labelled ones."""
+    ship(spark)
+    return langid.keep_identified(docs, langid.learn(langid.training_rows(docs)))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, that of the smallest id."""
+    ship(spark)
+    at, text = f"_{position(docs, 'doc_id')}", f"_{position(docs, 'text')}"
+    rows = docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])
+    # a row without an id goes by its text, behind all that have one
+    by_text = F.shiftrightunsigned(F.xxhash64(text), 1).bitwiseOR(F.lit(1 << 62))
+    rows = rows.withColumn("key", F.coalesce(F.col(at).cast("long"), by_text))
+    judged = near_duplicates(rows.select(F.col("key").alias("doc_id"), F.col(text).alias("text")), percent=85)
+    kept = judged.where("kept").select(F.col("doc_id").alias("key")).distinct()
+    # repeated rows share their key, by which the join has dealt them already
+    first = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64(text)))
+    one = rows.join(kept, "key", "left_semi").withColumn("first", first).where("first = 1")
+    return one.drop("key", "first").toDF(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    ship(spark)
+    return decontam.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets masked and ``n_chars`` brought up to date."""
+    ship(spark)
+    masked = secrets.redact_secrets(docs)
+    names, text = masked.columns, position(docs, "text")
+    rows = masked.toDF(*[f"_{i}" for i in range(len(names))])
+    if "n_chars" in names:
+        at = f"_{names.index('n_chars')}"
+        rows = rows.withColumn(at, F.coalesce(F.length(f"_{text}").cast("long"), F.col(at)))
+    return rows.toDF(*names)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of every document, little-endian unsigned 32-bit integers,
+    and whether they decode to its text."""
+    ship(spark)
+    rows = pick(docs, "doc_id", "lang", "source", "text")
+    encoded = bpe.encode_documents(rows, *vocabulary(), decode=True)
+    whole = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
+    return encoded.select("doc_id", "lang", "source", "n_tokens", "ids", whole.alias("round_trip"))
+
 
-STAGES: list = []
+STAGES = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("secret_scan", secret_scan),
+    ("encoding", encoding),
+]
 
 #: The learned stages cannot be stated in SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages in turn to the documents."""
+    """Apply the stages in turn to the documents, each to what the last wrote."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for number, (_, apply) in enumerate(STAGES, 1):
+        given, docs = docs, apply(spark, docs, sf_dir)
+        if number < len(STAGES):
+            docs = stage(docs)
+            unstage(given)
     return docs
