@@ -88,7 +88,8 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = pick(_table(spark, sf_dir, "pages"), "page_id", "url")
     # pages carry no fetch time; one follows from the id
     fetched = F.date_add(F.lit("2023-01-01").cast("date"), F.pmod(F.col("page_id") * 131, F.lit(730)).cast("int"))
-    return urlfilter.filter_urls(pages.withColumn("fetched_on", fetched), listed_hosts(pages))
+    out = urlfilter.filter_urls(pages.withColumn("fetched_on", fetched), listed_hosts(pages))
+    return out.withColumn("fetched_on", F.col("fetched_on").cast("string"))
 
 
 OP5_SQL = r"""
@@ -121,7 +122,7 @@ hits AS (
   FROM asked a JOIN spans s ON a.pattern = s.pattern AND NOT removed
     AND fetched_on >= listed_on AND (valid_to IS NULL OR fetched_on < valid_to)
   GROUP BY tag)
-SELECT page_id, url, fetched_on, coalesce(n, 0) AS n_active, b[4] AS decided_by, b[3] AS decided_list,
+SELECT page_id, url, CAST(fetched_on AS VARCHAR) AS fetched_on, coalesce(n, 0) AS n_active, b[4] AS decided_by, b[3] AS decided_list,
        coalesce(b[2] = 'block', false) AS blocked
 FROM captures LEFT JOIN hits USING (tag)
 """.replace("{url}", urlfilter.URL)
