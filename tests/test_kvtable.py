@@ -1,0 +1,141 @@
+"""The counted table: stated cases, and random logs against a plain model."""
+
+import random
+
+import pytest
+
+from twinfold.operators import kvtable
+from twinfold.operators.kvtable import LOG, HashTable, capacity_family
+
+
+class Model:
+    """What the table does, entry by entry."""
+
+    def __init__(self, size):
+        self.size, self.entries = size, []
+
+    def apply(self, op, key, data):
+        if op == "I":
+            self.entries = [(k, data if k == key else d) for k, d in self.entries] + [(key, data)]
+            if len(self.entries) >= self.size // 2:
+                self.size *= 2
+        else:
+            for i, (k, _) in enumerate(self.entries):
+                if k == key:
+                    del self.entries[i]
+                    break
+            if 0 < len(self.entries) <= self.size // 8:
+                self.size //= 2
+
+    def state(self):
+        return sorted({(k, sum(x == k for x, _ in self.entries), d) for k, d in self.entries}, key=str)
+
+
+def table(spark, ops, **options):
+    rows = [(i, op, k, d) for i, (op, k, d) in enumerate(ops, 1)]
+    return HashTable(spark.createDataFrame(rows, LOG), **options)
+
+
+def found(t):
+    return sorted([tuple(r) for r in t.state().collect()], key=str)
+
+
+@pytest.mark.parametrize(
+    "ops, state",
+    [
+        ([("I", "a", "1"), ("I", "a", "2"), ("R", "a", None)], [("a", 1, "2")]),
+        ([("R", "b", None), ("I", "b", "9")], [("b", 1, "9")]),
+        (
+            [("I", "a", "1"), ("I", "a", "2"), ("R", "a", None), ("R", "a", None), ("R", "a", None), ("I", "a", "5")],
+            [("a", 1, "5")],
+        ),
+        ([("I", "c", None)], [("c", 1, None)]),
+        ([("I", "abcdef", "1233"), ("I", "str4~", "1233"), ("R", "str4~", None)], [("abcdef", 1, "1233")]),
+    ],
+)
+def test_stated_cases(spark, ops, state):
+    assert found(table(spark, ops)) == state
+
+
+def test_null_data_have_a_size_but_do_not_exist(spark):
+    t = table(spark, [("I", "c", None), ("I", "d", "1")])
+    probes = spark.createDataFrame([("c",), ("d",), ("e",)], "key string")
+    assert t.size().first()["size"] == 2
+    assert {r.key: r.exists for r in t.exist(probes).collect()} == {"c": False, "d": True, "e": False}
+    assert {r.key: r.data for r in t.search(probes).collect()} == {"c": None, "d": "1", "e": None}
+    assert [r.key for r in t.existing(probes).collect()] == ["d"]
+
+
+def test_set_insert_and_remove(spark):
+    t = HashTable.empty(spark)
+    assert t.is_empty().first()["is_empty"]
+    t = t.insert(spark.createDataFrame([(1, "k"), (2, "k")], "seq long, key string"))
+    assert found(t) == [("k", 2, "1")]
+    t = t.remove(spark.createDataFrame([(3, "k")], "seq long, key string"))
+    assert found(t) == [("k", 1, "1")] and not t.is_empty().first()["is_empty"]
+
+
+@pytest.mark.parametrize("size", [1, 0, -3])
+def test_bad_size(spark, size):
+    with pytest.raises(ValueError):
+        HashTable.empty(spark, init_size=size)
+
+
+def test_null_key_raises(spark):
+    with pytest.raises(Exception, match="null key"):
+        table(spark, [("I", None, "1")]).state().collect()
+
+
+def test_normalized_keys_keep_the_last_spelling(spark):
+    from pyspark.sql import functions as F
+
+    t = table(spark, [("I", "Ab", "1"), ("I", "aB", "2"), ("R", "AB", None)], key_normalizer=F.lower)
+    assert found(t) == [("aB", 1, "2")]
+    probe = spark.createDataFrame([("AB",)], "key string")
+    assert t.search(probe).first()["data"] == "2"
+
+
+@pytest.mark.parametrize(
+    "ops, capacity",
+    [
+        ([], 997),
+        ([("R", "x", None)], 997),
+        ([("I", "a", "1"), ("R", "b", None)], 498),
+        ([("I", "a", "1"), ("I", "b", "1"), ("R", "a", None)], 498),
+        ([("I", str(i), "1") for i in range(497)], 997),
+        ([("I", str(i), "1") for i in range(498)], 1994),
+        ([("I", str(i), "1") for i in range(997)], 3988),
+    ],
+)
+def test_capacity(spark, ops, capacity):
+    assert table(spark, ops).capacity().first()["capacity"] == capacity
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_random_logs(spark, monkeypatch, seed):
+    """Short stretches, so that keys, folds and compositions cross many of them."""
+    rng = random.Random(seed)
+    monkeypatch.setattr(kvtable, "STRETCH", 16)
+    monkeypatch.setattr(kvtable, "FOLD", 8)
+    monkeypatch.setattr(kvtable, "FAN", 3)
+    size, model, ops = rng.randint(2, 39), None, []
+    model = Model(size)
+    sizes = []
+    for _ in range(300):
+        op = (rng.choice("IR" if rng.random() < 0.5 else "IIR"), rng.choice("abcde"), rng.choice(["1", "2", None]))
+        ops.append(op)
+        model.apply(*op)
+        sizes.append(len(model.entries))
+    t = table(spark, ops, init_size=size)
+    assert found(t) == model.state()
+    assert [r.n for r in t.running_sizes().orderBy("seq").collect()] == sizes
+    assert t.size().first()["size"] == len(model.entries)
+    assert t.capacity().first()["capacity"] == model.size
+
+
+def test_capacity_family_is_closed():
+    for initial in (2, 3, 997, 1024):
+        family = set(capacity_family(initial, 500))
+        for c in family:
+            assert c // 2 in family
+            assert c > 2004 or c > initial or c * 2 in family

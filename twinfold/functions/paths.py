@@ -52,7 +52,8 @@ def target_directories(path: Column) -> Column:
         F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.array_join(F.slice(parts, 1, n), "/")
     )
     none = F.array().cast("array<string>")
-    return F.when(F.size(parts) < 2, none).otherwise(F.array_distinct(F.filter(prefixes, lambda p: p != "")))
+    some = F.array_distinct(F.filter(prefixes, lambda p: p != ""))
+    return F.when(F.size(parts) < 2, none).when(path.isNotNull(), some)
 
 
 def compare_keys(a: Column, b: Column) -> Column:
