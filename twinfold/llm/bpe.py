@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from twinfold.llm.frames import position, slices
+from twinfold.llm.frames import position, slices, tidy
 
 #: The white space of the pattern: the Unicode property, not Python's notion.
 _SPACE = r"\t-\r\x20\x85\xa0  -     　"
@@ -216,6 +216,13 @@ def codec(vocabulary: bytes, pattern: str) -> BytePairCodec:
     return _codecs[key]
 
 
+def forget() -> None:
+    """Drop what the codecs of this worker remember; the vocabularies stay."""
+    for c in _codecs.values():
+        c.pieces, c.older = {}, {}
+        c.memo.clear()
+
+
 def encode_documents(docs: DataFrame, vocabulary_path: str, pattern: str, decode: bool = False) -> DataFrame:
     """Add ``n_tokens`` and ``ids`` (and ``decoded``) to every row.
 
@@ -246,7 +253,7 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, pattern: str, decode
             same = [part.column(i).cast(arrow.field(k).type) for k, i in enumerate(kept)]
             yield pa.RecordBatch.from_arrays(same + columns, schema=arrow)
 
-    return docs.mapInArrow(work, schema)
+    return docs.mapInArrow(tidy(work, forget), schema)
 
 
 def digests(encoded: DataFrame) -> DataFrame:

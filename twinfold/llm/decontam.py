@@ -26,7 +26,7 @@ from pyspark.sql.types import (
     StructType,
 )
 
-from twinfold.llm.frames import pick, position, slices
+from twinfold.llm.frames import pick, position, slices, tidy
 
 #: Lower-cases A-Z and blanks every byte that is not of a word.
 _TABLE = bytes(
@@ -263,7 +263,7 @@ def remove_contaminated(
             _, n_hit, _ = _shard_rows([t or b"" for t in texts], one or _load(chunks, window))
             yield part.filter(pa.array(n_hit == 0, pa.bool_())).cast(arrow)
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(tidy(work), docs.schema)
 
 
 def decontaminate(
@@ -309,7 +309,7 @@ def decontaminate(
             ]
             yield pa.RecordBatch.from_arrays(same + columns, schema=arrow)
 
-    return docs.mapInArrow(work, schema)
+    return docs.mapInArrow(tidy(work), schema)
 
 
 def longest_matches(
@@ -351,7 +351,7 @@ def longest_matches(
     rows = pick(docs, "doc_id", "text").select("doc_id", F.col("text").cast("binary").alias("text"))
     best = F.max(F.struct("n_words", (-F.col("doc_id")).alias("d"), (-F.col("doc_word")).alias("w")))
     return (
-        rows.mapInArrow(work, out)
+        rows.mapInArrow(tidy(work), out)
         .groupBy("item_id", "item_word")
         .agg(best.alias("b"))
         .select("item_id", "item_word", "b.n_words", (-F.col("b.d")).alias("doc_id"), (-F.col("b.w")).alias("doc_word"))

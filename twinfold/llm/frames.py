@@ -7,6 +7,8 @@ folder of the cluster, and the rules every operator follows for both.
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import math
 import os
 import tempfile
@@ -107,6 +109,34 @@ def ship(spark: SparkSession) -> None:
     sc._twinfold_shipped = True
 
 
+def release() -> None:
+    """Give memory that this worker process has freed back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(work, *forget):
+    """Wrap a function of batches so that no task leaves memory behind.
+
+    Worker processes serve one task after another, of this stage and of later
+    ones; what a task remembers to be fast is forgotten when it ends.
+    """
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            for f in forget:
+                f()
+            release()
+
+    return run
+
+
 def power_of_two(least: float) -> int:
     return 1 << max(0, math.ceil(math.log2(max(1.0, least))))
 

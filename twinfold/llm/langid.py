@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from twinfold.llm.frames import pick, position, slices
+from twinfold.llm.frames import pick, position, slices, tidy
 
 #: Lengths of the n-grams, in characters.
 ORDERS = (2, 3, 4)
@@ -195,7 +195,7 @@ def learn(labelled: DataFrame, sample_rows: int = 3000, least_share: float = 0.0
                     held, rows, size = {}, {}, 0
         yield from emit()
 
-    counted = sample.mapInArrow(count, "k int, gram long, n long").groupBy("gram", "k").agg(F.sum("n").alias("n")).cache()
+    counted = sample.mapInArrow(tidy(count), "k int, gram long, n long").groupBy("gram", "k").agg(F.sum("n").alias("n")).cache()
     seen = {r["k"]: r["n"] for r in counted.where("gram = 0").collect()}  # one row for each language
     totals = spark.createDataFrame([(k, n) for k, n in seen.items()] or [(-1, 1)], "k int, total long")
     share = F.col("n") / F.col("total")
@@ -264,7 +264,7 @@ def identify(docs: DataFrame, model: LanguageFilter) -> DataFrame:
             columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(same + columns, schema=arrow)
 
-    return docs.mapInArrow(work, schema)
+    return docs.mapInArrow(tidy(work), schema)
 
 
 def keep_identified(docs: DataFrame, model: LanguageFilter, least: float = 0.2) -> DataFrame:
@@ -283,4 +283,4 @@ def keep_identified(docs: DataFrame, model: LanguageFilter, least: float = 0.2)
             keep = pa.array([name != UNDETERMINED and score >= least for name, score in found], pa.bool_())
             yield part.filter(keep).cast(arrow)
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(tidy(work), docs.schema)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinfold.llm.components import connected_components
-from twinfold.llm.frames import pick, slices, stage, unstage
+from twinfold.llm.frames import pick, slices, stage, tidy, unstage
 
 SHINGLE = 5
 BANDS, ROWS, SKETCH_SAMPLES, SKETCH_BITS = 24, 5, 128, 512
@@ -58,6 +58,10 @@ class _Words(dict):
 _words = _Words()
 
 
+def _forget() -> None:
+    _words.clear()
+
+
 def split_words(text: bytes) -> list[bytes]:
     """A-Z lower-cased; runs of anything but ASCII space and \\t to \\r."""
     return text.lower().split()
@@ -290,7 +294,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, slack: float = 0.17) ->
     source = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     signed = stage(
         source.mapInArrow(
-            _signatures, "doc_id long, node binary, n_shingles long, bands array<long>, sketch binary"
+            tidy(_signatures, _forget), "doc_id long, node binary, n_shingles long, bands array<long>, sketch binary"
         )
     )
     some = signed.where("node IS NOT NULL")
@@ -308,7 +312,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, slack: float = 0.17) ->
     members = in_bands.join(shared, "key").join(nodes.select("node", "n", "sketch"), "node")
     blocks = F.ceil(F.col("members") / BUCKET_BLOCK).cast("int")
     maybe = _dealt(members.select("key", "members", "node", "n", "sketch"), "key", blocks).mapInArrow(
-        _bucket_links(percent, slack), "a binary, b binary"
+        tidy(_bucket_links(percent, slack)), "a binary, b binary"
     )
     group = stage(connected_components(maybe))
 
@@ -317,10 +321,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, slack: float = 0.17) ->
     totals = grouped.groupBy("component").agg(F.sum("n").alias("members"))
     wanted = grouped.select("doc_id").distinct()
     texts = source.join(wanted, source["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
-    sets = texts.mapInArrow(_sets, "node binary, content binary").dropDuplicates(["node"])
+    sets = texts.mapInArrow(tidy(_sets, _forget), "node binary, content binary").dropDuplicates(["node"])
     chosen = group.join(totals, "component").join(sets, "node").select("component", "members", "node", "content")
     blocks = F.ceil(F.col("members") / GROUP_BLOCK).cast("int")
-    links = _dealt(chosen, "component", blocks).mapInArrow(_group_links(percent), "a binary, b binary")
+    links = _dealt(chosen, "component", blocks).mapInArrow(tidy(_group_links(percent)), "a binary, b binary")
     joined = connected_components(links)
 
     named = nodes.select("node", F.col("doc_id").alias("own")).join(joined, "node", "left")

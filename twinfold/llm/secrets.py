@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from twinfold.llm.frames import position, slices
+from twinfold.llm.frames import position, slices, tidy
 
 #: Sets of strings larger than this are given up for their trigrams.
 _MOST_EXACT, _MOST_CLASS = 128, 16
@@ -263,7 +263,7 @@ def _mapped(docs: DataFrame, rules, added: list[StructField], make: Callable) ->
             columns = [pa.array(c, arrow.field(f.name).type) for f, c in zip(added, make(given, found), strict=True)]
             yield pa.RecordBatch.from_arrays(same + columns, schema=arrow)
 
-    return docs.mapInArrow(work, schema)
+    return docs.mapInArrow(tidy(work), schema)
 
 
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -312,7 +312,7 @@ def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str =
             columns[at] = pa.array([masked(t, s) for t, s in zip(given, found, strict=True)], arrow.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    return docs.mapInArrow(work, schema)
+    return docs.mapInArrow(tidy(work), schema)
 
 
 def span_digests(scanned: DataFrame) -> DataFrame:

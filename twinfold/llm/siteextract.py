@@ -23,7 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from twinfold.llm.dom import BLOCK, Element, parse
-from twinfold.llm.frames import pick, slices, stage
+from twinfold.llm.frames import pick, slices, stage, tidy
 from twinfold.llm.urlfilter import host
 
 # fixed values: elements, roles and words of class names that are no article text
@@ -213,7 +213,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
     seen = stage(
         pages.where("host IS NOT NULL AND host != ''")
         .select("host", "html")
-        .mapInArrow(_observed, _OBSERVED)
+        .mapInArrow(tidy(_observed), _OBSERVED)
         .groupBy("host", "page")
         .agg(F.first("nodes").alias("nodes"), F.first("texts").alias("texts"))
     )
@@ -322,4 +322,4 @@ def extract_text(pages: DataFrame) -> DataFrame:
             columns = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(same + columns, schema=arrow)
 
-    return rows.mapInArrow(work, inner).toDF(*[pages.columns[i] for i in kept], "text", "n_chars")
+    return rows.mapInArrow(tidy(work), inner).toDF(*[pages.columns[i] for i in kept], "text", "n_chars")
