@@ -14,6 +14,8 @@ from twinfold.operators import dedup
 from twinfold.operators.bigtable import BigTable
 from twinfold.operators.kvtable import HashTable
 from twinfold.operators.listdb import ListDB
+from twinfold.sources.tables import read_table as _table
+from twinfold.sources.tables import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -27,8 +29,6 @@ def _query(name: str, sql: str):
     return register
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 # --- the counted table, over a log made from the events ---------------------
@@ -257,6 +257,13 @@ def _by_doc(spark: SparkSession, sf_dir: str, **columns: Column) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", *[c.alias(n) for n, c in columns.items()])
 
 
+def _folded(spark: SparkSession, sf_dir: str, **columns: Column) -> DataFrame:
+    """The same for columns that fold every byte, which a whole row group in
+    one task would be slow to do."""
+    docs = spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", *[c.alias(n) for n, c in columns.items()])
+
+
 @_query("md5_hex", "SELECT doc_id, md5(text) AS digest FROM documents")
 def md5_hex(spark, sf_dir):
     return _by_doc(spark, sf_dir, digest=digests.md5_hex(F.col("text")))
@@ -295,12 +302,12 @@ _RSYNC = "(h // 65536 + h % 65536 + c) % 65536 * 65536 + (h % 65536 + c) % 65536
 
 @_query("adler32", f"SELECT doc_id, {_fold_sql('text', '1', _ADLER)} AS checksum FROM documents")
 def adler32(spark, sf_dir):
-    return _by_doc(spark, sf_dir, checksum=checksums.adler32(F.col("text")))
+    return _folded(spark, sf_dir, checksum=checksums.adler32(F.col("text")))
 
 
 @_query("adler32_rsync", f"SELECT doc_id, {_fold_sql('text', '0', _RSYNC)} AS checksum FROM documents")
 def adler32_rsync(spark, sf_dir):
-    return _by_doc(spark, sf_dir, checksum=checksums.adler32_rsync(F.col("text")))
+    return _folded(spark, sf_dir, checksum=checksums.adler32_rsync(F.col("text")))
 
 
 @_query(
@@ -379,7 +386,7 @@ for _name in HASHES:
     "SELECT doc_id, " + ", ".join(f"{hash_sql(n, 'text')} AS {n}" for n in ("ap", "js", "rs", "fnv")) + " FROM documents",
 )
 def hash_documents(spark, sf_dir):
-    return _by_doc(spark, sf_dir, **{n: HASHES[n](F.col("text")) for n in ("ap", "js", "rs", "fnv")})
+    return _folded(spark, sf_dir, **{n: HASHES[n](F.col("text")) for n in ("ap", "js", "rs", "fnv")})
 
 
 @_query(
