@@ -14,6 +14,7 @@ from twinfold.llm import bpe, decontam, langid, secrets
 from twinfold.llm.frames import pick, position, ship, stage, unstage
 from twinfold.llm.neardup import near_duplicates
 from twinfold.llm.queries import vocabulary
+from twinfold.sources.tables import read_table, spread
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -80,7 +81,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages in turn to the documents, each to what the last wrote."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(read_table(spark, sf_dir, "documents"))
     for number, (_, apply) in enumerate(STAGES, 1):
         given, docs = docs, apply(spark, docs, sf_dir)
         if number < len(STAGES):
