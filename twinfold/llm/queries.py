@@ -13,12 +13,14 @@ from twinfold.llm import bpe, decontam, langid, lengths, secrets, urlfilter
 from twinfold.llm.ann import nearest_neighbours
 from twinfold.llm.frames import pick, ship
 from twinfold.llm.neardup import near_duplicates
-from twinfold.llm.siteextract import extract_text
 from twinfold.llm.sharding import shuffle_into_shards
+from twinfold.llm.siteextract import extract_text
+from twinfold.sources.tables import read_table, spread
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def _spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose every row is work for Python workers."""
+    return spread(read_table(spark, sf_dir, name))
 
 
 def vocabulary() -> tuple[str, str]:
@@ -28,11 +30,11 @@ def vocabulary() -> tuple[str, str]:
 
 
 def op1_vantage_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest_neighbours(_table(spark, sf_dir, "embeddings"), k=10)
+    return nearest_neighbours(read_table(spark, sf_dir, "embeddings"), k=10)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = pick(_table(spark, sf_dir, "documents"), "source", "text")
+    docs = pick(_spread(spark, sf_dir, "documents"), "source", "text")
     encoded = bpe.encode_documents(docs, *vocabulary())
     out = lengths.length_histogram(encoded.select("source", "n_tokens"), by=["source"])
     # what all documents come to when the context ends at this length
@@ -40,13 +42,13 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = pick(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    docs = pick(_spread(spark, sf_dir, "documents"), "doc_id", "text")
     encoded = bpe.encode_documents(docs, *vocabulary(), decode=True)
     return bpe.digests(encoded).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = pick(_table(spark, sf_dir, "pages"), "page_id", "url", "html")
+    pages = pick(_spread(spark, sf_dir, "pages"), "page_id", "url", "html")
     return extract_text(pages).select("page_id", "url", "text", "n_chars")
 
 
@@ -85,7 +87,7 @@ def listed_hosts(pages: DataFrame) -> DataFrame:
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = pick(_table(spark, sf_dir, "pages"), "page_id", "url")
+    pages = pick(read_table(spark, sf_dir, "pages"), "page_id", "url")
     # pages carry no fetch time; one follows from the id
     fetched = F.date_add(F.lit("2023-01-01").cast("date"), F.pmod(F.col("page_id") * 131, F.lit(730)).cast("int"))
     out = urlfilter.filter_urls(pages.withColumn("fetched_on", fetched), listed_hosts(pages))
@@ -129,8 +131,8 @@ FROM captures LEFT JOIN hits USING (tag)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = pick(_table(spark, sf_dir, "documents"), "doc_id", "text")
-    out = decontam.decontaminate(docs, _table(spark, sf_dir, "benchmark"))
+    docs = pick(_spread(spark, sf_dir, "documents"), "doc_id", "text")
+    out = decontam.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
     return out.select(
         "doc_id",
         "n_words",
@@ -142,13 +144,13 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = pick(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    docs = pick(_spread(spark, sf_dir, "documents"), "doc_id", "text")
     out = secrets.span_digests(secrets.scan_secrets(docs))
     return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = shuffle_into_shards(_table(spark, sf_dir, "documents"), n_shards=40)
+    placed = shuffle_into_shards(read_table(spark, sf_dir, "documents"), n_shards=40)
     return placed.select(
         "doc_id",
         "size",
@@ -161,7 +163,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = _spread(spark, sf_dir, "documents")
     model = langid.learn(langid.training_rows(docs))
     held_out = F.coalesce(langid.fraction_of_crc(F.col("doc_id")) == 2, F.lit(False))
     out = langid.identify(pick(docs, "doc_id", "text"), model)
@@ -169,7 +171,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
+    return near_duplicates(_spread(spark, sf_dir, "documents"), percent=85)
 
 
 QUERIES = {
