@@ -3,6 +3,11 @@
 Both steps point nodes at the smallest id around them; in a few rounds every
 node points straight at the smallest of its component. Edges stay in tables;
 only their number and a checksum reach the driver.
+
+The node in the middle of a large component has an edge to all the others. So
+the smallest neighbours, which are summed before they are shuffled, are written
+down first and then joined: a join of two tables is one whose large partitions
+Spark splits at run time, or a broadcast if the smaller one is small enough.
 """
 
 from __future__ import annotations
@@ -13,24 +18,24 @@ from pyspark.sql import functions as F
 from twinfold.llm.frames import stage, unstage
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Larger neighbours of a node go to the smallest of it and its neighbours."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    return (
-        both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-    )
+    least = stage(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")))
+    moved = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.where("a != b").distinct(), least
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A node and its smaller neighbours go to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    return (
+    least = stage(down.groupBy("a").agg(F.min("b").alias("m")))
+    moved = (
         down.join(least, "a")
         .select(F.explode(F.array(F.struct(F.col("b").alias("a"), "m"), F.struct("a", "m"))).alias("e"))
         .select("e.a", F.col("e.m").alias("b"))
-        .where("a != b")
-        .distinct()
     )
+    return moved.where("a != b").distinct(), least
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -46,8 +51,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if row[0] == 0 or tuple(row) == mark:
             break
         mark = tuple(row)
-        fresh = stage(_small_star(_large_star(edges)))
-        unstage(edges)
-        edges = fresh
+        for step in (_large_star, _small_star):
+            moved, least = step(edges)
+            fresh = stage(moved)
+            unstage(edges, least)
+            edges = fresh
     roots = edges.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("component"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)

@@ -308,7 +308,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, slack: float = 0.17) ->
         )
     )
     in_bands = nodes.select("node", F.explode("bands").alias("key"))
-    shared = in_bands.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    # counts are written down before they are joined, so that the join of a hot
+    # bucket or group has two plain sides and is split at run time
+    shared = stage(in_bands.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"))
     members = in_bands.join(shared, "key").join(nodes.select("node", "n", "sketch"), "node")
     blocks = F.ceil(F.col("members") / BUCKET_BLOCK).cast("int")
     maybe = _dealt(members.select("key", "members", "node", "n", "sketch"), "key", blocks).mapInArrow(
@@ -318,7 +320,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, slack: float = 0.17) ->
 
     # whole sets of the grouped sequences, read again from one row of each
     grouped = group.join(nodes.select("node", "doc_id", "n"), "node")
-    totals = grouped.groupBy("component").agg(F.sum("n").alias("members"))
+    totals = stage(grouped.groupBy("component").agg(F.sum("n").alias("members")))
     wanted = grouped.select("doc_id").distinct()
     texts = source.join(wanted, source["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
     sets = texts.mapInArrow(tidy(_sets, _forget), "node binary, content binary").dropDuplicates(["node"])
@@ -327,15 +329,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, slack: float = 0.17) ->
     links = _dealt(chosen, "component", blocks).mapInArrow(tidy(_group_links(percent)), "a binary, b binary")
     joined = connected_components(links)
 
-    named = nodes.select("node", F.col("doc_id").alias("own")).join(joined, "node", "left")
-    least = named.where("component IS NOT NULL").groupBy("component").agg(F.min("own").alias("least"))
+    found = stage(nodes.select("node", F.col("doc_id").alias("own")).join(joined, "node", "left"))
+    least = stage(found.where("component IS NOT NULL").groupBy("component").agg(F.min("own").alias("least")))
     named = stage(
-        named.join(least, "component", "left").select("node", F.coalesce("least", "own").alias("component_id"))
+        found.join(least, "component", "left").select("node", F.coalesce("least", "own").alias("component_id"))
     )
     out = signed.select("doc_id", "node", "n_shingles").join(named, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     result = out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )
-    unstage(nodes, group)
+    unstage(nodes, shared, group, totals, found, least)
     return result
