@@ -16,14 +16,12 @@ import re
 
 import ahocorasick
 import numpy as np
-import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField
 
-from twinfold.llm.frames import position, slices, tidy
+from twinfold.llm.frames import add_columns
 
 #: The white space of the pattern: the Unicode property, not Python's notion.
 _SPACE = r"\t-\r\x20\x85\xa0  -     　"
@@ -236,24 +234,17 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, pattern: str, decode
         vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())
     added = [StructField("n_tokens", LongType()), StructField("ids", BinaryType())]
     added += [StructField("decoded", BinaryType())] * decode
-    taken = {f.name.lower() for f in added}
-    kept = [i for i, f in enumerate(docs.schema.fields) if f.name.lower() not in taken]
-    fields = [docs.schema.fields[i] for i in kept] + added
-    schema = StructType(fields)
-    arrow = to_arrow_schema(schema)
-    at = position(docs, "text")
-
-    def work(batches):
+
+    def begin():
         c = codec(vocabulary.value, pattern)
-        for part in slices(batches):
-            ids = [c.encode(t) if t else b"" for t in part.column(at).to_pylist()]
-            columns = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
-            if decode:
-                columns.append(pa.array([c.decode(x) for x in ids], pa.binary()))
-            same = [part.column(i).cast(arrow.field(k).type) for k, i in enumerate(kept)]
-            yield pa.RecordBatch.from_arrays(same + columns, schema=arrow)
-
-    return docs.mapInArrow(tidy(work, forget), schema)
+
+        def columns(texts):
+            ids = [c.encode(t) if t else b"" for t in texts.to_pylist()]
+            return [[len(x) // 4 for x in ids], ids] + [[c.decode(x) for x in ids]] * decode
+
+        return columns
+
+    return add_columns(docs, added, begin, forget)
 
 
 def digests(encoded: DataFrame) -> DataFrame:

@@ -16,18 +16,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import (
     ArrayType,
     BooleanType,
     LongType,
     StringType,
     StructField,
-    StructType,
 )
 
-from twinfold.llm.frames import pick, position, slices, tidy
+from twinfold.llm.frames import add_columns, pick, same_columns, slices, tidy
 
+#: Bytes of text that one suffix array covers at most.
+SHARD_BYTES = 48 << 20
 #: Lower-cases A-Z and blanks every byte that is not of a word.
 _TABLE = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
@@ -245,6 +245,17 @@ def _load(chunks, window: int):
         yield _suffixes[key]
 
 
+def _judge(chunks, window: int):
+    """A function from texts to their words, hit words and items."""
+    one = list(_load(chunks, window)) if len(chunks) == 1 else None
+
+    def judge(texts):
+        raw = texts.cast(pa.binary()).to_pylist()
+        return _shard_rows([t or b"" for t in raw], one or _load(chunks, window))
+
+    return judge
+
+
 def remove_contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -254,16 +265,16 @@ def remove_contaminated(
 ) -> DataFrame:
     """The rows without any hit word, with the columns they came with."""
     chunks = _broadcast_items(benchmark, "item_id", window, chunk_bytes)
-    at, arrow = position(docs, "text"), to_arrow_schema(docs.schema)
 
-    def work(batches):
-        one = list(_load(chunks, window)) if len(chunks) == 1 else None
-        for part in slices(batches, most_rows=shard_rows, most_bytes=48 << 20):
-            texts = part.column(at).cast(pa.binary()).to_pylist()
-            _, n_hit, _ = _shard_rows([t or b"" for t in texts], one or _load(chunks, window))
-            yield part.filter(pa.array(n_hit == 0, pa.bool_())).cast(arrow)
+    def begin():
+        judge = _judge(chunks, window)
+
+        def clean(part, at):
+            return part.filter(pa.array(judge(part.column(at))[1] == 0, pa.bool_()))
 
-    return docs.mapInArrow(tidy(work), docs.schema)
+        return clean
+
+    return same_columns(docs, begin, most_rows=shard_rows, most_bytes=SHARD_BYTES)
 
 
 def decontaminate(
@@ -290,26 +301,17 @@ def decontaminate(
         StructField("items", ArrayType(StringType())),
         StructField("contaminated", BooleanType()),
     ]
-    taken = {f.name for f in added}
-    kept = [i for i, f in enumerate(docs.schema.fields) if f.name.lower() not in taken]
-    schema = StructType([docs.schema.fields[i] for i in kept] + added)
-    arrow, at = to_arrow_schema(schema), position(docs, "text")
 
-    def work(batches):
-        one = list(_load(chunks, window)) if len(chunks) == 1 else None
-        for part in slices(batches, most_rows=shard_rows, most_bytes=48 << 20):
-            texts = part.column(at).cast(pa.binary()).to_pylist()
-            n_words, n_hit, items = _shard_rows([t or b"" for t in texts], one or _load(chunks, window))
-            same = [part.column(i).cast(arrow.field(k).type) for k, i in enumerate(kept)]
-            columns = [
-                pa.array(n_words, pa.int64()),
-                pa.array(n_hit, pa.int64()),
-                pa.array([sorted(i) for i in items], arrow.field("items").type),
-                pa.array(n_hit > 0, pa.bool_()),
-            ]
-            yield pa.RecordBatch.from_arrays(same + columns, schema=arrow)
-
-    return docs.mapInArrow(tidy(work), schema)
+    def begin():
+        judge = _judge(chunks, window)
+
+        def columns(texts):
+            n_words, n_hit, items = judge(texts)
+            return [n_words, n_hit, [sorted(i) for i in items], n_hit > 0]
+
+        return columns
+
+    return add_columns(docs, added, begin, most_rows=shard_rows, most_bytes=SHARD_BYTES)
 
 
 def longest_matches(
@@ -326,7 +328,7 @@ def longest_matches(
     out = "item_id string, item_word long, n_words long, doc_id long, doc_word long"
 
     def work(batches):
-        for part in slices(batches, most_rows=shard_rows, most_bytes=48 << 20):
+        for part in slices(batches, most_rows=shard_rows, most_bytes=SHARD_BYTES):
             ids = part.column(0).to_pylist()
             split = [words(t or b"") for t in part.column(1).to_pylist()]
             for b in chunks:

@@ -14,11 +14,14 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 _ROOT = Path(__file__).resolve().parents[2]
 
@@ -151,5 +154,62 @@ def slices(batches, most_rows: int = 1024, most_bytes: int = 16 << 20):
             yield batch.slice(at, step)
 
 
-def with_columns(batch: pa.RecordBatch, keep: list[str], columns: list[pa.Array], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([batch.column(k) for k in keep] + columns, schema=schema)
+def _by_place(docs: DataFrame) -> DataFrame:
+    """The same rows with columns named by their place, so that no names clash."""
+    return docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])
+
+
+def add_columns(
+    docs: DataFrame,
+    added: list[StructField],
+    begin: Callable[[], Callable[[pa.Array], list]],
+    *forget: Callable[[], None],
+    most_rows: int = 1024,
+    most_bytes: int = 16 << 20,
+) -> DataFrame:
+    """Every row with columns computed from its ``text``.
+
+    ``begin`` is called once in each task and gives the function from some
+    texts to the added columns. Input columns named like an added one, in any
+    case, are replaced; all others pass through, whatever their names.
+    """
+    at, taken = position(docs, "text"), {f.name.lower() for f in added}
+    kept = [i for i, c in enumerate(docs.columns) if c.lower() not in taken]
+    schema = StructType([StructField(f"_{i}", docs.schema.fields[i].dataType) for i in kept] + added)
+    arrow = to_arrow_schema(schema)
+
+    def work(batches):
+        columns_of = begin()
+        for part in slices(batches, most_rows, most_bytes):
+            made = columns_of(part.column(at))
+            same = [part.column(i).cast(arrow.field(k).type) for k, i in enumerate(kept)]
+            new = [pa.array(c, arrow.field(f.name).type) for f, c in zip(added, made, strict=True)]
+            yield pa.RecordBatch.from_arrays(same + new, schema=arrow)
+
+    out = _by_place(docs).mapInArrow(tidy(work, *forget), schema)
+    return out.toDF(*[docs.columns[i] for i in kept], *[f.name for f in added])
+
+
+def same_columns(
+    docs: DataFrame,
+    begin: Callable[[], Callable[[pa.RecordBatch, int], pa.RecordBatch]],
+    *forget: Callable[[], None],
+    most_rows: int = 1024,
+    most_bytes: int = 16 << 20,
+) -> DataFrame:
+    """Some or all rows with the columns they came with, whatever their names.
+
+    The function that ``begin`` gives takes a batch and the place of ``text``.
+    """
+    at = position(docs, "text")
+    plain = _by_place(docs)
+    arrow = to_arrow_schema(plain.schema)
+
+    def work(batches):
+        change = begin()
+        for part in slices(batches, most_rows, most_bytes):
+            done = change(part, at)
+            columns = [c.cast(f.type) for c, f in zip(done.columns, arrow, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    return plain.mapInArrow(tidy(work, *forget), plain.schema).toDF(*docs.columns)

@@ -16,10 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField
 
-from twinfold.llm.frames import pick, position, slices, tidy
+from twinfold.llm.frames import add_columns, pick, same_columns, slices, tidy
 
 #: Lengths of the n-grams, in characters.
 ORDERS = (2, 3, 4)
@@ -250,21 +249,12 @@ def identify(docs: DataFrame, model: LanguageFilter) -> DataFrame:
     corpus) is broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.masks))
-    added = [StructField("lang_pred", StringType()), StructField("score", DoubleType())]
-    taken = {f.name for f in added}
-    kept = [i for i, f in enumerate(docs.schema.fields) if f.name.lower() not in taken]
-    schema = StructType([docs.schema.fields[i] for i in kept] + added)
-    arrow, at = to_arrow_schema(schema), position(docs, "text")
 
-    def work(batches):
+    def begin():
         judge = LanguageFilter(*shared.value).decide
-        for part in slices(batches):
-            found = [judge(t) for t in part.column(at).to_pylist()]
-            same = [part.column(i).cast(arrow.field(k).type) for k, i in enumerate(kept)]
-            columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(same + columns, schema=arrow)
+        return lambda texts: list(zip(*map(judge, texts.to_pylist()), strict=True))
 
-    return docs.mapInArrow(tidy(work), schema)
+    return add_columns(docs, [StructField("lang_pred", StringType()), StructField("score", DoubleType())], begin)
 
 
 def keep_identified(docs: DataFrame, model: LanguageFilter, least: float = 0.2) -> DataFrame:
@@ -274,13 +264,14 @@ def keep_identified(docs: DataFrame, model: LanguageFilter, least: float = 0.2)
     of their n-grams than that belong to any learned language.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.masks))
-    at, arrow = position(docs, "text"), to_arrow_schema(docs.schema)
 
-    def work(batches):
+    def begin():
         judge = LanguageFilter(*shared.value).decide
-        for part in slices(batches):
-            found = [judge(t) for t in part.column(at).to_pylist()]
-            keep = pa.array([name != UNDETERMINED and score >= least for name, score in found], pa.bool_())
-            yield part.filter(keep).cast(arrow)
 
-    return docs.mapInArrow(tidy(work), docs.schema)
+        def known(part, at):
+            found = map(judge, part.column(at).to_pylist())
+            return part.filter(pa.array([name != UNDETERMINED and score >= least for name, score in found], pa.bool_()))
+
+        return known
+
+    return same_columns(docs, begin)

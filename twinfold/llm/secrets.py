@@ -10,7 +10,6 @@ rule without a mandatory trigram scans every document.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 from re import _constants as C
@@ -20,10 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from twinfold.llm.frames import position, slices, tidy
+from twinfold.llm.frames import add_columns, same_columns
 
 #: Sets of strings larger than this are given up for their trigrams.
 _MOST_EXACT, _MOST_CLASS = 128, 16
@@ -249,23 +247,6 @@ def find_spans(texts: list[str], rules: tuple[Rule, ...] = RULES) -> list[list[t
     return out
 
 
-def _mapped(docs: DataFrame, rules, added: list[StructField], make: Callable) -> DataFrame:
-    taken = {f.name.lower() for f in added}
-    kept = [i for i, f in enumerate(docs.schema.fields) if f.name.lower() not in taken]
-    schema = StructType([docs.schema.fields[i] for i in kept] + added)
-    arrow, at = to_arrow_schema(schema), position(docs, "text")
-
-    def work(batches):
-        for part in slices(batches, most_rows=4096):
-            given = part.column(at).to_pylist()
-            found = find_spans([t or "" for t in given], rules)
-            same = [part.column(i).cast(arrow.field(k).type) for k, i in enumerate(kept)]
-            columns = [pa.array(c, arrow.field(f.name).type) for f, c in zip(added, make(given, found), strict=True)]
-            yield pa.RecordBatch.from_arrays(same + columns, schema=arrow)
-
-    return docs.mapInArrow(tidy(work), schema)
-
-
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Add ``secret_spans``: an array of ``(kind, start, end)`` for every row.
 
@@ -278,10 +259,12 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         [StructField("kind", StringType()), StructField("start", LongType()), StructField("end", LongType())]
     )
 
-    def make(given, found):
+    def spans_of(texts):
+        found = find_spans([t or "" for t in texts.to_pylist()], rules)
         return [[[{"kind": rules[k].kind, "start": a, "end": b} for a, k, b in spans] for spans in found]]
 
-    return _mapped(docs, rules, [StructField("secret_spans", ArrayType(span))], make)
+    added = [StructField("secret_spans", ArrayType(span))]
+    return add_columns(docs, added, lambda: spans_of, most_rows=4096)
 
 
 def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[secret]") -> DataFrame:
@@ -290,9 +273,6 @@ def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str =
     Overlapping spans are replaced together by one mask. A text without
     secrets, null or empty, is unchanged.
     """
-    at = position(docs, "text")
-    schema = docs.schema
-    arrow = to_arrow_schema(schema)
 
     def masked(text, spans):
         if not spans:
@@ -304,15 +284,13 @@ def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str =
             done = max(done, b)
         return "".join(out) + text[done:]
 
-    def work(batches):
-        for part in slices(batches, most_rows=4096):
-            given = part.column(at).to_pylist()
-            found = find_spans([t or "" for t in given], rules)
-            columns = [part.column(i).cast(arrow.field(i).type) for i in range(part.num_columns)]
-            columns[at] = pa.array([masked(t, s) for t, s in zip(given, found, strict=True)], arrow.field(at).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+    def change(part, at):
+        given = part.column(at).to_pylist()
+        found = find_spans([t or "" for t in given], rules)
+        texts = pa.array([masked(t, x) for t, x in zip(given, found, strict=True)], part.column(at).type)
+        return part.set_column(at, part.schema.field(at), texts)
 
-    return docs.mapInArrow(tidy(work), schema)
+    return same_columns(docs, lambda: change, most_rows=4096)
 
 
 def span_digests(scanned: DataFrame) -> DataFrame:
