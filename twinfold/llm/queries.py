@@ -143,6 +143,26 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP6_SQL = r"""
+WITH items AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all({lower}, '{word}') AS w
+               FROM benchmark WHERE text IS NOT NULL),
+windows AS (SELECT DISTINCT item, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS words
+            FROM (SELECT *, least(10, len(w)) AS k FROM items) WHERE k > 0),
+docs AS (SELECT doc_id, row_number() OVER () AS tag, coalesce(regexp_extract_all({lower}, '{word}'), []) AS w FROM documents),
+cut AS (SELECT tag, k, range(1, len(w) - k + 2) AS starts, list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' ')) AS words
+        FROM docs, (SELECT DISTINCT k FROM windows) WHERE len(w) >= k),
+places AS (SELECT tag, k, unnest(starts) AS i, unnest(words) AS words FROM cut),
+hits AS (SELECT tag, i, k, item FROM places JOIN windows USING (k, words)),
+words AS (SELECT tag, count(DISTINCT j) AS n_hit FROM (SELECT tag, unnest(range(i, i + k)) AS j FROM hits) GROUP BY tag),
+found AS (SELECT tag, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hits GROUP BY tag)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM docs LEFT JOIN words USING (tag) LEFT JOIN found USING (tag)
+""".replace("{lower}", _LOWER).replace("{word}", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pick(_spread(spark, sf_dir, "documents"), "doc_id", "text")
     out = secrets.span_digests(secrets.scan_secrets(docs))
@@ -174,6 +194,23 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_spread(spark, sf_dir, "documents"), percent=85)
 
 
+OP10_SQL = r"""
+WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all({lower}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
+         FROM docs WHERE len(w) > 0),
+one AS (SELECT s, min(doc_id) AS doc_id FROM (SELECT doc_id, list_sort(s) AS s FROM sets) GROUP BY s),
+rows AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM one),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared, any_value(x.n + y.n) AS n
+          FROM rows x JOIN rows y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs WHERE 100 * shared >= 85 * (n - shared)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM one UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+named AS (SELECT sets.doc_id, len(sets.s) AS n, component_id FROM sets JOIN one ON list_sort(sets.s) = one.s JOIN least ON one.doc_id = a)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id,
+       d.doc_id = coalesce(component_id, d.doc_id) AS kept
+FROM docs d LEFT JOIN named ON d.doc_id = named.doc_id
+""".replace("{lower}", _LOWER)
+
 QUERIES = {
     "op1_vantage_trees": op1_vantage_trees,
     "op2_token_counts": op2_token_counts,
@@ -187,8 +224,12 @@ QUERIES = {
     "op10_minhash_neardup": op10_minhash_neardup,
 }
 
-#: No registered operator but the URL filter can be stated in DuckDB SQL.
-ORACLE_SQL: dict[str, str] = {"op5_url_filters": OP5_SQL}
+#: The others are learned, drawn, approximate, or read bytes, markup or spans.
+ORACLE_SQL: dict[str, str] = {
+    "op5_url_filters": OP5_SQL,
+    "op6_decontamination": OP6_SQL,
+    "op10_minhash_neardup": OP10_SQL,
+}
 
 
 def queries():
