@@ -84,9 +84,20 @@ def test_blocks_lose_no_link(spark, monkeypatch):
     docs = [(i, t) for i, t in made(3)]
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     whole = sorted(map(tuple, neardup.near_duplicates(frame).collect()))
-    monkeypatch.setattr(neardup, "BUCKET_BLOCK", 2)
-    monkeypatch.setattr(neardup, "GROUP_BLOCK", 300)
-    assert sorted(map(tuple, neardup.near_duplicates(frame).collect())) == whole
+    for bucket, group in ((2, 300), (4096, 60)):
+        monkeypatch.setattr(neardup, "BUCKET_BLOCK", bucket)
+        monkeypatch.setattr(neardup, "GROUP_BLOCK", group)
+        assert sorted(map(tuple, neardup.near_duplicates(frame).collect())) == whole
+
+
+def test_chain_across_blocks(spark, monkeypatch):
+    """Each text is linked with the next one only, so blocks leave most apart."""
+    words = [f"w{i}" for i in range(400)]
+    docs = [(i, " ".join(words[8 * i : 8 * i + 200])) for i in range(25)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r[2] for r in brute(docs)} == {0}
+    monkeypatch.setattr(neardup, "GROUP_BLOCK", 600)
+    assert {r.component_id for r in neardup.near_duplicates(frame).collect()} == {0}
 
 
 def test_sketch_estimates_high_similarities():

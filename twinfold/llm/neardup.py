@@ -9,8 +9,8 @@ the groups that result.
 
 Exact copies are one node from the start. Groups are searched breadth first:
 a member is compared with those not reached yet, so a group of n near copies
-costs about n comparisons and emits n - 1 links, and larger groups are dealt
-out in blocks, one task for each pair of blocks, which loses no link.
+costs about n comparisons and emits n - 1 links. Larger groups are dealt out in
+blocks, and only what the blocks leave apart is compared across them.
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from twinfold.llm.components import connected_components
 from twinfold.llm.frames import pick, slices, stage, tidy, unstage
@@ -27,7 +28,7 @@ from twinfold.llm.frames import pick, slices, stage, tidy, unstage
 SHINGLE = 5
 BANDS, ROWS, SKETCH_SAMPLES, SKETCH_BITS = 24, 5, 128, 512
 #: Members of a bucket, and shingles of a group, that one task compares at once.
-BUCKET_BLOCK, GROUP_BLOCK = 4096, 4_000_000
+BUCKET_BLOCK, GROUP_BLOCK = 512, 1_000_000
 
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(971))
@@ -168,19 +169,21 @@ def _groups(batches, n_keys: int):
 
 
 def _search(n: int, linked) -> list[tuple[int, int]]:
-    """A spanning forest by breadth-first search; ``linked(x, others)`` says
-    which of the others x is linked with."""
-    rest, forest = np.arange(n), []
+    """``(member, first)`` for each member but the first of what is connected,
+    by breadth-first search; ``linked(x, others)`` says which of the others x
+    is linked with."""
+    rest, stars = np.arange(n), []
     while len(rest) > 1:
-        queue, rest = [int(rest[0])], rest[1:]
+        first, rest = int(rest[0]), rest[1:]
+        queue = [first]
         while queue and len(rest):
             x = queue.pop()
             mask = linked(x, rest)
             found = rest[mask].tolist()
-            forest += [(x, y) for y in found]
+            stars += [(y, first) for y in found]
             queue += found
             rest = rest[~mask]
-    return forest
+    return stars
 
 
 def _edges(pairs):
@@ -189,54 +192,90 @@ def _edges(pairs):
     )
 
 
-def _bucket_links(percent: int, slack: float):
+def _by_sketch(percent: int, slack: float):
+    """Who may be similar, by sizes and by the sketches of a group's members."""
     least = percent / 100 - slack
 
-    def work(batches):
-        pairs = []
-        for _, (node, n, sketch) in _groups(batches, 3):
-            if len(node) < 2:
-                continue
-            bits = np.frombuffer(b"".join(sketch), _U).reshape(len(node), -1)
-            size = np.array(n)
+    def make(n, sketches):
+        bits = np.frombuffer(b"".join(sketches), _U).reshape(len(n), -1)
+        size = np.array(n)
+
+        def linked(x, others):
+            close = np.minimum(size[others], size[x]) * 100 >= percent * np.maximum(size[others], size[x])
+            differing = np.bitwise_count(bits[others] ^ bits[x]).sum(axis=1, dtype=np.int64)
+            return close & (sketch_similarity(differing) >= least)
+
+        return linked
+
+    return make
+
+
+def _by_set(percent: int):
+    """Who is similar, by the whole sets of a group's members."""
+
+    def make(_, contents):
+        sets = [np.frombuffer(c, _U) for c in contents]
+        size = np.array([len(x) for x in sets])
+        joined = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+        ends = np.cumsum(size)
+        parts = [joined[e - k : e] for e, k in zip(ends, size, strict=True)]
+        flag = np.zeros(int(joined.max()) + 1, bool)
+
+        def linked(x, others):
+            mask = np.minimum(size[others], size[x]) * 100 >= percent * np.maximum(size[others], size[x])
+            near = others[mask]
+            if len(near):
+                flag[parts[x]] = True
+                flat = np.concatenate([parts[i] for i in near])
+                begin = np.cumsum(size[near]) - size[near]
+                shared = np.add.reduceat(flag[flat], begin, dtype=np.int64)
+                flag[parts[x]] = False
+                mask[mask] = 100 * shared >= percent * (size[near] + size[x] - shared)
+            return mask
 
-            def linked(x, others, bits=bits, size=size):
-                close = np.minimum(size[others], size[x]) * 100 >= percent * np.maximum(size[others], size[x])
-                differing = np.bitwise_count(bits[others] ^ bits[x]).sum(axis=1, dtype=np.int64)
-                return close & (sketch_similarity(differing) >= least)
+        return linked
 
-            pairs += [(node[a], node[b]) for a, b in _search(len(node), linked)]
-            if len(pairs) > 20_000:
-                yield _edges(pairs)
-                pairs = []
-        yield _edges(pairs)
+    return make
+
+
+def _within(make, key_type: pa.DataType):
+    """``(key, a, b)``: members of each block of a group, and the smallest node
+    that the links inside the block join them with. Nodes come in order."""
+
+    def batch(found):
+        columns = [pa.array([f[0] for f in found], key_type)]
+        columns += [pa.array([f[i] for f in found], pa.binary()) for i in (1, 2)]
+        return pa.RecordBatch.from_arrays(columns, names=["key", "a", "b"])
+
+    def work(batches):
+        found = []
+        for (key, _), (node, n, data) in _groups(batches, 2):
+            if len(node) > 1:
+                found += [(key, node[x], node[first]) for x, first in _search(len(node), make(n, data))]
+            if len(found) > 20_000:
+                yield batch(found)
+                found = []
+        yield batch(found)
 
     return work
 
 
-def _group_links(percent: int):
+def _across(make):
+    """Links from the asking rows of a cell to the others with another label,
+    one for each label at most."""
+
     def work(batches):
-        for _, (node, content) in _groups(batches, 3):
-            sets = [np.frombuffer(c, _U) for c in content]
-            size = np.array([len(s) for s in sets])
-            joined = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
-            ends = np.cumsum(size)
-            parts = [joined[e - k : e] for e, k in zip(ends, size, strict=True)]
-            flag = np.zeros(int(joined.max()) + 1, bool)
-
-            def linked(x, others, parts=parts, size=size, flag=flag):
-                mask = np.minimum(size[others], size[x]) * 100 >= percent * np.maximum(size[others], size[x])
-                near = others[mask]
-                if len(near):
-                    flag[parts[x]] = True
-                    flat = np.concatenate([parts[i] for i in near])
-                    begin = np.cumsum(size[near]) - size[near]
-                    shared = np.add.reduceat(flag[flat], begin, dtype=np.int64)
-                    flag[parts[x]] = False
-                    mask[mask] = 100 * shared >= percent * (size[near] + size[x] - shared)
-                return mask
-
-            yield _edges([(node[a], node[b]) for a, b in _search(len(node), linked)])
+        for _, (node, n, data, label, asks) in _groups(batches, 3):
+            linked, pairs = make(n, data), []
+            code = np.unique(np.array(label, dtype=object), return_inverse=True)[1]
+            asking = np.array(asks)
+            others = np.flatnonzero(~asking)
+            for x in np.flatnonzero(asking).tolist():
+                rest = others[code[others] != code[x]]
+                if len(rest):
+                    hit = rest[linked(x, rest)]
+                    pairs += [(node[x], node[y]) for y in hit[np.unique(code[hit], return_index=True)[1]].tolist()]
+            yield _edges(pairs)
 
     return work
 
@@ -255,25 +294,57 @@ def _sets(batches):
         )
 
 
-def _dealt(rows: DataFrame, keys: str, blocks) -> DataFrame:
-    """Deal the rows of each key into pairs of blocks.
+def _links(rows: DataFrame, totals: DataFrame, block: int, weight: Column, make, held: list[DataFrame]) -> DataFrame:
+    """Links that join what the links inside each group join: ``(a, b)``.
 
-    A key of one block makes one pair; of m blocks every block meets every
-    other once, so no two rows of a key stay apart.
+    ``rows`` are ``(key, members, node, n, data)``, members being the sum of
+    ``weight`` over the group, and ``totals`` has a row for each group; ``make``
+    tells which rows of a group are linked. Groups of one block are searched in
+    one task. A larger group is dealt into blocks, and what they join is named
+    by labels. One row of each label is compared again; after that one label
+    usually has almost all. Every row of any other label is then held against
+    all rows of its group, in cells of two blocks, so no link between two
+    labels is lost, and a group of n copies costs n comparisons rather than n
+    squared. ``held`` gets the staged tables that can be deleted once the links
+    have been read.
     """
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    pair = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda o: F.struct(F.least("own", o).alias("low"), F.greatest("own", o).alias("high")),
-    )
-    return (
-        rows.withColumn("blocks", blocks)
-        .withColumn("own", own)
-        .withColumn("pair", F.explode(pair))
-        .select(keys, "pair.low", "pair.high", *[c for c in rows.columns if c not in (keys, "members")])
-        .repartition(keys, "low", "high")
-        .sortWithinPartitions(keys, "low", "high")
-    )
+    key = rows.schema["key"].dataType
+    sized = rows.withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
+    sized = sized.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+
+    def inside(frame: DataFrame) -> DataFrame:
+        dealt = frame.select("key", "own", "node", "n", "data").repartition("key", "own")
+        work = tidy(_within(make, to_arrow_type(key)))
+        return dealt.sortWithinPartitions("key", "own", "node").mapInArrow(work, f"key {key.simpleString()}, a binary, b binary")
+
+    found = inside(sized.where("blocks = 1")).select("a", "b")
+    if totals.where(F.col("members") > block).isEmpty():
+        return found
+    large = stage(sized.where("blocks > 1").drop("members"))
+    stars = stage(inside(large).withColumnRenamed("a", "node"))
+    large = stage(large.join(stars, ["key", "node"], "left").withColumn("label", F.coalesce("b", "node")).drop("b"))
+    # the row that a label is named after stands for it
+    named = large.where("node = label").drop("own")
+    parts = stage(named.groupBy("key").agg(F.ceil(F.sum(weight) / block).cast("int").alias("parts")))
+    again = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")
+    more = stage(inside(named.join(parts, "key").withColumn("own", again)).withColumnRenamed("a", "label"))
+    rows = large.join(more, ["key", "label"], "left").withColumn("label", F.coalesce("b", "label")).drop("b")
+    rows = stage(rows)
+    sizes = rows.groupBy("key", "label").agg(F.sum(weight).alias("size"))
+    main = F.max_by("label", F.struct("size", "label")).alias("main")
+    asking = (1 - F.max("size") / F.sum("size")).alias("asking")
+    left = stage(sizes.groupBy("key").agg(main, asking).where("asking > 0"))
+    held += [large, stars, parts, more, rows, left]
+    rows = rows.join(left, "key").withColumn("parts", F.ceil(F.col("asking") * F.col("blocks")).cast("int"))
+    part = F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts")).cast("int")
+    cell = ["key", "part", "own", "node", "n", "data", "label", "asks"]
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    asks = rows.where("label != main").withColumn("part", part).withColumn("own", upto("blocks"))
+    others = rows.withColumn("part", upto("parts"))
+    cells = asks.withColumn("asks", F.lit(True)).select(cell).union(others.withColumn("asks", F.lit(False)).select(cell))
+    dealt = cells.repartition("key", "part", "own").sortWithinPartitions("key", "part", "own")
+    apart = dealt.mapInArrow(tidy(_across(make)), "a binary, b binary")
+    return found.union(stars.select("node", "b")).union(more.select("label", "b")).union(apart)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, slack: float = 0.17) -> DataFrame:
@@ -311,22 +382,22 @@ def near_duplicates(docs: DataFrame, percent: int = 85, slack: float = 0.17) ->
     # counts are written down before they are joined, so that the join of a hot
     # bucket or group has two plain sides and is split at run time
     shared = stage(in_bands.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"))
-    members = in_bands.join(shared, "key").join(nodes.select("node", "n", "sketch"), "node")
-    blocks = F.ceil(F.col("members") / BUCKET_BLOCK).cast("int")
-    maybe = _dealt(members.select("key", "members", "node", "n", "sketch"), "key", blocks).mapInArrow(
-        tidy(_bucket_links(percent, slack)), "a binary, b binary"
-    )
+    members = in_bands.join(shared, "key").join(nodes.select("node", "n", F.col("sketch").alias("data")), "node")
+    held: list[DataFrame] = []
+    maybe = _links(members, shared, BUCKET_BLOCK, F.lit(1), _by_sketch(percent, slack), held)
     group = stage(connected_components(maybe))
+    unstage(*held)
+    held.clear()
 
     # whole sets of the grouped sequences, read again from one row of each
-    grouped = group.join(nodes.select("node", "doc_id", "n"), "node")
-    totals = stage(grouped.groupBy("component").agg(F.sum("n").alias("members")))
+    grouped = group.withColumnRenamed("component", "key").join(nodes.select("node", "doc_id", "n"), "node")
+    totals = stage(grouped.groupBy("key").agg(F.sum("n").alias("members")))
     wanted = grouped.select("doc_id").distinct()
     texts = source.join(wanted, source["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
     sets = texts.mapInArrow(tidy(_sets, _forget), "node binary, content binary").dropDuplicates(["node"])
-    chosen = group.join(totals, "component").join(sets, "node").select("component", "members", "node", "content")
-    blocks = F.ceil(F.col("members") / GROUP_BLOCK).cast("int")
-    links = _dealt(chosen, "component", blocks).mapInArrow(tidy(_group_links(percent)), "a binary, b binary")
+    chosen = grouped.join(totals, "key").join(sets.withColumnRenamed("content", "data"), "node")
+    chosen = chosen.select("key", "members", "node", "n", "data")
+    links = _links(chosen, totals, GROUP_BLOCK, F.col("n"), _by_set(percent), held)
     joined = connected_components(links)
 
     found = stage(nodes.select("node", F.col("doc_id").alias("own")).join(joined, "node", "left"))
@@ -339,5 +410,5 @@ def near_duplicates(docs: DataFrame, percent: int = 85, slack: float = 0.17) ->
     result = out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )
-    unstage(nodes, shared, group, totals, found, least)
+    unstage(nodes, shared, group, totals, found, least, *held)
     return result
