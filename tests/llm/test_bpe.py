@@ -53,6 +53,12 @@ def test_stated_texts(codec, library, text):
     assert ids(codec, text) == library.encode_ordinary(text)
 
 
+def test_long_texts(codec, library, monkeypatch):
+    monkeypatch.setattr(bpe.BytePairCodec, "LONG", 10)
+    for text in ("plain words and 123 numbers " * 20, "größere Wörter ☃ " * 20):
+        assert ids(codec, text) == library.encode_ordinary(text)
+
+
 def test_every_character(codec, library):
     text = "".join(chr(i) + " x" for i in range(0x110000) if not 0xD800 <= i < 0xE000)
     for at in range(0, len(text), 300_000):

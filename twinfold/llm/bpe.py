@@ -67,11 +67,13 @@ class BytePairCodec:
 
     #: Pieces up to this many characters are remembered, and this many of them.
     PIECE_CHARS, PIECES, PAIRS = 40, 250_000, 1_000_000
+    #: Longer texts are not split into a list of all their pieces first.
+    LONG = 1_000_000
 
     def __init__(self, vocabulary: bytes, pattern: str):
         rows = [line.split() for line in vocabulary.splitlines() if line.strip()]
         ranks = {base64.b64decode(a): int(b) for a, b in rows}
-        self.findall_any, self.findall_latin = (p.findall for p in split_patterns(pattern))
+        self.any, self.latin = split_patterns(pattern)
         self.size = max(ranks.values()) + 1
         self.bytes: list[bytes] = [b""] * self.size
         self.automaton = ahocorasick.Automaton()
@@ -189,14 +191,18 @@ class BytePairCodec:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers, no special tokens."""
-        make = self._piece
+        make, known = self._piece, self.pieces
         try:
             text.encode("latin-1")
-            found = self.findall_latin(text)
+            split = self.latin
         except UnicodeEncodeError:
-            found = self.findall_any(text)
-        known = self.pieces
-        return b"".join([known.get(p) or make(p) for p in found])
+            split = self.any
+        if len(text) > self.LONG:
+            out = bytearray()
+            for m in split.finditer(text):
+                out += known.get(m[0]) or make(m[0])
+            return bytes(out)
+        return b"".join([known.get(p) or make(p) for p in split.findall(text)])
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))

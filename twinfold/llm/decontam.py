@@ -27,7 +27,7 @@ from pyspark.sql.types import (
 from twinfold.llm.frames import add_columns, pick, same_columns, slices, tidy
 
 #: Bytes of text that one suffix array covers at most.
-SHARD_BYTES = 48 << 20
+SHARD_BYTES = 16 << 20
 #: Lower-cases A-Z and blanks every byte that is not of a word.
 _TABLE = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
