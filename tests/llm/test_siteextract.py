@@ -89,6 +89,38 @@ def test_copies_of_a_page_are_no_frame(spark):
     assert set(got.values()) == {"The very same story", *[f"The very same story edit {i}" for i in range(3)]}
 
 
+def layouts(n, first=0.6, others=30):
+    """Pages whose articles hang in one of many child sequences, most in the first."""
+    kinds = [0 if i < first * n else 1 + i % others for i in range(n)]
+    return [
+        (i, f"http://many.org/{i}", f"<body><div class='f9'>Rights are ours</div><div class='m'><p>Story {i}</p>{'<i>+</i><b>+</b>' * k}</div></body>")
+        for i, k in enumerate(kinds)
+    ]
+
+
+def test_articles_of_many_layouts_stay(spark):
+    rows = layouts(1500, first=0.7)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract_text(pages).collect()}
+    assert len(got) == 1500 and all(t.startswith(f"Story {i}") for i, t in got.items())
+
+
+def test_many_layouts_at_any_size(spark):
+    from math import log
+
+    def row(pages, styles, content):
+        """An element as style_tree() gives it: 60 % of its pages in one style, the others even."""
+        rest = 0.4 / (styles - 1)
+        look = -(0.6 * log(0.6) + (styles - 1) * rest * log(rest)) / log(pages)
+        weight = 0.9**styles
+        return f"h{pages}", int(content * 10), True, pages, pages, styles, look, content, (1 - weight) * look + weight * content
+
+    columns = "host string, node long, removable boolean, site_pages long, pages long, styles long, presentation double, content double, importance double"
+    rows = [row(n, s, c) for n, s in ((1000, 40), (1_000_000, 100)) for c in (1.0, 0.0)]
+    low = {r.host: r.low for r in low_branches(spark.createDataFrame(rows, columns)).collect()}
+    assert low == {"h1000000": [0]}  # the repeated texts of the large host, no article
+
+
 def test_importance(spark):
     from twinfold.llm.urlfilter import host
 

@@ -274,11 +274,14 @@ def low_branches(tree: DataFrame, least: float = 0.3, least_pages: int = 8, leas
 
     A node counts only if it is on ``least_pages`` distinct pages and on
     ``least_part`` of the host's, so there are at most 1 / ``least_part``
-    times as many as a page has elements, whatever the size of the host.
+    times as many as a page has elements, whatever the size of the host. Its
+    texts must repeat as well: on a host of many layouts the importance is
+    almost all presentation, which falls as pages are added, and texts that
+    differ from page to page are no frame whatever hangs them.
     """
     common = (F.col("pages") >= least_pages) & (F.col("pages") >= least_part * F.col("site_pages"))
     return (
-        tree.where(F.col("removable") & common & (F.col("importance") < least))
+        tree.where(F.col("removable") & common & (F.greatest("importance", "content") < least))
         .groupBy("host")
         .agg(F.collect_list("node").alias("low"))
     )
