@@ -7,6 +7,7 @@ import time
 import pyarrow.parquet as pq
 import pytest
 
+from twinfold.llm import siteextract
 from twinfold.llm.dom import parse
 from twinfold.llm.queries import op4_html_extraction
 from twinfold.llm.siteextract import Page, extract_text, low_branches, style_tree
@@ -121,6 +122,19 @@ def test_many_layouts_at_any_size(spark):
     assert low == {"h1000000": [0]}  # the repeated texts of the large host, no article
 
 
+@pytest.mark.parametrize("most", [512, 0])
+def test_rare_frame_of_a_large_host_goes(spark, monkeypatch, most):
+    """A notice on less than 1 % of the pages, by lists of hosts and of pages."""
+    monkeypatch.setattr(siteextract, "LIST", most)
+    rows = [
+        (i, f"http://big.org/{i}", f"<body>{'<div class=q7>Only some pages say this</div>' * (i < 9)}<div class='m'><p>Story {i}</p></div></body>")
+        for i in range(1000)
+    ]
+    pages = spark.createDataFrame(rows + rows[:1], "page_id long, url string, html string")
+    got = [(r.page_id, r.text) for r in extract_text(pages).collect()]
+    assert sorted(got) == sorted([(i, f"Story {i}") for i in range(1000)] + [(0, "Story 0")])
+
+
 def test_importance(spark):
     from twinfold.llm.urlfilter import host
 

@@ -23,7 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from twinfold.llm.dom import BLOCK, Element, parse
-from twinfold.llm.frames import pick, slices, stage, tidy
+from twinfold.llm.frames import pick, slices, stage, tidy, unstage
 from twinfold.llm.urlfilter import host
 
 # fixed values: elements, roles and words of class names that are no article text
@@ -46,6 +46,8 @@ _SPACE = re.compile(r"\s+")
 
 #: Elements below this depth count as part of the one above them.
 DEPTH = 24
+#: Low nodes that a host sends to each of its pages; of more, each page gets its own.
+LIST = 512
 
 
 def _is_article(e: Element) -> bool:
@@ -269,22 +271,48 @@ def style_tree(pages: DataFrame) -> DataFrame:
     )
 
 
-def low_branches(tree: DataFrame, least: float = 0.3, least_pages: int = 8, least_part: float = 0.01) -> DataFrame:
-    """``(host, low)``: the nodes of each host that frame its pages.
+def low_nodes(tree: DataFrame, least: float = 0.3, least_pages: int = 8) -> DataFrame:
+    """``(host, node)``: the nodes of each host that frame its pages.
 
-    A node counts only if it is on ``least_pages`` distinct pages and on
-    ``least_part`` of the host's, so there are at most 1 / ``least_part``
-    times as many as a page has elements, whatever the size of the host. Its
-    texts must repeat as well: on a host of many layouts the importance is
-    almost all presentation, which falls as pages are added, and texts that
-    differ from page to page are no frame whatever hangs them.
+    A node counts if it is on ``least_pages`` distinct pages, whatever part of
+    the host these are. Its texts must repeat as well: on a host of many
+    layouts the importance is almost all presentation, which falls as pages
+    are added, and texts that differ from page to page are no frame whatever
+    hangs them.
     """
-    common = (F.col("pages") >= least_pages) & (F.col("pages") >= least_part * F.col("site_pages"))
-    return (
-        tree.where(F.col("removable") & common & (F.greatest("importance", "content") < least))
-        .groupBy("host")
-        .agg(F.collect_list("node").alias("low"))
-    )
+    low = F.col("removable") & (F.col("pages") >= least_pages) & (F.greatest("importance", "content") < least)
+    return tree.where(low).select("host", "node")
+
+
+def _lists(nodes: DataFrame, *key: str) -> DataFrame:
+    return nodes.groupBy(*key).agg(F.collect_set("node").alias("low"))
+
+
+def low_branches(tree: DataFrame, least: float = 0.3, least_pages: int = 8) -> DataFrame:
+    """``(host, low)``: the nodes of ``low_nodes`` as one list for each host."""
+    return _lists(low_nodes(tree, least, least_pages), "host")
+
+
+def _markup_key(html):
+    """What finds the low nodes of a page again. Pages of a host that share a
+    key share a list; foreign low nodes in it do no harm, as no page has them."""
+    return F.xxhash64(html.cast("string"))
+
+
+def _page_nodes(batches):
+    for part in slices(batches, most_rows=512):
+        nodes = [list(Page(m or "").nodes) for m in part.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [part.column(0), part.column(1), pa.array(nodes, pa.list_(pa.int64()))], names=["host", "key", "nodes"]
+        )
+
+
+def low_by_page(sites: DataFrame, low: DataFrame) -> DataFrame:
+    """``(host, key, low)``: for each markup of the hosts in ``low`` those of
+    its own nodes that are low, so no list is longer than a page."""
+    keyed = sites.select("host", _markup_key(F.col("html")).alias("key"), F.col("html").cast("string"))
+    nodes = keyed.mapInArrow(tidy(_page_nodes), "host string, key long, nodes array<long>")
+    return _lists(nodes.select("host", "key", F.explode("nodes").alias("node")).join(low, ["host", "node"]), "host", "key")
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
@@ -299,7 +327,9 @@ def extract_text(pages: DataFrame) -> DataFrame:
     The pages are read twice, once for the tree and once for the texts, which
     are never shuffled while the table of low branches is small enough for
     Spark to broadcast it by its size; beyond that the pages are joined to it
-    by host, and a hot host's partition is split at run time.
+    by host, and a hot host's partition is split at run time. A host of more
+    than ``LIST`` low nodes has no list of its own: its pages are read a third
+    time, and each is joined to the few low nodes it has itself.
     """
     names = [c.lower() for c in pages.columns]
     source = pages.toDF(*[f"_{i}" for i in range(len(names))])
@@ -307,8 +337,17 @@ def extract_text(pages: DataFrame) -> DataFrame:
     named = host(F.col(f"_{names.index('url')}"))
     html_at = names.index("html")
     sites = pick(pages, "url", "html").select(host(F.col("url")).alias("host"), "html")
-    low = stage(low_branches(style_tree(sites)))
-    joined = source.withColumn("host", F.coalesce(named, F.lit(""))).join(low, "host", "left")
+    low = stage(low_nodes(style_tree(sites)))
+    counts = low.groupBy("host").agg(F.count("*").alias("n"))
+    many = stage(counts.where(F.col("n") > LIST).select("host"))
+    lists = stage(_lists(low.join(many, "host", "left_anti"), "host"))
+    joined = source.withColumn("host", F.coalesce(named, F.lit(""))).join(lists, "host", "left")
+    if not many.isEmpty():
+        pages_low = stage(low_by_page(sites.join(many, "host", "left_semi"), low.join(many, "host", "left_semi")))
+        pages_low = pages_low.withColumnRenamed("low", "own")
+        joined = joined.withColumn("key", _markup_key(F.col(f"_{html_at}"))).join(pages_low, ["host", "key"], "left")
+        joined = joined.withColumn("low", F.coalesce("low", "own"))
+    unstage(low, many)
     rows = joined.select(*[f"_{i}" for i in kept], F.col(f"_{html_at}").cast("string").alias("markup"), "low")
     fields = [StructField(pages.columns[i], pages.schema.fields[i].dataType) for i in kept]
     inner = StructType(
