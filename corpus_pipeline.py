@@ -24,18 +24,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the smallest id."""
+    """One document of each group of near-duplicates, that of the smallest id.
+
+    Rows that share an id but not their text are different documents. Of
+    several with the smallest id of a group one is kept, and of copies of a
+    row, id and text alike, any one.
+    """
     ship(spark)
     at, text = f"_{position(docs, 'doc_id')}", f"_{position(docs, 'text')}"
     rows = docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])
-    # a row without an id goes by its text, behind all that have one
-    by_text = F.shiftrightunsigned(F.xxhash64(text), 1).bitwiseOR(F.lit(1 << 62))
-    rows = rows.withColumn("key", F.coalesce(F.col(at).cast("long"), by_text))
-    judged = near_duplicates(rows.select(F.col("key").alias("doc_id"), F.col(text).alias("text")), percent=85)
+    # bytes in the order of the ids, rows without one behind all others, then a digest of the text
+    number = F.col(at).cast("long")
+    ordered = F.lpad(F.hex(number.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    digest = F.coalesce(F.md5(F.col(text).cast("binary")), F.lit(""))
+    rows = rows.withColumn("key", F.unhex(F.concat(F.coalesce(F.concat(F.lit("00"), ordered), F.lit("01")), digest)))
+    judged = near_duplicates(rows.select(F.col("key").alias("doc_id"), F.col(text).alias("text")), percent=85, id_type="binary")
     kept = judged.where("kept").select(F.col("doc_id").alias("key")).distinct()
-    # repeated rows share their key, by which the join has dealt them already
+    # before the join, so that every task drops its copies before they are dealt by key
     first = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64(text)))
-    one = rows.join(kept, "key", "left_semi").withColumn("first", first).where("first = 1")
+    one = rows.withColumn("first", first).where("first = 1").join(kept, "key", "left_semi")
     return one.drop("key", "first").toDF(*docs.columns)
 
 

@@ -54,5 +54,16 @@ def test_one_of_repeated_rows_stays(spark, small, odd_documents):
     assert sorted(r.doc_id for r in kept) == [1, 2, 3, 4, 5, 6]
 
 
+def test_different_texts_of_one_id_stay(spark, small):
+    """Copies go by their text, in whatever order the hashes of the texts are."""
+    text = lambda n: " ".join(f"w{n}x{i}" for i in range(40))
+    rows = [(3, text(0)), (-2, text(1)), (1, text(1)), (None, text(2)), (None, text(3)), (None, text(1))]
+    rows += [(5, text(0)), (5, text(0) + " more"), *[(5, text(n)) for n in range(4, 14)], (5, text(4)), (5, text(4) + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text.removesuffix(" more")) for r in corpus_pipeline.near_dedup(spark, docs, small).collect()]
+    want = [(3, text(0)), (-2, text(1)), (None, text(2)), (None, text(3)), *[(5, text(n)) for n in range(4, 14)]]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_stages_are_the_stated_five():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "decontamination", "secret_scan", "encoding"]

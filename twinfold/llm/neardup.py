@@ -347,7 +347,7 @@ def _links(rows: DataFrame, totals: DataFrame, block: int, weight: Column, make,
     return found.union(stars.select("node", "b")).union(more.select("label", "b")).union(apart)
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, slack: float = 0.17) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, slack: float = 0.17, id_type: str = "long") -> DataFrame:
     """Components of documents that share ``percent`` of their shingles.
 
     One row ``(doc_id, n_shingles, component_id, kept)`` for each input row.
@@ -360,12 +360,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, slack: float = 0.17) ->
     Other columns are ignored; an empty table gives an empty result.
 
     ``slack`` is how far below ``percent`` a sketch's estimate may lie before
-    the pair is dropped unconfirmed: five standard deviations.
+    the pair is dropped unconfirmed: five standard deviations. ``id_type`` is
+    what ids are cast to; any type with an order will do.
     """
-    source = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
+    source = pick(docs, "doc_id", "text").select(F.col("doc_id").cast(id_type), F.col("text").cast("binary").alias("text"))
     signed = stage(
         source.mapInArrow(
-            tidy(_signatures, _forget), "doc_id long, node binary, n_shingles long, bands array<long>, sketch binary"
+            tidy(_signatures, _forget), f"doc_id {id_type}, node binary, n_shingles long, bands array<long>, sketch binary"
         )
     )
     some = signed.where("node IS NOT NULL")
