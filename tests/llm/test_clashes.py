@@ -1,7 +1,10 @@
 """Every operator on tables whose extra columns clash by name, case or dots."""
 
+import datetime
+
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from twinfold.llm import ann, bpe, decontam, langid, neardup, secrets, sharding, siteextract, urlfilter
@@ -49,6 +52,18 @@ def test_stages(spark, small, docs, name, apply):
     assert name == "encoding" or out.columns == docs.columns
 
 
+def test_the_exact_name_wins_over_another_case(spark):
+    """A column that differs in case only is no input, wherever it stands."""
+    names = ["page_id", "HTML", "html", "URL", "url"]
+    pages = spark.createDataFrame([(1, "<p>no", "<p>yes", "http://no.org", "http://yes.org")], "a int, b string, c string, d string, e string").toDF(*names)
+    assert siteextract.extract_text(pages).first()["text"] == "yes"
+    entries = spark.createDataFrame([("l", "block", "yes.org", "2020-01-01", "add")], "list string, kind string, pattern string, listed_on string, action string")
+    captures = spark.createDataFrame([(1, None, datetime.date(2021, 1, 1), "http://no.org", "http://yes.org")], "a int, b date, c date, d string, e string")
+    captures = captures.toDF("page_id", "FETCHED_ON", "fetched_on", "URL", "url")
+    judged = urlfilter.filter_urls(captures, entries.withColumn("listed_on", F.col("listed_on").cast("date")))
+    assert judged.first()["blocked"]
+
+
 def test_pages_vectors_and_captures(spark):
     pages = spark.createDataFrame([(1, "http://a.org", "<p>x", 1)], "i long, u string, h string, e int").toDF("page_id", "url", "html", "HTML")
     assert siteextract.extract_text(pages).columns == ["page_id", "url", "html", "HTML", "text", "n_chars"]

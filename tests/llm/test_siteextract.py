@@ -46,6 +46,24 @@ def test_query(spark):
         ("<main><h1>T</h1><p>x</main><p>outside", "T x"),
         ("<article><p>one</article><div class=ad>ad</div><article><p>two</article>", "one two"),
         ("<article class=comment><p>c</article><p>x", "x"),
+        # an article element that is not the article
+        (
+            "<div class=main><article>Teaser A</article></div><div id=story><p>The story itself begins here and goes on.</p><p>It ends there.</div>",
+            "Teaser A The story itself begins here and goes on. It ends there.",
+        ),
+        ("<div class='sidebar'><article>Teaser</article></div><div id=story><p>The story</p></div>", "The story"),
+        # class names that mention a frame without being one
+        ("<article class='post share-enabled'><p>t</article>", "t"),
+        ("<div class='no-sidebar'><p>x</div>", "x"),
+        ("<div class=comment-free>y</div>", "y"),
+        ("<article><p>a<p class='related-work'>b<p class='social-history'>c</article>", "a b c"),
+        ("<div class='site-footer'>f</div><div class='comment-list'>c</div><p>x", "x"),
+        # a page with content is not emptied
+        ("<form><nav>n</nav><p>The page</p><input></form>", "The page"),
+        ("<div class=widget><p>" + "all of it " * 40 + "</div><div class=ad>a</div>", "all of it " * 39 + "all of it"),
+        ("<nav>n</nav><footer>f</footer>", ""),
+        ("<article><header><h1>T</h1></header><p>x</p><footer>by</footer></article>", "T x"),
+        ("<p>a <span class=share>Share!</span>b<span>c</span>", "a bc"),
     ],
 )
 def test_markup(markup, text):
@@ -83,6 +101,48 @@ def test_frame_of_a_site_goes(spark):
     assert all(t.startswith("All our readers") and t.endswith(f"ends at {i}") for i, t in few.items())
 
 
+def test_the_tree_decides(spark):
+    """The same pages with and without comparison, by plain markup and by names
+    that alone would not be enough."""
+    rows = [
+        (i, f"http://t.org/{i}", f"<body><div class='k1'>Seen on all</div><article><p class='social-note'>Read our terms</p><p>Story {i}</p></article></body>")
+        for i in range(12)
+    ]
+    plain = [(100 + i, f"http://p.org/{i}", f"<body><div class='k1'>Seen on all</div><p>Story {i}</p></body>") for i in range(12)]
+    pages = spark.createDataFrame(rows + plain, "page_id long, url string, html string")
+    alone = {r.page_id: r.text for r in extract_text(pages, tree=False).collect()}
+    assert alone == {i: f"Read our terms Story {i}" for i in range(12)} | {100 + i: f"Seen on all Story {i}" for i in range(12)}
+    got = {r.page_id: r.text for r in extract_text(pages).collect()}
+    assert got == {i: f"Story {i}" for i in range(12)} | {100 + i: f"Story {i}" for i in range(12)}
+
+
+def test_frames_of_the_generated_sites_are_low(spark):
+    """The tree finds menus, adverts and footers without their names; articles not."""
+    from twinfold.llm.urlfilter import host
+
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    tree = style_tree(pages.select(host(pages.url).alias("host"), "html"))
+    low = {n for r in low_branches(tree).collect() for n in r.low}
+    found, articles = set(), set()
+    for p in pq.read_table("/root/testdata/sf0.1/pages.parquet").to_pylist():
+        page = Page(p["html"])
+        for at in range(1, len(page.node)):
+            path = page.path(at)
+            if page.article[at]:
+                articles.add(page.node[at])
+            elif page.node[at] in low and page.judged[at] and articles.isdisjoint(path):
+                found.add(page.node[at])
+    assert found and low.isdisjoint(articles)
+
+
+def test_deep_pages_have_deep_nodes(spark):
+    """A notice below 40 elements goes without the article beside it."""
+    wrap = lambda x: "<div>" * 40 + x + "</div>" * 40
+    rows = [(i, f"http://d.org/{i}", wrap(f"<div class=v2>Always the same</div><p>Story {i}</p>")) for i in range(12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in extract_text(pages).collect()} == {i: f"Story {i}" for i in range(12)}
+
+
 def test_copies_of_a_page_are_no_frame(spark):
     rows = [(i, f"http://h.org/{i}", "<body><div class='m'><p>The very same story</p></div></body>") for i in range(40)]
     rows += [(100 + i, f"http://h.org/x{i}", f"<body><div class='m'><p>The very same story</p><p>edit {i}</p></div></body>") for i in range(3)]

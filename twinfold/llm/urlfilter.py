@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinfold.llm.frames import pick, stage
+from twinfold.llm.frames import pick, position, stage
 
 #: Host and path of a URL: an optional scheme, user and port are dropped, and
 #: the path ends before a query or fragment.
@@ -101,7 +101,7 @@ def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     source = captures.toDF(*[f"_{i}" for i in range(len(captures.columns))])
     names = [c.lower() for c in captures.columns]
     kept = [i for i, c in enumerate(names) if c not in added]
-    at = {c: names.index(c) for c in ("url", "fetched_on")}
+    at = {c: position(captures, c) for c in ("url", "fetched_on")}
     source = stage(source.select(*[f"_{i}" for i in kept], F.monotonically_increasing_id().alias("tag")))
     lists = stage(validity_intervals(entries))
     # one number, however long the lists are
