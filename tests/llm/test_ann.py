@@ -76,3 +76,42 @@ def test_odd_rows(spark):
     twice = nearest_neighbours(frame.union(frame)).where("query_id = 0").count()
     assert twice == 2 * 5
     assert nearest_neighbours(frame.where("false")).count() == 0
+
+
+def made_vectors(kind):
+    """2,000 rows each: even in all directions, in clusters, on a curved surface, and the given table."""
+    rng = np.random.default_rng(12)
+    n, d = 2000, 64
+    if kind == "unit":
+        v = rng.normal(size=(n, d))
+        return v / np.linalg.norm(v, axis=1)[:, None]
+    if kind == "clusters":
+        return rng.normal(size=(40, d))[rng.integers(0, 40, n)] + 0.15 * rng.normal(size=(n, d))
+    if kind == "surface":
+        return np.tanh(rng.normal(size=(n, 3)) @ rng.normal(size=(3, d)))
+    return np.array(pq.read_table("/root/testdata/sf0.1/embeddings.parquet")["embedding"].to_pylist(), float)
+
+
+@pytest.mark.parametrize("kind, most", [("unit", 1.0), ("clusters", 0.35), ("surface", 0.15), ("table", 1.0)])
+def test_recall_and_pruning_of_deep_trees(kind, most):
+    """Trees of several levels at both factors, and the share of distances computed."""
+    points = made_vectors(kind)
+    queries = points[::100]
+    near = np.argsort(((points - queries[:, None]) ** 2).sum(axis=2), axis=1, kind="stable")[:, :10]
+    recall, share = {}, {}
+    for factor in (1.0, 2.0):
+        tree = VantageTree(points)
+        row, point, _ = tree.search(queries, 10, factor)
+        assert tree.depth >= 5
+        hits = sum(len(set(point[row == q]) & set(near[q])) for q in range(len(queries)))
+        recall[factor], share[factor] = hits / near.size, tree.visited / (len(points) * len(queries))
+    assert recall[1.0] == 1.0 and recall[2.0] >= 0.9
+    assert share[2.0] <= share[1.0] and share[2.0] <= most
+
+
+def test_a_far_point_makes_no_candidates():
+    points = np.concatenate([made_vectors("unit"), np.full((1, 64), 1e6)])
+    row, point, _ = VantageTree(points).search(points[:40], 11, 2.0)
+    assert len(row) < 40 * 12
+    near = np.argsort(((points - points[:40, None]) ** 2).sum(axis=2), axis=1)[:, :11]
+    assert all(set(near[q]) <= set(point[row == q]) for q in range(40))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pyarrow.parquet as pq
 import pytest
@@ -77,6 +78,49 @@ def test_redaction(spark, odd_documents):
     assert sorted(map(str, secrets.redact_secrets(odd_documents).collect())) == sorted(map(str, odd_documents.collect()))
 
 
+BODY = "\n".join("Ab0+/xyZ" * 8 for _ in range(5))
+
+
+@pytest.mark.parametrize(
+    "key, rest",
+    [
+        (f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0F1E\n\n{BODY}\nAb0=\n-----END RSA PRIVATE KEY-----", "\nmore text"),
+        (f"-----BEGIN PRIVATE KEY-----\n{BODY}\nAb0+x\n-----END PRIVATE KEY-----", " - and more"),
+        ("-----BEGIN EC PRIVATE KEY-----\\n" + BODY.replace("\n", "\\n") + "\\n-----END EC PRIVATE KEY-----", '\\n"}'),
+        (f"-----BEGIN PRIVATE KEY-----\n{BODY}\nAb0+x", "\nThe text goes on in sentences."),
+        (f"-----BEGIN OPENSSH PRIVATE KEY-----\n{BODY}", ""),
+    ],
+)
+def test_no_byte_of_a_private_key_stays(spark, key, rest):
+    docs = spark.createDataFrame([(1, f"before {key}{rest}")], "doc_id long, text string")
+    assert secrets.redact_secrets(docs).first().text == f"before [secret]{rest}"
+
+
+def test_many_headers_take_linear_time():
+    began = time.time()
+    secrets.find_spans(["-----BEGIN PRIVATE KEY-----\n" * 20_000, "-----BEGIN PRIVATE KEY----- " + "ab cd " * 200_000])
+    assert time.time() - began < 20
+
+
+@pytest.mark.parametrize(
+    "pattern, query",
+    [
+        ("a{2}bc", {"aab", "abc"}),
+        ("[^a]bcd", {"bcd"}),
+        ("x(?=y)abc", {"xab", "abc"}),
+        (r"(?:a|b)cde?", {"acd", "bcd", "cde"}),
+        (r"\d+@foo\.com", {"@fo", "foo", "oo.", "o.c", ".co", "com"}),
+        ("abc|", set()),
+        ("(?i)abc", set()),
+        (r"(abc)\1", set()),
+        ("(?P<n>abc)", set()),
+    ],
+)
+def test_reader_of_expressions(pattern, query):
+    """What is not known gives no trigram, so every document is scanned."""
+    assert secrets.trigrams_of(secrets.trigram_query(pattern)) == query
+
+
 def test_odd_documents(spark, odd_documents):
     out = secrets.scan_secrets(odd_documents.withColumnRenamed("score", "Secret_Spans"))
     assert out.columns == ["doc_id", "text", "lang", "secret_spans"]

@@ -22,17 +22,16 @@ from twinfold.llm.frames import pick, stage
 class VantageTree:
     """A vantage-point tree over the rows of a matrix, for batches of queries."""
 
-    def __init__(self, points: np.ndarray, leaf: int = 512):
+    def __init__(self, points: np.ndarray, leaf: int = 64):
         self.points, self.leaf = points, leaf
         self.square = np.einsum("ij,ij->i", points, points)
-        self.root = self._node(np.arange(len(points)))
-        self.visited = 0
+        #: What rounding may add to a squared distance, for one unit of the squared norms.
+        self.rounding = 2e-15 * (points.shape[1] + 32)
+        self.visited = self.depth = 0
+        self.root = self._node(np.arange(len(points)), 0)
 
-    def _far(self, queries: np.ndarray, square: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Squared distances of all queries to some points, to rounding."""
-        return np.maximum(square[:, None] + self.square[at] - 2.0 * (queries @ self.points[at].T), 0.0)
-
-    def _node(self, at: np.ndarray):
+    def _node(self, at: np.ndarray, depth: int):
+        self.depth = max(self.depth, depth)
         if len(at) <= self.leaf:
             return at
         # the vantage point: of a few points the one farthest from their middle
@@ -44,39 +43,41 @@ class VantageTree:
         half = len(at) // 2
         sides = []
         for part in (order[:half], order[half:]):
-            sides.append((float(d[part[0]]), float(d[part[-1]]), self._node(np.sort(at[part]))))
+            sides.append((float(d[part[0]]), float(d[part[-1]]), self._node(np.sort(at[part]), depth + 1)))
         return vantage, sides
 
     def search(self, queries: np.ndarray, k: int, factor: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Candidates ``(query, point, squared)``: the ``k`` nearest that were
-        found for each query, and all that tie with the last of them."""
+        found for each query, and all that rounding cannot tell from the last
+        of them. Rounding is bounded for each pair by its own norms, so that a
+        far point makes no other one a candidate."""
         square = np.einsum("ij,ij->i", queries, queries)
-        slack = 1e-9 * (square + (self.square.max() if len(self.square) else 0.0) + 1e-300)
-        best = np.full((len(queries), k), np.inf)
+        best = np.full((len(queries), k), np.inf)  # upper bounds of the nearest squared distances
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def visit(node, rows):
             if not len(rows):
                 return
             if isinstance(node, np.ndarray):
-                d = self._far(queries[rows], square[rows], node)
+                norms = square[rows][:, None] + self.square[node]
+                d = np.maximum(norms - 2.0 * (queries[rows] @ self.points[node].T), 0.0)
                 self.visited += d.size
-                both = np.concatenate([best[rows], d], axis=1)
+                norms *= self.rounding
+                both = np.concatenate([best[rows], d + norms], axis=1)
                 both.partition(k - 1, axis=1)
                 best[rows] = both[:, :k]
-                bound = best[rows].max(axis=1) + slack[rows]
-                r, c = np.nonzero(d <= bound[:, None])
-                found.append((rows[r], node[c], d[r, c]))
+                r, c = np.nonzero(d - norms <= best[rows].max(axis=1)[:, None])
+                found.append((rows[r], node[c], (d - norms)[r, c]))
                 return
             vantage, sides = node
-            d = np.sqrt(self._far(queries[rows], square[rows], np.array([vantage]))[:, 0])
-            gap = np.stack([np.maximum(lo - d, d - hi) for lo, hi, _ in sides])
+            d = np.sqrt(((queries[rows] - self.points[vantage]) ** 2).sum(axis=1))
+            gap = np.stack([np.maximum(lo - d, d - hi) - 1e-12 * (d + hi) for lo, hi, _ in sides])
             first = gap.argmin(axis=0)
             for turn in (0, 1):
                 for side in (0, 1):
                     mine = (first == side) == (turn == 0)
                     # best may have shrunk since, so it is looked up only now
-                    open_ = factor * gap[side] <= np.sqrt(best[rows].max(axis=1) + slack[rows]) + 1e-9
+                    open_ = factor * gap[side] <= np.sqrt(best[rows].max(axis=1))
                     visit(sides[side][2], rows[mine & open_])
 
         if len(self.points):
@@ -84,9 +85,9 @@ class VantageTree:
                 visit(self.root, np.arange(at, min(at + 4096, len(queries))))
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        row, point, d = (np.concatenate([f[i] for f in found]) for i in range(3))
-        near = d <= (best.max(axis=1) + slack)[row]
-        return row[near], point[near], d[near]
+        row, point, least = (np.concatenate([f[i] for f in found]) for i in range(3))
+        near = least <= best.max(axis=1)[row]
+        return row[near], point[near], least[near]
 
 
 def _matrix(column) -> np.ndarray:
@@ -143,7 +144,7 @@ def nearest_neighbours(
     shard_rows: int = 65_536,
     block_rows: int = 16_384,
     least_shards: int = 12,
-    leaf: int = 512,
+    leaf: int = 64,
 ) -> DataFrame:
     """The ``k`` nearest rows of each query by Euclidean distance.
 

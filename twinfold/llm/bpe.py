@@ -89,90 +89,101 @@ class BytePairCodec:
                 if (found := ranks.get(token[:n], -1)) >= 0:
                     self.shorter[rank] = found
                     break
-        # the two tokens whose merge gives each token; a byte is its own halves
-        self.merged: dict[tuple[int, int], int] = {}
-        self.halves: list[tuple[int, int]] = [(i, i) for i in range(self.size)]
-        self.memo: dict[int, bool] = {}
         self.ranks = ranks
+        # the two tokens whose merge gives each token, None for bytes and for
+        # what no merge gives; lower ranks first, as parts rank below the whole
+        self.parts: list[tuple[int, int] | None] = [None] * self.size
+        self.memo: dict[int, bool] = {}
         for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
             left = self.shorter[rank]
             while left >= 0:
                 right = ranks.get(token[self.length[left] :], -1)
-                if 0 <= right < rank and left < rank and self._stable(left, right):
-                    self.merged[left, right] = rank
-                    self.halves[rank] = (left, right)
+                if 0 <= right < rank and left < rank and self._apart(left, right, rank):
+                    self.parts[rank] = left, right
                     break
                 left = self.shorter[left]
         self.pieces: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def _stable(self, a: int, b: int) -> bool:
-        """Whether merging leaves ``a`` and ``b`` side by side.
+    def _edge(self, token: int, side: int, limit: int) -> list[tuple[int, int]]:
+        """What stands at one edge of a token while it is being merged, in order:
+        each part with the rank of the merge that takes it up."""
+        out = [(token, limit)]
+        while (parts := self.parts[token]) is not None:
+            out.append((parts[side], token))
+            token = parts[side]
+        out.reverse()
+        return out
+
+    def _apart(self, a: int, b: int, limit: int) -> bool:
+        """Whether the merges of rank below ``limit`` leave ``a`` and ``b`` apart.
 
-        Undo the merges of both from the latest back; a pair that meets at the
-        seam must not merge before the merges that hide it.
+        Merges come by rank. As time goes through the ranks, the seam between
+        the two has a part of ``a`` on its left and one of ``b`` on its right.
+        The seam closes if their own merge comes before the merge that takes
+        one of them up; of equal merges the one further left comes first.
         """
-        limit = 1 << 62
+        left, right, i, j = self._edge(a, 1, limit), self._edge(b, 0, limit), 0, 0
+        text, rank_of = self.bytes, self.ranks.get
         while True:
-            if self.merged.get((a, b), 1 << 62) < limit:
+            (x, x_ends), (y, y_ends) = left[i], right[j]
+            rank = rank_of(text[x] + text[y])
+            if rank is not None and rank < x_ends and rank <= y_ends and rank < limit:
                 return False
-            if a > b:
-                limit, a = a, self.halves[a][1]
-                if a == limit:
-                    limit, b = b + 1, self.halves[b][0]
-                    if b + 1 == limit:
-                        return True
+            if x_ends >= limit and y_ends >= limit:
+                return True
+            if x_ends <= y_ends:
+                i += 1
             else:
-                limit, b = b + 1, self.halves[b][0]
-                if b + 1 == limit:
-                    limit, a = a, self.halves[a][1]
-                    if a == limit:
-                        return True
+                j += 1
 
     def encode_piece(self, piece: bytes) -> list[int]:
+        """The tokens that the merges leave of a piece.
+
+        A depth-first search: at each place the longest token is tried first,
+        then its shorter prefixes; a token must stay apart from the one before
+        it. Tokens that pairwise stay apart are what the merges leave, so the
+        way to a place is unique, and a place that no token leads on from is
+        dead whatever comes before it.
+        """
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        length, shorter, memo, n = self.length, self.shorter, self.memo, len(piece)
+        n = len(piece)
+        if not n:
+            return []
+        length, shorter, memo, never = self.length, self.shorter, self.memo, 1 << 62
         longest = [-1] * n
         # ends come in order, the longest token of each end first, so the last
         # token noted for a start is its longest
         for end, token in self.automaton.iter(piece.decode("latin-1")):
             longest[end - length[token] + 1] = token
-        out: list[int] = []
-        closed = None
-        at, token, last = 0, longest[0] if n else -1, -1
-        while at < n:
-            while True:
-                end = at + length[token]
-                if closed is None or not closed[end]:
-                    if last < 0:
-                        break
-                    key = last << 32 | token
-                    fits = memo.get(key)
-                    if fits is None:
-                        if len(memo) >= self.PAIRS:
-                            memo.clear()
-                        fits = memo[key] = self._stable(last, token)
-                    if fits:
-                        break
-                token = shorter[token]
-                if token < 0:
-                    break
-            if token >= 0:
-                out.append(token)
-                last, at = token, end
-                token = longest[at] if at < n else -1
-            else:
-                if not out:
+        path, dead, at, token = [], set(), 0, longest[0]
+        while True:
+            if token < 0:
+                if not path:
                     raise ValueError("the vocabulary lacks single bytes")
-                if closed is None:
-                    closed = bytearray(n + 1)
-                closed[at] = 1
-                token = out.pop()
+                dead.add(at)
+                token = path.pop()
                 at -= length[token]
-                last = out[-1] if out else -1
-        return out
+                token = shorter[token]
+                continue
+            end = at + length[token]
+            fits = end not in dead
+            if fits and path:
+                pair = path[-1] << 32 | token
+                fits = memo.get(pair)
+                if fits is None:
+                    if len(memo) >= self.PAIRS:
+                        memo.clear()
+                    fits = memo[pair] = self._apart(path[-1], token, never)
+            if not fits:
+                token = shorter[token]
+                continue
+            path.append(token)
+            if end == n:
+                return path
+            at, token = end, longest[end]
 
     def _piece(self, piece: str) -> bytes:
         """The ids of a piece not among the recent ones.

@@ -11,10 +11,12 @@ import ctypes
 import gc
 import math
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -52,17 +54,22 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where it is unset (tests, a laptop) a local folder stands in.
+    Only where it is unset and everything runs on one machine (tests, a
+    laptop) a local folder stands in; on a cluster that is an error.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="twinfold-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    if not sc.getCheckpointDir():
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="twinfold-"))
+    return sc.getCheckpointDir().rstrip("/")
 
 
-_staged: dict[str, SparkSession] = {}
+#: Staged tables that nobody has deleted yet, each with what deletes it.
+_staged: dict[str, Callable[[], None]] = {}
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -73,7 +80,9 @@ def stage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/twinfold/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _staged[path] = spark
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    _staged[path] = lambda: system.delete(target, True)
     out = spark.read.schema(df.schema).parquet(path)
     out._twinfold_path = path
     return out
@@ -82,20 +91,40 @@ def stage(df: DataFrame) -> DataFrame:
 def unstage(*frames: DataFrame) -> None:
     """Delete staged tables that no later stage reads."""
     for frame in frames:
-        path = getattr(frame, "_twinfold_path", None)
-        if path and (spark := _staged.pop(path, None)):
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        if delete := _staged.pop(getattr(frame, "_twinfold_path", None), None):
+            delete()
+
+
+@contextmanager
+def scope():
+    """Delete on leaving whatever was staged inside, but for what is kept.
+
+    ``with scope() as keep: ... return keep(stage(result))``. For callers that
+    have a result written down before they leave; a result that is still to
+    be read needs the tables it reads.
+    """
+    before, kept = set(_staged), set()
+
+    def keep(frame: DataFrame) -> DataFrame:
+        kept.add(getattr(frame, "_twinfold_path", None))
+        return frame
+
+    try:
+        yield keep
+    finally:
+        for path in [p for p in _staged if p not in before and p not in kept]:
+            _staged.pop(path)()
 
 
 @atexit.register
 def _clear() -> None:
-    for path in list(_staged):
-        if path.startswith(("/", "file:/")):
-            import shutil
-
-            shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+    """What a result still read when the program ended, wherever it is stored."""
+    for path, delete in list(_staged.items()):
+        try:
+            delete()
+        except Exception:  # noqa: BLE001  the JVM has gone; a local folder needs none
+            if path.startswith(("/", "file:")):
+                shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
 
 
 def ship(spark: SparkSession) -> None:

@@ -12,8 +12,6 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 from functools import lru_cache
-from re import _constants as C
-from re import _parser as parser
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +49,13 @@ BASE_RULES = (
     Rule("hex", r"[0-9a-f]+", least=32),
 )
 ADDED_RULES = (
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    # to the END line; without one, to the end of the base64 body
+    Rule(
+        "private_key",
+        r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
+        r"(?:(?:[^-]|-(?!----))*+-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
+        r"|(?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]{16,}+)*+(?:(?:\r?\n|\\n)[A-Za-z0-9+/]{1,63}={0,2}(?=\s|\\|$))?)",
+    ),
     Rule("code_host", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("maps", r"AIza[0-9A-Za-z_-]{35}"),
@@ -123,55 +127,156 @@ def _union(parts):
     )
 
 
-def _class_chars(items):
-    chars: set[str] = set()
-    for op, value in items:
-        if op is C.LITERAL:
-            chars.add(chr(value))
-        elif op is C.RANGE and value[1] - value[0] < 64:
-            chars |= {chr(i) for i in range(value[0], value[1] + 1)}
-        else:
+class _Reader:
+    """Reads an expression into ``("or", sequences)``, a sequence being a list of
+    nodes ``("chars", characters or None)``, ``("repeat", least, most, node)``
+    and ``("or", ...)``. Assertions match nothing of their own. What it does not
+    know raises ValueError."""
+
+    def __init__(self, pattern: str):
+        self.pattern, self.at = pattern, 0
+
+    def peek(self, n: int = 1) -> str:
+        return self.pattern[self.at : self.at + n]
+
+    def take(self, n: int = 1) -> str:
+        got = self.peek(n)
+        if len(got) < n:
+            raise ValueError("the expression ends too early")
+        self.at += n
+        return got
+
+    def alternatives(self):
+        sequences = [[]]
+        while self.peek() and self.peek() != ")":
+            if self.peek() == "|":
+                self.at += 1
+                sequences.append([])
+                continue
+            node = self.repeated(self.atom())
+            if node is not None:
+                sequences[-1].append(node)
+        return "or", sequences
+
+    def atom(self):
+        c = self.take()
+        if c == "(":
+            assertion = False
+            if self.peek() == "?":
+                self.at += 1
+                kind = self.take()
+                if kind == "<" and self.peek() in ("=", "!"):
+                    kind = self.take()
+                assertion = kind in "=!"
+                if not assertion and kind not in ":>":
+                    raise ValueError(f"group of kind {kind!r}")
+            inner = self.alternatives()
+            if self.take() != ")":
+                raise ValueError("a group is not closed")
+            return None if assertion else inner
+        if c in "^$":
+            return None
+        if c == ".":
+            return "chars", None
+        if c == "[":
+            return "chars", self.char_class()
+        if c == "\\":
+            chars = self.escape()
+            return None if chars == "" else ("chars", chars)
+        if c in "*+?{":
+            raise ValueError("nothing to repeat")
+        return "chars", frozenset(c)
+
+    def escape(self):
+        """The characters of an escape, None for many, "" for an assertion."""
+        c = self.take()
+        if c == "x":
+            return frozenset(chr(int(self.take(2), 16)))
+        if c in "bBAZ":
+            return ""
+        if c in "dDwWsS":
             return None
-    chars = {c.lower() for c in chars}
-    return chars if len(chars) <= _MOST_CLASS else None
-
-
-def _describe(tree):
-    out = _EMPTY
-    for op, value in tree:
-        if op is C.LITERAL:
-            node = _of_exact({chr(value).lower()})
-        elif op is C.IN:
-            chars = _class_chars(value)
-            node = _of_exact(chars) if chars else _ANY
-        elif op is C.SUBPATTERN:
-            node = _describe(value[-1])
-        elif op is C.BRANCH:
-            node = _union([_describe(t) for t in value[1]])
-        elif op in (C.MAX_REPEAT, C.MIN_REPEAT, C.POSSESSIVE_REPEAT):
-            least, most, inner = value
-            one = _describe(inner)
-            node = _EMPTY
-            for _ in range(min(least, 3)):
-                node = _concat(node, one)
-            if (least, most) == (0, 1):
-                node = _union([_EMPTY, one])
-            elif most != least or least > 3:
-                node = _concat(node, _ANY)
-        elif op is C.AT or op in (C.ASSERT, C.ASSERT_NOT):
-            node = _EMPTY
+        if c in "nrtfv":
+            return frozenset({"n": "\n", "r": "\r", "t": "\t", "f": "\f", "v": "\v"}[c])
+        if c.isalnum():
+            raise ValueError(f"escape of {c!r}")
+        return frozenset(c)
+
+    def char_class(self):
+        chars, known, first = set(), self.peek() != "^", True
+        while first or self.peek() != "]":
+            first = False
+            c = self.take()
+            one = self.escape() if c == "\\" else frozenset(c)
+            if c == "^" and not known and not chars:
+                continue
+            if not one:
+                known = False
+            elif self.peek() == "-" and self.peek(2)[1:] not in ("]", ""):
+                self.at += 1
+                c = self.take()
+                last = self.escape() if c == "\\" else frozenset(c)
+                if not last:
+                    raise ValueError("a range without an end")
+                chars |= {chr(i) for i in range(ord(min(one)), ord(min(last)) + 1)}
+            else:
+                chars |= one
+        self.at += 1
+        return frozenset(chars) if known else None
+
+    def repeated(self, node):
+        braces = re.compile(r"\{(\d*)(,?)(\d*)\}").match(self.pattern, self.at)
+        c = self.peek()
+        if c and c in "*+?":
+            self.at += 1
+            least, most = (1 if c == "+" else 0), (1 if c == "?" else None)
+        elif braces and (braces[1] or braces[3]):
+            self.at = braces.end()
+            least = int(braces[1] or 0)
+            most = (int(braces[3]) if braces[3] else None) if braces[2] else least
         else:
-            node = _ANY
-        out = _concat(out, node)
-    return out
+            return node
+        if self.peek() and self.peek() in "?+":  # lazy or possessive: the same strings
+            self.at += 1
+        return None if node is None else ("repeat", least, most, node)
+
+
+def _describe(node):
+    kind = node[0]
+    if kind == "chars":
+        chars = {c.lower() for c in node[1] or ()}
+        return _of_exact(chars) if 0 < len(chars) <= _MOST_CLASS else _ANY
+    if kind == "or":
+        parts = []
+        for sequence in node[1]:
+            out = _EMPTY
+            for n in sequence:
+                out = _concat(out, _describe(n))
+            parts.append(out)
+        return _union(parts)
+    _, least, most, inner = node
+    one, out = _describe(inner), _EMPTY
+    for _ in range(min(least, 3)):
+        out = _concat(out, one)
+    if (least, most) == (0, 1):
+        return _union([_EMPTY, one])
+    return out if most == least and least <= 3 else _concat(out, _ANY)
 
 
 def trigram_query(pattern: str):
     """A Boolean query over lower-case trigrams that every match satisfies.
 
-    True means no trigram is mandatory.
+    True means no trigram is mandatory, or that the expression has something
+    this reader does not know (back references, inline flags).
     """
-    exact, _, _, query = _describe(parser.parse(pattern))
+    reader = _Reader(pattern)
+    try:
+        tree = reader.alternatives()
+    except ValueError:
+        return True
+    if reader.at < len(pattern):
+        return True
+    exact, _, _, query = _describe(tree)
     return _both(query, _contains(exact) if exact is not None else True)
 
 
