@@ -36,6 +36,24 @@ def brute(docs, items, window):
     return out
 
 
+def brute_longest(text, items, window):
+    """``(words, place, {(item, place in it)})`` of the longest match by trying all pairs of places."""
+    w, best = words(text), {}
+    for name, other in items:
+        v = words(other)
+        for i in range(len(w)):
+            for j in range(len(v)):
+                n = 0
+                while i + n < len(w) and j + n < len(v) and w[i + n] == v[j + n]:
+                    n += 1
+                if n >= min(window, len(v)):
+                    best.setdefault((-n, i), set()).add((name, j))
+    if not best:
+        return 0, None, {(None, None)}
+    n, i = min(best)
+    return -n, i, best[n, i]
+
+
 def test_query(spark, small):
     docs = pq.read_table(f"{small}/documents.parquet").to_pylist()
     items = pq.read_table(f"{small}/benchmark.parquet").to_pylist()
@@ -45,7 +63,9 @@ def test_query(spark, small):
     for d, (n, hit, found) in zip(docs, want, strict=True):
         r = got[d["doc_id"]]
         digest = hashlib.sha256(",".join(found).encode()).hexdigest()
-        assert tuple(r)[1:] == (n, hit, len(found), digest, hit > 0)
+        assert tuple(r)[1:6] == (n, hit, len(found), digest, hit > 0)
+        longest = brute_longest(d["text"], [(str(i["item_id"]), i["text"]) for i in items], 10)[:2] if hit else (0, -1)
+        assert (r.longest_words, r.longest_at) == longest
 
 
 def test_random_texts(spark):
@@ -60,10 +80,33 @@ def test_random_texts(spark):
     for chunk in (8 << 20, 20):
         got = decontam.decontaminate(frame, bench, window=4, chunk_bytes=chunk, shard_rows=17).collect()
         assert [(r.n_words, r.n_hit, r["items"]) for r in sorted(got)] == want
+        more = decontam.decontaminate(frame, bench, window=4, chunk_bytes=chunk, shard_rows=17, longest=True).collect()
+        for r in more:
+            n, at, places = brute_longest(docs[r.doc_id], items, 4)
+            assert (r.longest_words, r.longest_at) == (n, at) and (r.longest_item, r.longest_item_at) in places
     clean = decontam.remove_contaminated(frame, bench, window=4).collect()
     assert sorted(r.doc_id for r in clean) == [i for i, (_, hit, _) in enumerate(want) if not hit]
 
 
+def test_chunks_are_built_once(monkeypatch):
+    """A worker builds the chunks it keeps once, the others once for each slice."""
+    built = []
+    make = decontam.Suffixes.of
+    monkeypatch.setattr(decontam.Suffixes, "of", lambda items, window: built.append(items) or make(items, window))
+    monkeypatch.setattr(decontam, "KEPT_CHUNKS", 2)
+    decontam._suffixes.clear()
+
+    class Chunk:
+        def __init__(self, i):
+            self.value = f"chunk {i}", [(str(i), f"{'ab' * i} b c d e f".encode())]
+
+    chunks = [Chunk(i) for i in range(1, 6)]
+    for _ in range(10):
+        found = decontam._shard_rows([b"x abab b c d e f", b"b c d e"], decontam._load(chunks, 4))
+        assert found.longest.tolist() == [6, 4] and found.item[0] == "2" and found.items[0] == set("12345")
+    assert len(built) == 2 + 10 * 3
+
+
 def test_longest_matches(spark):
     docs = spark.createDataFrame([(7, "x a b c d y"), (3, "z a b c q"), (9, "a b c d")], "doc_id long, text string")
     bench = spark.createDataFrame([("i", "a b c d e")], "item_id string, text string")

@@ -9,7 +9,7 @@ first words gives all the places where its window occurs.
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +27,7 @@ from pyspark.sql.types import (
 from twinfold.llm.frames import add_columns, pick, same_columns, slices, tidy
 
 #: Bytes of text that one suffix array covers at most.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 4 << 20
 #: Lower-cases A-Z and blanks every byte that is not of a word.
 _TABLE = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
@@ -39,6 +39,37 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).split()
 
 
+def suffix_array(tokens: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
+    """Order of the suffixes at ``starts`` by their first ``depth`` words.
+
+    ``tokens`` ends every run with a 0, which sorts first and ends a suffix.
+    Ranks are doubled: by 1, 2, 4, ... words.
+    """
+    rank = np.zeros(len(tokens) + 1, dtype=np.int64)
+    rank[starts] = tokens[starts]
+    covered = 1
+    order = np.argsort(rank[starts], kind="stable")
+    while covered < depth:
+        second = rank[np.minimum(starts + covered, len(tokens))]
+        key = rank[starts] * (int(rank.max()) + 1) + second
+        order = np.argsort(key, kind="stable")
+        ordered = key[order]
+        fresh = np.cumsum(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+        rank[starts[order]] = fresh
+        covered *= 2
+        if fresh[-1] == len(starts):
+            break
+    return starts[order]
+
+
+class _Numbers(dict):
+    """Numbers words from 1 in the order they are first met."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self) + 1
+        return n
+
+
 @dataclass
 class Suffixes:
     """The suffixes of some benchmark items over a vocabulary of word numbers.
@@ -47,7 +78,9 @@ class Suffixes:
     ``starts`` are the suffixes, ``left`` the words each has, ``window`` how
     many of them make its window (0: too few, or an earlier suffix has the
     same), ``item`` whose they are and ``first`` where in the item they begin.
-    ``sharers`` are the items that have the window of a suffix.
+    ``order`` lists the suffixes as they sort, ``size`` is the number of words
+    of a full window. ``sharers`` are the items that
+    have the window of a suffix.
     """
 
     vocabulary: dict[bytes, int]
@@ -57,57 +90,48 @@ class Suffixes:
     window: np.ndarray
     item: np.ndarray
     first: np.ndarray
+    order: np.ndarray
+    size: int
     ids: list[str]
-    sharers: dict[int, set[str]]
+    _begin: dict[int, tuple[int, int]]
+    _items: np.ndarray
 
     @classmethod
     def of(cls, items: list[tuple[str, bytes]], window: int) -> Suffixes:
-        vocabulary: dict[bytes, int] = {}
-        tokens, starts, left, windows, owner, first, ids = [], [], [], [], [], [], []
-        by_words: dict[tuple, int] = {}
-        sharers: dict[int, set[str]] = {}
+        vocabulary, parts, ids = _Numbers(), [np.zeros(0, np.int64)], []
         for name, text in items:
-            found = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words(text)]
-            if not found:
-                continue
-            n, size = len(found), min(window, len(found))
-            starts += range(len(tokens), len(tokens) + n)
-            left += range(n, 0, -1)
-            for i in range(n):
-                number = len(windows)
-                if n - i >= size:
-                    number = by_words.setdefault(tuple(found[i : i + size]), number)
-                    sharers.setdefault(number, set()).add(name)
-                windows.append(size if n - i >= size and number == len(windows) else 0)
-            owner += [len(ids)] * n
-            first += range(n)
-            ids.append(name)
-            tokens += [*found, 0]
-        as_array = lambda x: np.array(x, dtype=np.int64)
-        return cls(vocabulary, as_array(tokens), *map(as_array, (starts, left, windows, owner, first)), ids, sharers)
-
-
-def suffix_array(tokens: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the suffixes at ``starts`` by their first ``depth`` words.
-
-    ``tokens`` ends every run with a 0, which sorts first and ends a suffix.
-    Ranks are doubled: by 1, 2, 4, ... words.
-    """
-    rank = np.zeros(len(tokens) + 1, dtype=np.int64)
-    rank[starts] = tokens[starts]
-    covered = 1
-    order = np.argsort(rank[starts], kind="stable")
-    while covered < depth:
-        second = rank[np.minimum(starts + covered, len(tokens))]
-        key = rank[starts] * (int(rank.max()) + 1) + second
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        fresh = np.cumsum(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        rank[starts[order]] = fresh
-        covered *= 2
-        if fresh[-1] == len(starts):
-            break
-    return starts[order]
+            if found := words(text):
+                parts += [np.fromiter(map(vocabulary.__getitem__, found), np.int64, len(found)), np.zeros(1, np.int64)]
+                ids.append(name)
+        tokens = np.concatenate(parts)
+        zero = np.flatnonzero(tokens == 0)
+        lengths = np.diff(zero, prepend=-1) - 1
+        starts = np.flatnonzero(tokens)
+        item = np.repeat(np.arange(len(ids)), lengths)
+        left = zero[item] - starts
+        first = lengths[item] - left
+        size = np.minimum(window, lengths)[item]
+        depth = int(left.max()) if len(left) else 1
+        order = np.searchsorted(starts, suffix_array(tokens, starts, depth)) if len(starts) else starts
+        # suffixes with one window stand together among those that have one
+        full = order[left[order] >= size[order]]
+        same = np.zeros(len(full), bool)
+        if len(full):
+            same[1:] = size[full[1:]] == size[full[:-1]]
+            for i in range(window):
+                on = np.flatnonzero(same & (i < size[full]))
+                same[on] = tokens[starts[full[on]] + i] == tokens[starts[full[on - 1]] + i]
+        begin = np.flatnonzero(~same)
+        named = np.minimum.reduceat(full, begin) if len(full) else full
+        windows = np.zeros(len(starts), np.int64)
+        windows[named] = size[named]
+        ends = np.append(begin, len(full))[1:]
+        group = dict(zip(named.tolist(), zip(begin.tolist(), ends.tolist(), strict=True), strict=True))
+        return cls(dict(vocabulary), tokens, starts, left, windows, item, first, order, window, ids, group, item[full])
+
+    def sharers(self, suffix: int) -> set[str]:
+        a, b = self._begin[suffix]
+        return {self.ids[i] for i in self._items[a:b].tolist()}
 
 
 class Shard:
@@ -177,6 +201,27 @@ class Shard:
                 length[ok[better]], place[ok[better]] = n[better], found[better]
         return length, place
 
+    def longest_at(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each place the length of its longest match with a benchmark
+        suffix, and which suffix that is."""
+        bench = self.bench
+        lo, hi = np.zeros(len(place), np.int64), np.full(len(place), len(bench.order), np.int64)
+        while len(open_ := np.flatnonzero(lo < hi)):
+            mid = (lo[open_] + hi[open_]) // 2
+            which, at = bench.order[mid], place[open_]
+            n = self._common(at, which, bench.left[which])
+            before = bench.tokens[bench.starts[which] + n] < self.tokens[at + n]
+            lo[open_[before]] = mid[before] + 1
+            hi[open_[~before]] = mid[~before]
+        length, suffix = np.zeros(len(place), np.int64), np.full(len(place), -1, np.int64)
+        for neighbour in (lo - 1, lo):
+            ok = np.flatnonzero((neighbour >= 0) & (neighbour < len(bench.order)))
+            which = bench.order[neighbour[ok]]
+            n = self._common(place[ok], which, bench.left[which])
+            better = n > length[ok]
+            length[ok[better]], suffix[ok[better]] = n[better], which[better]
+        return length, suffix
+
     def windows(self):
         """Occurrences of the distinct windows: suffixes and places."""
         which = np.flatnonzero(self.bench.window > 0)
@@ -190,14 +235,33 @@ class Shard:
         return suffix, self.order[np.repeat(low, n) + offset]
 
 
-def _shard_rows(docs: list[bytes], chunks):
-    """Words, hit words and items of each document, over all chunks of items."""
+@dataclass
+class Found:
+    """What one shard's documents have in common with the benchmark.
+
+    For each document its words, its hit words, the items found, and its
+    longest verbatim match: words, the word of the document where it begins,
+    the item and the word of the item (0, -1, "", -1 without one).
+    """
+
+    n_words: np.ndarray
+    n_hit: np.ndarray
+    items: list[set[str]]
+    longest: np.ndarray
+    at: np.ndarray
+    item: list[str]
+    item_at: np.ndarray
+
+
+def _shard_rows(docs: list[bytes], chunks) -> Found:
+    """Hold a shard of documents against all chunks of items."""
     split = [words(d) for d in docs]
     sizes = np.array([len(s) for s in split], dtype=np.int64)
     begin = np.cumsum(sizes + 1) - (sizes + 1)
-    total = int((sizes + 1).sum())
-    hit_marks = np.zeros(total + 1, dtype=np.int64)
-    items: list[set[str]] = [set() for _ in docs]
+    hit_marks = np.zeros(int((sizes + 1).sum()) + 1, dtype=np.int64)
+    n = len(docs)
+    none = np.full(n, -1, np.int64)
+    out = Found(sizes, sizes, [set() for _ in docs], np.zeros(n, np.int64), none, [""] * n, none.copy())
     for bench in chunks:
         known = bench.vocabulary.get
         shard = Shard([[known(w, 0) for w in s] for s in split], bench)
@@ -205,22 +269,40 @@ def _shard_rows(docs: list[bytes], chunks):
         np.add.at(hit_marks, place, 1)
         np.add.at(hit_marks, place + bench.window[suffix], -1)
         doc = np.searchsorted(begin, place, side="right") - 1
-        n = max(1, len(bench.starts))
-        for pair in np.unique(doc * n + suffix).tolist():
-            items[pair // n] |= bench.sharers[pair % n]
+        width = max(1, len(bench.starts))
+        for pair in np.unique(doc * width + suffix).tolist():
+            out.items[pair // width] |= bench.sharers(pair % width)
+        # a match long enough to count begins with a window: of that many words
+        # or more, or all of a shorter item
+        by_size = np.lexsort((suffix, -bench.window[suffix], place))
+        place, first = np.unique(place[by_size], return_index=True)
+        short = suffix[by_size[first]]
+        length, suffix = shard.longest_at(place)
+        whole = length < bench.size
+        length[whole], suffix[whole] = bench.window[short[whole]], short[whole]
+        doc = np.searchsorted(begin, place, side="right") - 1
+        for i in np.lexsort((place, -length, doc))[np.searchsorted(np.sort(doc), np.unique(doc))].tolist():
+            d = int(doc[i])
+            at = place[i] - begin[d]
+            if length[i] > out.longest[d] or (length[i] == out.longest[d] and at < out.at[d]):
+                out.longest[d], out.at[d] = length[i], at
+                out.item[d], out.item_at[d] = bench.ids[bench.item[suffix[i]]], bench.first[suffix[i]]
     hits = np.concatenate(([0], np.cumsum(np.cumsum(hit_marks)[:-1] > 0)))
-    n_hit = hits[begin + sizes] - hits[begin] if len(docs) else sizes
-    return sizes, n_hit, items
+    out.n_hit = hits[begin + sizes] - hits[begin] if n else sizes
+    return out
 
 
-_suffixes: dict[tuple, Suffixes] = {}
+#: Chunks of items whose suffixes a worker keeps for its next slices and tasks.
+KEPT_CHUNKS = 4
+_suffixes: dict[tuple[str, int], Suffixes] = {}
 
 
 def _broadcast_items(benchmark: DataFrame, id_col: str, window: int, chunk_bytes: int):
-    """Broadcasts of the items in chunks of at most ``chunk_bytes`` of text.
+    """Broadcasts of the items in chunks of at most ``chunk_bytes`` of text,
+    each with a name of its own.
 
     The driver streams the items, so neither it nor a worker ever holds more
-    than one chunk; a benchmark of any size takes more chunks.
+    than a few chunks; a benchmark of any size takes more chunks.
     """
     sc = benchmark.sparkSession.sparkContext
     rows = pick(benchmark, id_col, "text").where(F.col("text").isNotNull())
@@ -228,30 +310,33 @@ def _broadcast_items(benchmark: DataFrame, id_col: str, window: int, chunk_bytes
     out, part, size = [], [], 0
     for row in rows.toLocalIterator():
         if size and size + len(row.text) > chunk_bytes:
-            out.append(sc.broadcast(part))
+            out.append(sc.broadcast((uuid.uuid4().hex, part)))
             part, size = [], 0
         part.append((row.item or "", bytes(row.text)))
         size += len(row.text)
-    return [*out, sc.broadcast(part)]
+    return [*out, sc.broadcast((uuid.uuid4().hex, part))]
 
 
 def _load(chunks, window: int):
-    """The suffixes of each chunk; the last one stays for the next task."""
+    """The suffixes of each chunk. The first few stay for the next slices; of
+    a larger benchmark only the others are built again for each slice."""
+    names = {b.value[0] for b in chunks[:KEPT_CHUNKS]}
+    for key in [k for k in _suffixes if k[0] not in names or k[1] != window]:
+        del _suffixes[key]
     for b in chunks:
-        key = hashlib.sha256(repr((window, b.value)).encode()).hexdigest()
-        if key not in _suffixes:
-            _suffixes.clear()
-            _suffixes[key] = Suffixes.of(b.value, window)
-        yield _suffixes[key]
+        name, items = b.value
+        found = _suffixes.get((name, window)) or Suffixes.of(items, window)
+        if name in names:
+            _suffixes[name, window] = found
+        yield found
 
 
 def _judge(chunks, window: int):
-    """A function from texts to their words, hit words and items."""
-    one = list(_load(chunks, window)) if len(chunks) == 1 else None
+    """A function from texts to what they have in common with the benchmark."""
 
-    def judge(texts):
+    def judge(texts) -> Found:
         raw = texts.cast(pa.binary()).to_pylist()
-        return _shard_rows([t or b"" for t in raw], one or _load(chunks, window))
+        return _shard_rows([t or b"" for t in raw], _load(chunks, window))
 
     return judge
 
@@ -260,17 +345,23 @@ def remove_contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
     window: int = 10,
-    chunk_bytes: int = 8 << 20,
+    chunk_bytes: int = 4 << 20,
     shard_rows: int = 8192,
 ) -> DataFrame:
-    """The rows without any hit word, with the columns they came with."""
+    """The rows without a match of the benchmark, with the columns they came with.
+
+    A row goes if its longest verbatim match has ``window`` words, or is all
+    of a shorter item. Null and empty texts have no words and stay, as does
+    every row if the benchmark is empty; repeated rows stay or go together,
+    very long texts are read whole, and an empty table stays empty.
+    """
     chunks = _broadcast_items(benchmark, "item_id", window, chunk_bytes)
 
     def begin():
         judge = _judge(chunks, window)
 
         def clean(part, at):
-            return part.filter(pa.array(judge(part.column(at))[1] == 0, pa.bool_()))
+            return part.filter(pa.array(judge(part.column(at)).longest == 0, pa.bool_()))
 
         return clean
 
@@ -281,15 +372,20 @@ def decontaminate(
     docs: DataFrame,
     benchmark: DataFrame,
     window: int = 10,
-    chunk_bytes: int = 8 << 20,
+    chunk_bytes: int = 4 << 20,
     shard_rows: int = 8192,
+    longest: bool = False,
 ) -> DataFrame:
     """Add ``n_words``, ``n_hit``, ``items`` and ``contaminated`` to every row.
 
     A word is hit if it lies in an occurrence of a window: ``window``
     consecutive words of an item, or all words of a shorter one. ``items`` are
     the distinct ids, sorted as strings, of the items with an occurring
-    window (a null id counts as the empty string). Null and empty texts have
+    window (a null id counts as the empty string). With ``longest`` come
+    ``longest_words``, the words of the document's longest verbatim match (0 if
+    it has no window), and the place of it: from word ``longest_at`` of the
+    document and word ``longest_item_at`` of ``longest_item`` on; of equally
+    long ones the first in the document. Null and empty texts have
     no words, so they hit nothing and no item without words is found; repeated
     documents and repeated items are each judged alike. Clashing input columns
     are replaced, others pass through; empty tables give no rows or no hits.
@@ -301,13 +397,21 @@ def decontaminate(
         StructField("items", ArrayType(StringType())),
         StructField("contaminated", BooleanType()),
     ]
+    if longest:
+        added += [StructField(f"longest_{c}", LongType()) for c in ("words", "at", "item_at")]
+        added.append(StructField("longest_item", StringType()))
 
     def begin():
         judge = _judge(chunks, window)
 
         def columns(texts):
-            n_words, n_hit, items = judge(texts)
-            return [n_words, n_hit, [sorted(i) for i in items], n_hit > 0]
+            got = judge(texts)
+            out = [got.n_words, got.n_hit, [sorted(i) for i in got.items], got.longest > 0]
+            if longest:
+                found = got.longest > 0
+                placed = [[int(x) if f else None for x, f in zip(c, found, strict=True)] for c in (got.at, got.item_at)]
+                out += [got.longest, *placed, [i if f else None for i, f in zip(got.item, found, strict=True)]]
+            return out
 
         return columns
 
@@ -315,7 +419,7 @@ def decontaminate(
 
 
 def longest_matches(
-    docs: DataFrame, benchmark: DataFrame, least: int = 10, chunk_bytes: int = 8 << 20, shard_rows: int = 8192
+    docs: DataFrame, benchmark: DataFrame, least: int = 10, chunk_bytes: int = 4 << 20, shard_rows: int = 8192
 ) -> DataFrame:
     """The longest verbatim match of every benchmark suffix over all shards.
 
@@ -331,8 +435,7 @@ def longest_matches(
         for part in slices(batches, most_rows=shard_rows, most_bytes=SHARD_BYTES):
             ids = part.column(0).to_pylist()
             split = [words(t or b"") for t in part.column(1).to_pylist()]
-            for b in chunks:
-                bench = Suffixes.of(b.value, least)
+            for bench in _load(chunks, least):
                 known = bench.vocabulary.get
                 shard = Shard([[known(w, 0) for w in s] for s in split], bench)
                 length, place = shard.longest()

@@ -132,7 +132,7 @@ FROM captures LEFT JOIN hits USING (tag)
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pick(_spread(spark, sf_dir, "documents"), "doc_id", "text")
-    out = decontam.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
+    out = decontam.decontaminate(docs, read_table(spark, sf_dir, "benchmark"), longest=True)
     return out.select(
         "doc_id",
         "n_words",
@@ -140,26 +140,33 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         "contaminated",
+        "longest_words",
+        F.coalesce("longest_at", F.lit(-1).cast("long")).alias("longest_at"),
     )
 
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP6_SQL = r"""
-WITH items AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all({lower}, '{word}') AS w
+WITH items AS (SELECT row_number() OVER () AS row, coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all({lower}, '{word}') AS w
                FROM benchmark WHERE text IS NOT NULL),
-windows AS (SELECT DISTINCT item, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS words
-            FROM (SELECT *, least(10, len(w)) AS k FROM items) WHERE k > 0),
+sized AS (SELECT *, least(10, len(w)) AS k FROM items WHERE len(w) > 0),
+windows AS (SELECT row, item, k, unnest(range(1, len(w) - k + 2)) AS j,
+                   unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS words FROM sized),
 docs AS (SELECT doc_id, row_number() OVER () AS tag, coalesce(regexp_extract_all({lower}, '{word}'), []) AS w FROM documents),
 cut AS (SELECT tag, k, range(1, len(w) - k + 2) AS starts, list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' ')) AS words
         FROM docs, (SELECT DISTINCT k FROM windows) WHERE len(w) >= k),
 places AS (SELECT tag, k, unnest(starts) AS i, unnest(words) AS words FROM cut),
-hits AS (SELECT tag, i, k, item FROM places JOIN windows USING (k, words)),
+hits AS (SELECT tag, i, k, row, item, j FROM places JOIN windows USING (k, words)),
 words AS (SELECT tag, count(DISTINCT j) AS n_hit FROM (SELECT tag, unnest(range(i, i + k)) AS j FROM hits) GROUP BY tag),
-found AS (SELECT tag, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hits GROUP BY tag)
+found AS (SELECT tag, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hits GROUP BY tag),
+runs AS (SELECT tag, i, k, row, i - j AS shift, i - row_number() OVER (PARTITION BY tag, row, i - j ORDER BY i) AS run FROM hits),
+matches AS (SELECT tag, min(i) - 1 AS first, count(*) + any_value(k) - 1 AS n FROM runs GROUP BY tag, row, shift, run),
+longest AS (SELECT tag, max(n) AS n, arg_max(first, n * 1000000000 - first) AS first FROM matches GROUP BY tag)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
-FROM docs LEFT JOIN words USING (tag) LEFT JOIN found USING (tag)
+       sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated,
+       CAST(coalesce(n, 0) AS BIGINT) AS longest_words, coalesce(CAST(first AS BIGINT), -1) AS longest_at
+FROM docs LEFT JOIN words USING (tag) LEFT JOIN found USING (tag) LEFT JOIN longest USING (tag)
 """.replace("{lower}", _LOWER).replace("{word}", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
