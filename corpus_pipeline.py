@@ -7,18 +7,28 @@ texts go in the first stage, as they have no language.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinfold.llm import bpe, decontam, langid, secrets
-from twinfold.llm.frames import pick, position, ship, stage, unstage
-from twinfold.llm.neardup import near_duplicates
+from twinfold.llm.frames import pick, position, scope, ship, stage, unstage
+from twinfold.llm.neardup import drop_near_duplicates
 from twinfold.llm.queries import vocabulary
 from twinfold.sources.tables import read_table, spread
 
+# In every stage but the last all columns pass through, whatever their names,
+# nulls in them stay, and a column is an input only if its name is exact or no
+# other name is. An empty table stays empty.
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages learned from the labelled ones."""
+    """Documents in one of the languages learned from the labelled ones.
+
+    A document goes if it is null, empty or without letters, or if less than a
+    fifth of its n-grams belong to any learned language; so all go if none is
+    labelled. Very long texts are read whole. Equal texts are judged alike and
+    repeated rows stay repeated; ties go to the smaller name.
+    """
     ship(spark)
     return langid.keep_identified(docs, langid.learn(langid.training_rows(docs)))
 
@@ -26,34 +36,34 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that of the smallest id.
 
+    Documents are linked if four fifths of their 5-word shingles are common.
     Rows that share an id but not their text are different documents. Of
     several with the smallest id of a group one is kept, and of copies of a
-    row, id and text alike, any one.
+    row, id and text alike, any one; a null id is larger than all others. Texts
+    without words, null or empty, are linked with nothing and stay. Very long
+    texts are compared whole.
     """
     ship(spark)
-    at, text = f"_{position(docs, 'doc_id')}", f"_{position(docs, 'text')}"
-    rows = docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])
-    # bytes in the order of the ids, rows without one behind all others, then a digest of the text
-    number = F.col(at).cast("long")
-    ordered = F.lpad(F.hex(number.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
-    digest = F.coalesce(F.md5(F.col(text).cast("binary")), F.lit(""))
-    rows = rows.withColumn("key", F.unhex(F.concat(F.coalesce(F.concat(F.lit("00"), ordered), F.lit("01")), digest)))
-    judged = near_duplicates(rows.select(F.col("key").alias("doc_id"), F.col(text).alias("text")), percent=85, id_type="binary")
-    kept = judged.where("kept").select(F.col("doc_id").alias("key")).distinct()
-    # before the join, so that every task drops its copies before they are dealt by key
-    first = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64(text)))
-    one = rows.withColumn("first", first).where("first = 1").join(kept, "key", "left_semi")
-    return one.drop("key", "first").toDF(*docs.columns)
+    return drop_near_duplicates(docs, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark: ten words, or a shorter item.
+
+    Null and empty texts have no words and stay, and all stay if the benchmark
+    is empty. Repeated rows stay or go together. Very long texts are read whole.
+    """
     ship(spark)
     return decontam.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets masked and ``n_chars`` brought up to date."""
+    """All documents, their secrets masked and ``n_chars`` brought up to date.
+
+    Texts without secrets, null or empty, are as before, and so is ``n_chars``
+    of a null text. Overlapping secrets get one mask. Repeated rows stay
+    repeated. Very long texts are scanned whole.
+    """
     ship(spark)
     masked = secrets.redact_secrets(docs)
     names, text = masked.columns, position(docs, "text")
@@ -66,7 +76,12 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of every document, little-endian unsigned 32-bit integers,
-    and whether they decode to its text."""
+    and whether they decode to its text.
+
+    A null text counts as empty and has no tokens. Repeated rows stay repeated,
+    very long texts are encoded whole, columns other than the id, language and
+    source are left out.
+    """
     ship(spark)
     rows = pick(docs, "doc_id", "lang", "source", "text")
     encoded = bpe.encode_documents(rows, *vocabulary(), decode=True)
@@ -87,11 +102,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages in turn to the documents, each to what the last wrote."""
+    """Apply the stages in turn to the documents, each to what the last wrote.
+
+    When a stage has been written down, all tables it needed are deleted.
+    """
     docs = spread(read_table(spark, sf_dir, "documents"))
+    given: list[DataFrame] = []
     for number, (_, apply) in enumerate(STAGES, 1):
-        given, docs = docs, apply(spark, docs, sf_dir)
-        if number < len(STAGES):
-            docs = stage(docs)
-            unstage(given)
+        if number == len(STAGES):
+            return apply(spark, docs, sf_dir)
+        with scope() as keep:
+            docs = keep(stage(apply(spark, docs, sf_dir)))
+        unstage(*given)
+        given = [docs]
     return docs

@@ -18,17 +18,21 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from twinfold.llm.components import connected_components
-from twinfold.llm.frames import pick, slices, stage, tidy, unstage
+from twinfold.llm.frames import pick, position, power_of_two, slices, stage, tidy, unstage
 
 SHINGLE = 5
 BANDS, ROWS, SKETCH_SAMPLES, SKETCH_BITS = 24, 5, 128, 512
-#: Members of a bucket, and shingles of a group, that one task compares at once.
-BUCKET_BLOCK, GROUP_BLOCK = 512, 1_000_000
+#: Members of a bucket, and shingles of a group, that one task compares at once;
+#: a member of a group weighs as many shingles beside its own, so that a block
+#: has few members however short they are.
+BUCKET_BLOCK, GROUP_BLOCK, MEMBER_WEIGHT = 512, 1_000_000, 4_000
+#: Bits of the filter of wanted ids at most, and for each id.
+MOST_FILTER_BITS, BITS_PER_ID = 1 << 27, 16
 
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(971))
@@ -116,7 +120,7 @@ def sketch_similarity(differing: np.ndarray) -> np.ndarray:
 
 def _signatures(batches):
     """``(doc_id, node, n_shingles, bands, sketch)``; node names the words."""
-    for part in slices(batches, most_rows=2048):
+    for part in slices(batches, most_rows=1024, most_bytes=4 << 20):
         ids, texts = part.column(0), part.column(1).to_pylist()
         done: dict[bytes, tuple] = {}
         rows = []
@@ -211,24 +215,44 @@ def _by_sketch(percent: int, slack: float):
 
 
 def _by_set(percent: int):
-    """Who is similar, by the whole sets of a group's members."""
+    """Who is similar, by the whole sets of a group's members.
+
+    Sets are held against each other only if they share one of the shingles
+    that come first when the rare ones do: similar sets must. So members that
+    share no more than what all of the group share cost next to nothing.
+    """
 
     def make(_, contents):
         sets = [np.frombuffer(c, _U) for c in contents]
         size = np.array([len(x) for x in sets])
-        joined = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+        joined, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+        # numbers in the order of frequency, so that a sorted set begins with its rarest
+        rank = np.empty(len(counts), np.int32)
+        rank[np.argsort(counts, kind="stable")] = np.arange(len(counts), dtype=np.int32)
+        joined = rank[joined]
         ends = np.cumsum(size)
-        parts = [joined[e - k : e] for e, k in zip(ends, size, strict=True)]
-        flag = np.zeros(int(joined.max()) + 1, bool)
+        parts = [np.sort(joined[e - k : e]) for e, k in zip(ends, size, strict=True)]
+        # one more than may be missing from a set that is similar to this one
+        first = size - (size * percent + 99) // 100 + 1
+        rare = np.concatenate([p[:k] for p, k in zip(parts, first, strict=True)])
+        order = np.argsort(rare, kind="stable")
+        owner = np.repeat(np.arange(len(sets), dtype=np.int32), first)[order]
+        begin = np.searchsorted(rare[order], np.arange(len(counts) + 1))
+        flag, shares = np.zeros(len(counts), bool), np.zeros(len(sets), bool)
 
         def linked(x, others):
-            mask = np.minimum(size[others], size[x]) * 100 >= percent * np.maximum(size[others], size[x])
+            holders = [owner[begin[t] : begin[t + 1]] for t in parts[x][: first[x]].tolist()]
+            for h in holders:
+                shares[h] = True
+            mask = shares[others] & (np.minimum(size[others], size[x]) * 100 >= percent * np.maximum(size[others], size[x]))
+            for h in holders:
+                shares[h] = False
             near = others[mask]
             if len(near):
                 flag[parts[x]] = True
                 flat = np.concatenate([parts[i] for i in near])
-                begin = np.cumsum(size[near]) - size[near]
-                shared = np.add.reduceat(flag[flat], begin, dtype=np.int64)
+                begins = np.cumsum(size[near]) - size[near]
+                shared = np.add.reduceat(flag[flat], begins, dtype=np.int64)
                 flag[parts[x]] = False
                 mask[mask] = 100 * shared >= percent * (size[near] + size[x] - shared)
             return mask
@@ -280,18 +304,54 @@ def _across(make):
     return work
 
 
-def _sets(batches):
-    """``(doc_id, node, content)``: the whole shingle set, as packed hashes."""
-    for part in slices(batches, most_rows=1024):
-        texts = part.column(1).to_pylist()
-        split = [split_words(t or b"") for t in texts]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([xxhash.xxh128_digest(b" ".join(w)) for w in split], pa.binary()),
-                pa.array([shingle_set(w).tobytes() for w in split], pa.binary()),
-            ],
-            names=["node", "content"],
-        )
+def _filter_bits(wanted: DataFrame) -> np.ndarray:
+    """A Bloom filter of the hashes ``h``, of bounded size, as 64-bit words.
+
+    The driver gets a row for each word at most. Beyond the bound the filter
+    lets more through, which the joins after it drop.
+    """
+    bits = min(MOST_FILTER_BITS, power_of_two(max(1 << 12, BITS_PER_ID * wanted.count())))
+    mask = F.lit(bits - 1).cast("long")
+    place = F.explode(F.array(F.col("h").bitwiseAND(mask), F.shiftrightunsigned("h", 32).bitwiseAND(mask)))
+    words = (
+        wanted.select(place.alias("at"))
+        .groupBy(F.shiftrightunsigned("at", 6).alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 AS int))")).alias("bits"))
+        .toArrow()
+    )
+    out = np.zeros(bits // 64, _U)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().view(_U)
+    return out
+
+
+def _in_filter(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    h = h.view(_U)
+    out = np.ones(len(h), bool)
+    for at in (h, h >> _U(32)):
+        at = at & _U(len(bits) * 64 - 1)
+        out &= (bits[at >> _U(6)] >> (at & _U(63)) & _U(1)).astype(bool)
+    return out
+
+
+def _sets(shared):
+    """``(node, content)`` of the rows ``(h, text)`` whose hash is in the filter:
+    the whole shingle set, as packed hashes."""
+
+    def work(batches):
+        bits = shared.value
+        for batch in batches:
+            some = batch.filter(pa.array(_in_filter(batch.column(0).to_numpy(), bits)))
+            for part in slices([some], most_rows=512, most_bytes=4 << 20):
+                split = [split_words(t or b"") for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([xxhash.xxh128_digest(b" ".join(w)) for w in split], pa.binary()),
+                        pa.array([shingle_set(w).tobytes() for w in split], pa.binary()),
+                    ],
+                    names=["node", "content"],
+                )
+
+    return work
 
 
 def _links(rows: DataFrame, totals: DataFrame, block: int, weight: Column, make, held: list[DataFrame]) -> DataFrame:
@@ -392,13 +452,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, slack: float = 0.17, id_
 
     # whole sets of the grouped sequences, read again from one row of each
     grouped = group.withColumnRenamed("component", "key").join(nodes.select("node", "doc_id", "n"), "node")
-    totals = stage(grouped.groupBy("key").agg(F.sum("n").alias("members")))
-    wanted = grouped.select("doc_id").distinct()
-    texts = source.join(wanted, source["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
-    sets = texts.mapInArrow(tidy(_sets, _forget), "node binary, content binary").dropDuplicates(["node"])
+    weight = F.col("n") + MEMBER_WEIGHT
+    totals = stage(grouped.groupBy("key").agg(F.sum(weight).alias("members")))
+    # no text is shuffled: the scan drops what the filter does not know, and the
+    # join what it let through by chance
+    bits = docs.sparkSession.sparkContext.broadcast(_filter_bits(grouped.select(F.xxhash64("doc_id").alias("h"))))
+    texts = source.select(F.xxhash64("doc_id").alias("h"), "text")
+    sets = texts.mapInArrow(tidy(_sets(bits), _forget), "node binary, content binary").dropDuplicates(["node"])
     chosen = grouped.join(totals, "key").join(sets.withColumnRenamed("content", "data"), "node")
     chosen = chosen.select("key", "members", "node", "n", "data")
-    links = _links(chosen, totals, GROUP_BLOCK, F.col("n"), _by_set(percent), held)
+    links = _links(chosen, totals, GROUP_BLOCK, weight, _by_set(percent), held)
     joined = connected_components(links)
 
     found = stage(nodes.select("node", F.col("doc_id").alias("own")).join(joined, "node", "left"))
@@ -413,3 +476,49 @@ def near_duplicates(docs: DataFrame, percent: int = 85, slack: float = 0.17, id_
     )
     unstage(nodes, shared, group, totals, found, least, *held)
     return result
+
+
+def _hashed(shared, inside: bool):
+    """The rows whose hash, their last column, is in the filter, or the others."""
+
+    def work(batches):
+        for batch in batches:
+            known = _in_filter(batch.column(batch.num_columns - 1).to_numpy(), shared.value)
+            some = batch.filter(pa.array(known == inside))
+            yield some.select(range(batch.num_columns - 1))
+
+    return work
+
+
+def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """One document of each group of near-duplicates, with the columns they came with.
+
+    That of the smallest ``doc_id`` stays. Rows that share an id but not their
+    text are different documents; of several with the smallest id of a group
+    one stays, and of copies of a row, id and text alike, any one. A null id is
+    larger than all others. Null, empty and wordless texts are linked with
+    nothing and stay, one row for each id; very long texts are compared whole;
+    an empty table stays empty.
+
+    Few documents are shuffled: a filter of bounded size knows the rows that
+    are to go or that repeat, and those it does not know pass the scan.
+    """
+    at, text = f"_{position(docs, 'doc_id')}", f"_{position(docs, 'text')}"
+    plain = docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])
+    # bytes in the order of the ids, rows without one behind all others, then a digest of the text
+    number = F.col(at).cast("long")
+    ordered = F.lpad(F.hex(number.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    digest = F.coalesce(F.md5(F.col(text).cast("binary")), F.lit(""))
+    rows = plain.withColumn("key", F.unhex(F.concat(F.coalesce(F.concat(F.lit("00"), ordered), F.lit("01")), digest)))
+    judged = near_duplicates(rows.select(F.col("key").alias("doc_id"), F.col(text).alias("text")), percent, id_type="binary")
+    # rows of one key are kept or dropped together
+    by_key = judged.groupBy(F.col("doc_id").alias("key")).agg(F.min("kept").alias("kept"), F.count("*").alias("n"))
+    doubtful = stage(by_key.where("NOT kept OR n > 1").select("key", "kept"))
+    bits = docs.sparkSession.sparkContext.broadcast(_filter_bits(doubtful.select(F.xxhash64("key").alias("h"))))
+    hashed = rows.withColumn("h", F.xxhash64("key"))
+    clear = hashed.drop("key").mapInArrow(_hashed(bits, False), plain.schema)
+    unclear = hashed.mapInArrow(_hashed(bits, True), rows.schema)
+    # before the join, so that every task drops its copies before they are dealt by key
+    first = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64(text)))
+    one = unclear.withColumn("first", first).where("first = 1").join(doubtful.where("NOT kept"), "key", "left_anti")
+    return clear.union(one.select(plain.columns)).toDF(*docs.columns)
