@@ -41,6 +41,13 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_entry_does_not_hide_a_missing_package():
+    """Only the absence of the subpackage itself is expected."""
+    code = "import sys; sys.modules['ahocorasick'] = None\ntry:\n    import __spark_entry__\nexcept ImportError: sys.exit(0)\nsys.exit(1)"
+    if (ROOT / "corpus_pipeline.py").exists():
+        subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
+
+
 def test_entry_without_the_training_data_subpackage():
     """The driver deletes it; everything else must go on."""
     code = (

@@ -53,6 +53,22 @@ def test_weak_sum_and_rolling(spark):
     assert got == {(1, i): weak(data[i : i + 16]) for i in range(len(data) - 15)}
 
 
+def test_windows_of_each_row(spark, monkeypatch):
+    """Repeated keys, pieces, and columns that clash."""
+    monkeypatch.setattr(checksums, "PIECE", 5)
+    data = bytes((i * 91 + 7) % 256 for i in range(23))
+    rows = [(1, bytearray(data), 0), (1, bytearray(data[:9]), 0), (1, bytearray(data), 0), (None, bytearray(b"abcd"), 0), (2, None, 0), (3, bytearray(), 0)]
+    want = [(k, i, weak(bytes(d[i : i + 4]))) for k, d, _ in rows for i in range(len(d or b"") - 3)]
+    for names in (["at", "d", "D"], ["k", "d", "checksum"], ["k", "d", "k"]):
+        frame = spark.createDataFrame(rows, "a long, b binary, c int").toDF(*names)
+        out = checksums.rolling_checksums(frame, names[0], "d", 4)
+        assert out.columns == [names[0], "at", "checksum"]
+        assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+    assert checksums.rolling_checksums(frame.where("d IS NULL"), "k", "d", 4).count() == 0
+    with pytest.raises(ValueError):
+        checksums.rolling_checksums(frame, "k", "d", 0)
+
+
 def plain(name, data):
     h, n = {"djb": 5381, "djb2": 5381, "fnv": 2166136261, "js": 1315423911, "ap": 0xAAAAAAAA, "dek": len(data)}.get(name, 0), 63689
     for i, c in enumerate(data):
@@ -90,6 +106,19 @@ def test_hashes(spark, name):
     assert all(0 <= x <= M for x in got)
 
 
+@pytest.mark.parametrize("name", [n for n in hashes.HASHES if n != "crc"])
+def test_hashes_of_many_values(spark, name):
+    """More values than lanes are worth, of many lengths, so that both ways are gone."""
+    texts = ["é☃\x00"[i % 3] * (i % 7) + "x" * (i * i % 301) for i in range(120)] + ["y" * 5000, "z" * 4999]
+    assert values(spark, hashes.HASHES[name], texts) == [plain(name, t.encode()) for t in texts]
+
+
+def test_checksums_of_long_values(spark):
+    texts = ["\xff" * 3_000_000, "ab" * 600_000]
+    assert values(spark, checksums.adler32_rsync, texts) == [weak(t.encode()) for t in texts]
+    assert values(spark, checksums.adler32, texts) == [zlib.adler32(t.encode()) for t in texts]
+
+
 def test_bucket(spark):
     got = values(spark, lambda c: hashes.bucket(c, 997))
     assert got == [plain("rs", t.encode()) % 997 for t in TEXTS]

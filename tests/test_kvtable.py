@@ -139,3 +139,56 @@ def test_capacity_family_is_closed():
         for c in family:
             assert c // 2 in family
             assert c > 2004 or c > initial or c * 2 in family
+
+
+@pytest.mark.parametrize("spacing", [1_000_000_007, -3])
+def test_sparse_and_crowded_numbers(spark, monkeypatch, spacing):
+    """Times as sequence numbers, and one operation far from all others."""
+    monkeypatch.setattr(kvtable, "STRETCH", 16)
+    monkeypatch.setattr(kvtable, "FOLD", 8)
+    monkeypatch.setattr(kvtable, "FAN", 3)
+    rng = random.Random(spacing)
+    model, rows, sizes = Model(5), [], []
+    for i in range(200):
+        op = (rng.choice("IIR"), rng.choice("ab"), str(i))
+        model.apply(*op)
+        sizes.append(len(model.entries))
+        seq = i * spacing if spacing > 0 else (i - 100 if i < 199 else 1 << 40)
+        rows.append((seq, *op))
+    t = HashTable(spark.createDataFrame(rows, LOG), init_size=5)
+    assert found(t) == model.state()
+    assert [r.n for r in t.running_sizes().orderBy("seq").collect()] == sizes
+    assert t.capacity().first()["capacity"] == model.size
+
+
+def test_several_capacities_at_once(spark):
+    t = table(spark, [("I", str(i), "1") for i in range(40)])
+    got = {r.init_size: r.capacity for r in t.capacities([2, 60, 997]).collect()}
+    assert got == {n: table(spark, [("I", str(i), "1") for i in range(40)], init_size=n).capacity().first()["capacity"] for n in got}
+    assert {r.init_size: r.capacity for r in HashTable.empty(spark).capacities([2, 3]).collect()} == {2: 2, 3: 3}
+    with pytest.raises(ValueError):
+        t.capacities([997, 1])
+
+
+def test_a_hot_key_is_no_hot_window(spark):
+    """A log of one key is cut into stretches by the number of its operations."""
+    log = spark.range(200_000).selectExpr("id * 1000003 AS seq", "'I' AS op", "'k' AS key", "'1' AS data")
+    t = HashTable(log)
+    parts = t._stretches()
+    assert 3 <= parts.count() <= 8
+    assert t.state().first()["multiplicity"] == 200_000
+
+
+def test_probes_may_have_any_columns(spark):
+    t = table(spark, [("I", "a", "1"), ("I", "b", None)])
+    probes = spark.createDataFrame([("a", 5, 6), ("b", 7, 8), (None, 9, 9)], "k string, x int, y int")
+    for names in (["key", "data", "Data"], ["KEY2", "key", "key"], ["key", "a.b", "exists"], ["key", "KEY", "_key"]):
+        at = names.index("key")
+        given = probes.toDF(*names) if at == 0 else probes.select("x", "k", "y").toDF(*names)
+        out = t.search(given)
+        assert out.columns == [c for c in names if c.lower() != "data"] + ["data"]
+        assert sorted(str(r[-1]) for r in out.collect()) == ["1", "None", "None"]
+        out = t.exist(given)
+        assert out.columns == [c for c in names if c.lower() != "exists"] + ["exists"]
+        assert sorted(r[-1] for r in out.collect()) == [False, False, True]
+        assert t.existing(given).columns == names and t.existing(given).count() == 1

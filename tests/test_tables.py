@@ -9,7 +9,7 @@ from twinfold.functions.hashes import crc_hash
 from twinfold.operators import dedup
 from twinfold.operators.bigtable import BigTable
 from twinfold.operators.listdb import VALUE_GET, VALUE_SET, ListDB
-from twinfold.sources import files
+from twinfold.sources import files, staging
 
 PAIRS = "Beauty Food=1st_newfill,suit=2nd,Heal=3rd,Orange=4th,range=5th,red=6th,suit=12f,suit=13so,empty="
 
@@ -33,6 +33,68 @@ def test_big_table(spark, tmp_path):
     assert not files.path_exists(spark, path)
 
 
+def test_big_table_probes_and_filter(spark, tmp_path):
+    rows = spark.createDataFrame([(f"k{i}", f"v{i}", i) for i in range(300)], "key string, value string, value_size int")
+    probes = spark.createDataFrame([(f"k{i}", 1, 2) for i in range(0, 600, 2)] + [(None, 1, 2), ("k2", 1, 2)], "k string, x int, y int")
+    with BigTable(spark, f"{tmp_path}/t") as t:
+        t.insert(rows)
+        t.write_filter(1 << 14)
+        for names in (["key", "value", "VALUE_SIZE"], ["key", "value", "value"], ["key", "KEY", "contained"]):
+            given = probes.toDF(*names)
+            got = t.get(given)
+            assert got.columns[-2:] == ["value", "value_size"] and got.count() == 302
+            assert sorted({bytes(r[-2]).decode() for r in got.collect() if r[-2]}) == sorted(f"v{i}" for i in range(0, 300, 2))
+            assert sum(r[-1] for r in t.contains(given).collect()) == 151
+            assert t.containing(given).columns == names and t.containing(given).count() == 151
+            maybe = {r[0]: r[-1] for r in t.may_contain(given).collect()}
+            assert all(maybe[f"k{i}"] for i in range(0, 300, 2)) and maybe[None] is None
+            assert sum(maybe[f"k{i}"] for i in range(300, 600, 2)) < 15
+        assert not t.may_contain(probes.withColumnRenamed("k", "key").where("false")).count()
+    assert not files.path_exists(spark, f"{tmp_path}/t") and not files.path_exists(spark, f"{tmp_path}/t_filter")
+
+
+def test_get_reads_the_values_of_last_writes_only(spark, tmp_path):
+    """The values are joined to what was found without them, in a semi join."""
+    with BigTable(spark, f"{tmp_path}/t") as t:
+        for i in range(3):
+            t.insert(spark.createDataFrame([("a", f"v{i}"), ("b", f"w{i}")], "key string, value string"))
+        got = t.get(spark.createDataFrame([("a",)], "key string"))
+        assert bytes(got.first()["value"]) == b"v2"
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "LeftSemi" in plan
+        scans = [line for line in got._jdf.queryExecution().sparkPlan().toString().splitlines() if "FileScan" in line]
+        assert sum("value#" in s for s in scans) == 1
+
+
+def test_staging(spark, tmp_path):
+    with staging.scope() as keep:
+        a, b = staging.stage(spark.range(3)), keep(staging.stage(spark.range(5)))
+        assert a.count() == 3 and files.path_exists(spark, a._twinfold_path)
+    assert not files.path_exists(spark, a._twinfold_path) and b.count() == 5
+    staging.unstage(b)
+    assert not files.path_exists(spark, b._twinfold_path)
+
+
+def test_no_shared_folder_on_a_cluster_is_an_error():
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        staging.shared_dir(Session())
+
+
 def test_big_table_that_cannot_be_read(spark, tmp_path):
     (tmp_path / "broken").mkdir()
     (tmp_path / "broken" / "part-0.parquet").write_bytes(b"not parquet at all")
@@ -62,6 +124,9 @@ def test_list_db(spark, tmp_path):
         array.apply(7, probes)
     with pytest.raises(ValueError):
         ListDB.empty(spark, 0)
+    clashing = spark.createDataFrame([(5, 1, 2), (7, 3, 4)], "i long, x int, y int").toDF("idx", "value", "Value")
+    out = ListDB.open(spark, path, 4).getvalue(clashing)
+    assert out.columns == ["idx", "value"] and {r.idx: r.value and bytes(r.value) for r in out.collect()} == {5: b"bbbb", 7: None}
     assert ListDB.unlink(spark, path) and not ListDB.unlink(spark, path)
 
 

@@ -1,45 +1,10 @@
-"""Bytes as arrays of integers, and unsigned 32-bit arithmetic on BIGINT.
-
-Spark has neither an unsigned type nor wrapping products in ANSI mode, so a
-32-bit value lives in a BIGINT between 0 and 2**32 - 1 and every step is masked.
-"""
+"""Unsigned 32-bit values live in a BIGINT between 0 and 2**32 - 1."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MASK = 0xFFFFFFFF
-
 
 def long(value: int) -> Column:
     return F.lit(value).cast("bigint")
-
-
-def byte_array(col: Column) -> Column:
-    """The bytes of a string or binary column, 0 to 255, as ``array<bigint>``.
-
-    One decode as ISO-8859-1 turns every byte into one character. A null gives
-    a null, an empty value an empty array.
-    """
-    chars = F.split(F.decode(col.cast("binary"), "ISO-8859-1"), "")
-    some = F.transform(chars, lambda c: F.ascii(c).cast("bigint"))
-    return F.when(F.octet_length(col) == 0, F.array().cast("array<bigint>")).otherwise(some)
-
-
-def mask(x: Column) -> Column:
-    """The low 32 bits."""
-    return x.bitwiseAND(long(MASK))
-
-
-def multiply(x: Column, y: Column) -> Column:
-    """Product of two 32-bit values modulo 2**32 without overflow."""
-    high, low = F.shiftright(y, 16), y.bitwiseAND(long(0xFFFF))
-    return mask(F.shiftleft((x * high).bitwiseAND(long(0xFFFF)), 16) + x * low)
-
-
-def fold(data: Column, start: Column, step: Callable[[Column, Column], Column]) -> Column:
-    """Left fold of ``step(state, byte)`` over the bytes of ``data``; null for null."""
-    return F.aggregate(byte_array(data), start, step)

@@ -2,38 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import zlib
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from twinfold.functions.bytes import byte_array, long
+from twinfold.functions.bytes import long
+from twinfold.functions.lanes import by_value, weighted
+from twinfold.operators.lookup import position
 
-ADLER_MODULUS = 65521
 _LOW = 0xFFFF
+#: Windows in one batch of the result, and bytes summed at once.
+PIECE = 1 << 16
 
 
 def adler32(data: Column) -> Column:
     """Adler-32 as RFC 1950 has it; null for null, 1 for no bytes."""
-
-    def step(s: Column, c: Column) -> Column:
-        a = (s["a"] + c) % ADLER_MODULUS
-        return F.struct(a.alias("a"), ((s["b"] + a) % ADLER_MODULUS).alias("b"))
-
-    start = F.struct(long(1).alias("a"), long(0).alias("b"))
-    return F.aggregate(byte_array(data), start, step, lambda s: s["b"] * 65536 + s["a"])
+    return by_value(zlib.adler32, data)
 
 
 def adler32_rsync(data: Column) -> Column:
     """The weak sum of the rsync report: a plain sum and a weighted one, both
-    modulo 2**16, without an offset; 0 for no bytes."""
+    modulo 2**16, without an offset; 0 for no bytes, null for null."""
 
-    def step(s: Column, c: Column) -> Column:
-        a = s["a"] + c
-        return F.struct(a.alias("a"), (s["b"] + a).bitwiseAND(long(_LOW)).alias("b"))
+    def finish(x):
+        import numpy as np
 
-    start = F.struct(long(0).alias("a"), long(0).alias("b"))
-    return F.aggregate(
-        byte_array(data), start, step, lambda s: s["b"] * 65536 + s["a"].bitwiseAND(long(_LOW))
-    )
+        a = b = 0
+        for at in range(0, len(x), 1 << 20):
+            part = x[at : at + (1 << 20)].astype(np.int64)
+            a += int(part.sum())
+            b += int((part * np.arange(len(x) - at, len(x) - at - len(part), -1)).sum()) & 0xFFFF
+        return (b & 0xFFFF) * 65536 + (a & 0xFFFF)
+
+    return weighted(data, finish)
 
 
 def adler32_rolling(checksum: Column, length: Column, leaving: Column, entering: Column) -> Column:
@@ -51,19 +55,36 @@ def rolling_checksums(df: DataFrame, key: str, data: str, length: int) -> DataFr
     """Weak sums of all windows of ``length`` bytes: ``(key, at, checksum)``.
 
     Prefix sums of the bytes and of those sums give every window at once, so no
-    window is read twice. Values shorter than ``length`` have none; keys must
-    be unique.
+    window is read twice; a value is read in pieces, within its row. Values
+    shorter than ``length`` and null ones have no windows; each row has its
+    own, whether or not its key or value is repeated. Other columns are
+    ignored, and the first one keeps its name even if that is ``at``.
     """
-    rows = df.select(key, F.posexplode(byte_array(F.col(data))).alias("at", "byte"))
-    order = Window.partitionBy(key).orderBy("at")
-    so_far = order.rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.withColumn("before", F.coalesce(F.sum("byte").over(so_far), long(0)))
-    sums = sums.withColumn("after", F.col("before") + F.col("byte"))
-    sums = sums.withColumn("weights", F.coalesce(F.sum("after").over(so_far), long(0)))
-    last = lambda c: F.lead(c, length - 1).over(order)
-    ahead = sums.withColumns(
-        {"end": last(F.col("after")), "end_weights": last(F.col("weights") + F.col("after"))}
-    ).where("end IS NOT NULL")
-    a = F.pmod(F.col("end") - F.col("before"), long(65536))
-    b = F.pmod(F.col("end_weights") - F.col("weights") - F.col("before") * length, long(65536))
-    return ahead.select(key, "at", (b * 65536 + a).alias("checksum"))
+    if length < 1:
+        raise ValueError("windows must have at least one byte")
+    k, d = position(df, key), position(df, data)
+    rows = df.toDF(*[f"_{i}" for i in range(len(df.columns))]).select(
+        F.col(f"_{k}").alias("key"), F.col(f"_{d}").cast(BinaryType()).alias("data")
+    )
+    piece = PIECE
+
+    def work(batches):
+        import numpy as np
+
+        for batch in batches:
+            for i, value in enumerate(batch.column(1).to_pylist()):
+                raw = np.frombuffer(value or b"", np.uint8)
+                for at in range(0, len(raw) - length + 1, piece):
+                    part = raw[at : at + piece + length - 1].astype(np.int64)
+                    n = len(part) - length + 1
+                    sums = np.concatenate(([0], np.cumsum(part)))  # of the bytes before each place
+                    twice = np.concatenate(([0], np.cumsum(sums)))
+                    a = sums[length:] - sums[:n]
+                    b = twice[length + 1 : length + 1 + n] - twice[1 : n + 1] - sums[:n] * length
+                    keys = batch.column(0).slice(i, 1).take(pa.array(np.zeros(n, np.int64)))
+                    places = pa.array(np.arange(at, at + n, dtype=np.int32))
+                    sums = pa.array((b & 0xFFFF) * 65536 + (a & 0xFFFF))
+                    yield pa.RecordBatch.from_arrays([keys, places, sums], names=["key", "at", "checksum"])
+
+    fields = [rows.schema["key"], StructField("at", IntegerType()), StructField("checksum", LongType())]
+    return rows.mapInArrow(work, StructType(fields)).toDF(df.columns[k], "at", "checksum")

@@ -13,98 +13,94 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from twinfold.functions.bytes import byte_array, fold, long, mask, multiply
+from twinfold.functions.bytes import long
+from twinfold.functions.lanes import chained
 
 HashFunction = Callable[[Column], Column]
 
 
-def _shl(x: Column, n: int) -> Column:
-    return mask(F.shiftleft(x, n))
-
-
 def ap_hash(data: Column) -> Column:
     """Alternating steps for even and odd places, from 0xAAAAAAAA."""
 
-    def step(s: Column, c: Column) -> Column:
-        h = s["h"]
-        even = _shl(h, 7).bitwiseXOR(mask(c * F.shiftright(h, 3)))
-        odd = mask(F.bitwise_not(_shl(h, 11) + c.bitwiseXOR(F.shiftright(h, 5))))
-        mixed = h.bitwiseXOR(F.when(s["even"], even).otherwise(odd))
-        return F.struct(mixed.alias("h"), (~s["even"]).alias("even"))
+    def step(h, c, j):
+        if j % 2 == 0:
+            return h ^ (((h << 7) ^ c * (h >> 3)) & 0xFFFFFFFF)
+        return h ^ (~((h << 11) + (c ^ (h >> 5))) & 0xFFFFFFFF)
 
-    start = F.struct(long(0xAAAAAAAA).alias("h"), F.lit(True).alias("even"))
-    return F.aggregate(byte_array(data), start, step, lambda s: s["h"])
+    return chained(data, lambda n: 0xAAAAAAAA, step)
 
 
 def bkdr_hash(data: Column) -> Column:
     """h * 131 + c."""
-    return fold(data, long(0), lambda h, c: mask(h * 131 + c))
+    return chained(data, lambda n: 0, lambda h, c, j: (h * 131 + c) & 0xFFFFFFFF)
 
 
 def bp_hash(data: Column) -> Column:
     """(h << 7) ^ c."""
-    return fold(data, long(0), lambda h, c: _shl(h, 7).bitwiseXOR(c))
+    return chained(data, lambda n: 0, lambda h, c, j: ((h << 7) & 0xFFFFFFFF) ^ c)
 
 
 def djb_hash(data: Column) -> Column:
     """h * 33 + c from 5381."""
-    return fold(data, long(5381), lambda h, c: mask(h * 33 + c))
+    return chained(data, lambda n: 5381, lambda h, c, j: (h * 33 + c) & 0xFFFFFFFF)
 
 
 def djb2_hash(data: Column) -> Column:
     """(h * 33) ^ c from 5381, the XOR variant."""
-    return fold(data, long(5381), lambda h, c: mask(h * 33).bitwiseXOR(c))
+    return chained(data, lambda n: 5381, lambda h, c, j: ((h * 33) & 0xFFFFFFFF) ^ c)
 
 
 def dek_hash(data: Column) -> Column:
     """Rotation by five bits, XOR c, from the length in bytes."""
-    return fold(
-        data,
-        F.octet_length(data).cast("bigint"),
-        lambda h, c: _shl(h, 5).bitwiseXOR(F.shiftright(h, 27)).bitwiseXOR(c),
-    )
+    return chained(data, lambda n: n & 0xFFFFFFFF, lambda h, c, j: ((h << 5) & 0xFFFFFFFF) ^ (h >> 27) ^ c)
 
 
-def _folded_top(h: Column) -> Column:
-    """XOR the top four bits in, 24 places down, and clear them."""
-    return h.bitwiseXOR(F.shiftright(h, 28) * 16).bitwiseAND(long(0x0FFFFFFF))
+def elf_hash(data: Column) -> Column:
+    """The symbol hash of object files: shift by four, add c, XOR the top four
+    bits in 24 places down and clear them."""
 
+    def step(h, c, j):
+        h = ((h << 4) + c) & 0xFFFFFFFF
+        return (h ^ (h >> 28 << 4)) & 0x0FFFFFFF
 
-def elf_hash(data: Column) -> Column:
-    """The symbol hash of object files: shift by four, fold the top bits."""
-    return fold(data, long(0), lambda h, c: _folded_top(mask(_shl(h, 4) + c)))
+    return chained(data, lambda n: 0, step)
 
 
 def fnv_hash(data: Column) -> Column:
     """FNV-1: multiply, then XOR, from the published offset."""
-    return fold(data, long(2166136261), lambda h, c: multiply(h, long(16777619)).bitwiseXOR(c))
+    return chained(data, lambda n: 2166136261, lambda h, c, j: ((h * 16777619) & 0xFFFFFFFF) ^ c)
 
 
 def js_hash(data: Column) -> Column:
     """h ^= (h << 5) + c + (h >> 2), from 1315423911."""
-    return fold(data, long(1315423911), lambda h, c: h.bitwiseXOR(mask(_shl(h, 5) + c + F.shiftright(h, 2))))
+    return chained(data, lambda n: 1315423911, lambda h, c, j: h ^ (((h << 5) + c + (h >> 2)) & 0xFFFFFFFF))
 
 
 def pjw_hash(data: Column) -> Column:
     """Shift by four, add c, fold the top four bits: equal to ELF for 32 bits."""
-    return fold(data, long(0), lambda h, c: _folded_top(mask(_shl(h, 4) + c)))
+    return elf_hash(data)
 
 
 def rs_hash(data: Column) -> Column:
     """h * a + c with a multiplier that is itself multiplied at every byte."""
 
-    def step(s: Column, c: Column) -> Column:
-        return F.struct(
-            mask(multiply(s["h"], s["a"]) + c).alias("h"), multiply(s["a"], long(378551)).alias("a")
-        )
+    def step(h, c, j):
+        # the multiplier depends on the place alone; places come in order
+        if j == 0 or j != step.at:
+            step.at, step.a = j, 63689 * pow(378551, j, 1 << 32) & 0xFFFFFFFF
+        # two halves, so that vectors of 64 bits do not overflow
+        high, low = step.a >> 16, step.a & 0xFFFF
+        h = (((h * high & 0xFFFF) << 16) + h * low + c) & 0xFFFFFFFF
+        step.at, step.a = j + 1, step.a * 378551 & 0xFFFFFFFF
+        return h
 
-    start = F.struct(long(0).alias("h"), long(63689).alias("a"))
-    return F.aggregate(byte_array(data), start, step, lambda s: s["h"])
+    step.at, step.a = 0, 63689
+    return chained(data, lambda n: 0, step)
 
 
 def sdbm_hash(data: Column) -> Column:
     """c + (h << 6) + (h << 16) - h, which is h * 65599 + c."""
-    return fold(data, long(0), lambda h, c: mask(h * 65599 + c))
+    return chained(data, lambda n: 0, lambda h, c, j: (h * 65599 + c) & 0xFFFFFFFF)
 
 
 def crc_hash(data: Column) -> Column:

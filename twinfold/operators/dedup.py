@@ -17,14 +17,20 @@ def fingerprints(df: DataFrame, key: str, data: str) -> DataFrame:
     """``fingerprint, canonical, refs``: one row for each distinct value.
 
     ``canonical`` is the smallest key that has it, ``refs`` how many rows do.
-    Only digests are shuffled, summed before the exchange.
+    Null values are one value with a null fingerprint, apart from empty ones;
+    a null key is never canonical unless all keys of the value are null; no
+    rows give none. Only digests are shuffled, summed before the exchange.
     """
     rows = df.select(F.col(key).alias("key"), md5_hex(F.col(data)).alias("fingerprint"))
     return rows.groupBy("fingerprint").agg(F.min("key").alias("canonical"), F.count("*").alias("refs"))
 
 
 def canonical_map(df: DataFrame, key: str, data: str) -> DataFrame:
-    """``key, fingerprint, canonical``: for every row the row that stands for it."""
+    """``key, fingerprint, canonical``: for every row the row that stands for it.
+
+    Null values stand for each other, under a null fingerprint. Repeated rows
+    are rows like any other.
+    """
     rows = df.select(F.col(key).alias("key"), md5_hex(F.col(data)).alias("fingerprint"))
     first = rows.groupBy("fingerprint").agg(F.min("key").alias("canonical"))
     same = first.withColumnRenamed("fingerprint", "_f")
@@ -64,6 +70,8 @@ def two_level_match(df: DataFrame, key: str, data: str, weak: Column) -> DataFra
     """``key, canonical``: rows whose value repeats that of a smaller key.
 
     A weak checksum and the length find what may repeat, the digest decides.
+    Null values repeat nothing, and neither do null keys; rows that repeat key
+    and value are the same row.
     Checksums and digests are shuffled, values are not.
     """
     rows = df.select(

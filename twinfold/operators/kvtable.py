@@ -18,9 +18,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Sequence numbers that one stretch of a log spans.
+from twinfold.operators.lookup import among, look_up
+from twinfold.sources.staging import stage
+
+#: Operations in one stretch of a log.
 STRETCH = 65_536
-#: Operations whose capacity changes one fold follows, and folds combined at once.
+#: Operations whose capacity changes one fold follows, and folds or sums combined at once.
 FOLD, FAN = 16_384, 256
 
 LOG = "seq long, op string, key string, data string"
@@ -35,6 +38,16 @@ def _sum_before(column: str, keys: list[str], order: str) -> Column:
     return F.coalesce(F.sum(column).over(window.rowsBetween(Window.unboundedPreceding, -1)), _zero())
 
 
+def _by_rank(rows: DataFrame, size: int) -> DataFrame:
+    """Rows with ``part``: consecutive runs of about ``size`` rows by ``seq``.
+
+    The bounds are drawn from a sample when the rows are dealt, so whoever
+    reads the parts twice has to write them down first.
+    """
+    parts = max(1, -(-rows.count() // size))
+    return rows.repartitionByRange(parts, "seq").withColumn("part", F.spark_partition_id().cast("bigint"))
+
+
 def capacity_family(initial: int, most_entries: int) -> list[int]:
     """All capacities that doublings and integer halvings can lead to.
 
@@ -95,13 +108,19 @@ class HashTable:
         null = F.lit(None).cast("string")
         return self._with(rows.select("seq", F.lit("R").alias("op"), "key", null.alias("data")))
 
+    def _width(self) -> int:
+        """Sequence numbers that one stretch spans: so many that the log has a
+        stretch for each ``STRETCH`` operations, however far apart they are."""
+        n, low, high = self.log.agg(F.count("*"), F.min("seq"), F.max("seq")).first()
+        return max(1, -(-(high - low + 1) // -(-n // STRETCH))) if n else 1
+
     def _stretches(self) -> DataFrame:
         """For each key and stretch the sum, the least running sum, the last insert."""
         delta = F.when(F.col("op") == "I", 1).otherwise(-1).cast("bigint")
         rows = self.log.select(
             "seq",
             self.normalize(F.col("key")).alias("k"),
-            F.floor(F.col("seq") / STRETCH).alias("stretch"),
+            F.expr(f"seq div {self._width()}").alias("stretch"),
             delta.alias("delta"),
             F.when(F.col("op") == "I", F.struct("seq", "key", "data")).alias("put"),
         )
@@ -137,65 +156,82 @@ class HashTable:
         """One row: whether no entry is left."""
         return self.size().select((F.col("size") == 0).alias("is_empty"))
 
+    def _found(self) -> DataFrame:
+        return self.state().select(self.normalize(F.col("key")).alias("_key"), F.col("data").alias("_data"))
+
     def search(self, probes: DataFrame, key: str = "key") -> DataFrame:
-        """The probes with ``data`` of their key, null if it is absent."""
-        state = self.state().select(self.normalize(F.col("key")).alias("_k"), F.col("data"))
-        return probes.join(state, self.normalize(probes[key]) == F.col("_k"), "left").drop("_k")
+        """The probes with ``data`` of their key, null if it is absent.
+
+        A probe column called ``data`` is replaced, others pass through.
+        """
+        return look_up(probes, key, self._found(), {"data": F.col("_data")}, self.normalize)
 
     def exist(self, probes: DataFrame, key: str = "key") -> DataFrame:
-        """The probes with ``exists``: whether a search finds data that are not null."""
-        found = self.search(probes, key)
-        return found.select(*probes.columns, F.col("data").isNotNull().alias("exists"))
+        """The probes with ``exists``: whether a search finds data that are not null.
+
+        A probe column called ``exists`` is replaced, others pass through.
+        """
+        return look_up(probes, key, self._found(), {"exists": F.col("_data").isNotNull()}, self.normalize)
 
     def existing(self, probes: DataFrame, key: str = "key") -> DataFrame:
         """The probes that exist, as a semi join."""
-        state = self.state().where("data IS NOT NULL").select(self.normalize(F.col("key")).alias("_k"))
-        return probes.join(state, self.normalize(probes[key]) == F.col("_k"), "left_semi")
+        return among(probes, key, self._found().where("_data IS NOT NULL"), self.normalize)
 
     def running_sizes(self) -> DataFrame:
-        """``seq, op, n``: the number of entries after every operation."""
+        """``seq, op, n``: the number of entries after every operation.
+
+        The log is cut by rank into parts of about ``STRETCH`` operations, so
+        sparse or crowded numbers make neither tiny nor huge parts, and the
+        parts' sums are summed on two levels, so no task has all of them.
+        """
         delta = F.when(F.col("op") == "I", 1).otherwise(-1).cast("bigint")
-        rows = self.log.select(
-            "seq",
-            "op",
-            self.normalize(F.col("key")).alias("k"),
-            F.floor(F.col("seq") / STRETCH).alias("stretch"),
-            delta.alias("delta"),
-        )
-        within = Window.partitionBy("k", "stretch").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+        rows = stage(_by_rank(self.log.select("seq", "op", self.normalize(F.col("key")).alias("k"), delta.alias("delta")), STRETCH))
+        within = Window.partitionBy("k", "part").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
         rows = rows.withColumn("s", F.sum("delta").over(within)).withColumn("m", F.min("s").over(within))
-        parts = rows.groupBy("k", "stretch").agg(F.sum("delta").alias("sum"), F.min("s").alias("low"))
-        before = Window.partitionBy("k").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-        parts = parts.withColumn("s0", _sum_before("sum", ["k"], "stretch"))
+        parts = rows.groupBy("k", "part").agg(F.sum("delta").alias("sum"), F.min("s").alias("low"))
+        before = Window.partitionBy("k").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        parts = parts.withColumn("s0", _sum_before("sum", ["k"], "part"))
         parts = parts.withColumn("m0", F.coalesce(F.min(F.col("s0") + F.col("low")).over(before), _zero()))
-        joined = rows.join(parts.select("k", "stretch", "s0", "m0"), ["k", "stretch"])
+        joined = rows.join(parts.select("k", "part", "s0", "m0"), ["k", "part"])
         left = F.col("s0") + F.col("s") - F.least(_zero(), "m0", F.col("s0") + F.col("m"))
         # the change of this one operation: of the multiplicity before it, at
-        # the start of a stretch, the part that came before
-        previous = F.lag("left").over(Window.partitionBy("k", "stretch").orderBy("seq"))
+        # the start of a part, what came before
+        previous = F.lag("left").over(Window.partitionBy("k", "part").orderBy("seq"))
         start = F.col("s0") - F.least(_zero(), "m0")
         changed = joined.withColumn("left", left).withColumn("change", F.col("left") - F.coalesce(previous, start))
-        order = Window.partitionBy("stretch").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-        sums = changed.groupBy("stretch").agg(F.sum("change").alias("sum"))
-        sums = sums.select("stretch", _sum_before("sum", [], "stretch").alias("n0"))
-        own = changed.withColumn("n1", F.sum("change").over(order))
-        return own.join(sums, "stretch").select("seq", "op", (F.col("n0") + F.col("n1")).alias("n"))
+        order = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+        sums = changed.groupBy("part").agg(F.sum("change").alias("sum"))
+        # a part of parts: sums within it, and sums of those before it
+        above = F.floor(F.col("part") / FAN)
+        sums = sums.withColumn("above", above).withColumn("n1", _sum_before("sum", ["above"], "part"))
+        tops = sums.groupBy("above").agg(F.sum("sum").alias("sum")).withColumn("n2", _sum_before("sum", [], "above"))
+        sums = sums.join(tops.select("above", "n2"), "above").select("part", (F.col("n1") + F.col("n2")).alias("n0"))
+        own = changed.withColumn("n", F.sum("change").over(order))
+        return own.join(sums, "part").select("seq", "op", (F.col("n0") + F.col("n")).alias("n"))
 
     def capacity(self) -> DataFrame:
         """One row ``capacity``: buckets after all growing and shrinking.
 
         After an insert the table doubles if it is at least half full, after a
         remove it halves if one to an eighth of it is left, a remove that found
-        nothing included. That is a fold over the whole log; folds of stretches
-        are functions of the capacity they begin with, and there are few
-        capacities, so stretches are folded apart and the functions composed.
+        nothing included. That is a fold over the whole log; folds of parts are
+        functions of the capacity they begin with, and there are few
+        capacities, so parts are folded apart and the functions composed.
         """
-        sizes = self.running_sizes().withColumn("stretch", F.floor(F.col("seq") / FOLD))
-        top = sizes.agg(F.max("n").alias("n"), F.max("stretch").alias("s"), F.min("stretch").alias("t")).first()
+        return self.capacities([self.init_size]).select("capacity")
+
+    def capacities(self, initial: list[int]) -> DataFrame:
+        """``init_size, capacity`` for each of several initial sizes, from one
+        reading of the log."""
+        if min(initial) <= 1:
+            raise ValueError("the initial size must exceed 1")
         spark = self.log.sparkSession
-        if top["n"] is None:
-            return spark.range(1).select(F.lit(self.init_size).cast("bigint").alias("capacity"))
-        family = capacity_family(self.init_size, top["n"])
+        sizes = stage(self.running_sizes())
+        top = sizes.agg(F.max("n")).first()[0]
+        starts = F.explode(F.array(*[F.lit(c).cast("bigint") for c in initial])).alias("init_size")
+        if top is None:
+            return spark.range(1).select(starts).withColumn("capacity", F.col("init_size"))
+        family = sorted(set().union(*[capacity_family(c, top) for c in initial]))
         every = F.array(*[F.lit(c).cast("bigint") for c in family])
 
         def step(sizes_so_far: Column, e: Column) -> Column:
@@ -206,20 +242,19 @@ class HashTable:
 
             return F.transform(sizes_so_far, one)
 
-        # a stretch holds FOLD operations at most, as its numbers are unique
-        ops = F.array_sort(F.collect_list(F.struct("seq", "op", "n")))
-        maps = sizes.groupBy("stretch").agg(ops.alias("ops"))
-        maps = maps.select("stretch", F.aggregate("ops", every, step).alias("to"))
+        ranked = stage(_by_rank(sizes, FOLD))
+        ops = F.array_sort(F.collect_list(F.struct("seq", "op", "n")))  # about FOLD of them
+        maps = ranked.groupBy("part").agg(ops.alias("ops"))
+        maps = maps.select("part", F.aggregate("ops", every, step).alias("to"))
         place = lambda c: F.array_position(every, c).cast("int")
-        parts = F.array_sort(F.collect_list(F.struct("stretch", "to"))).alias("parts")
-        spread = top["s"] - top["t"] + 1
+        parts = F.array_sort(F.collect_list(F.struct("part", "to"))).alias("parts")
+        spread = ranked.agg(F.max("part")).first()[0] + 1
         while spread > FAN:
-            maps = maps.groupBy(F.floor(F.col("stretch") / FAN).alias("above")).agg(parts)
+            maps = maps.groupBy(F.floor(F.col("part") / FAN).alias("above")).agg(parts)
             composed = F.aggregate(
                 "parts", every, lambda now, p: F.transform(now, lambda c: F.element_at(p["to"], place(c)))
             )
-            maps = maps.select(F.col("above").alias("stretch"), composed.alias("to"))
-            spread = spread // FAN + 2
-        first = F.lit(self.init_size).cast("bigint")
-        end = F.aggregate("parts", first, lambda c, p: F.element_at(p["to"], place(c)))
-        return maps.agg(parts).select(end.alias("capacity"))
+            maps = maps.select(F.col("above").alias("part"), composed.alias("to"))
+            spread = spread // FAN + 1
+        end = F.aggregate("parts", F.col("init_size"), lambda c, p: F.element_at(p["to"], place(c)))
+        return maps.agg(parts).select("parts", starts).select("init_size", end.alias("capacity"))

@@ -6,6 +6,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinfold.operators.lookup import look_up, pick
 from twinfold.sources.files import path_exists, remove_path
 
 #: Operation codes of ``apply``.
@@ -53,7 +54,7 @@ class ListDB:
         ``seq`` counts, and any write replaces what was there."""
         value = F.col("value").cast("binary")
         checked = F.when(F.octet_length(value) != self.unit_size, F.raise_error(F.lit("value of another width"))).otherwise(value)
-        fresh = writes.select(F.col("idx").cast("bigint"), checked.alias("value"), F.col("seq").cast("bigint"))
+        fresh = pick(writes, "seq", "idx", "value").select(F.col("idx").cast("bigint"), checked.alias("value"), F.col("seq").cast("bigint"))
         old = self.rows.select("idx", "value", F.lit(None).cast("bigint").alias("seq"))
         order = F.struct(F.col("seq").isNotNull(), "seq")
         best = F.max_by(F.struct("value"), order).alias("best")
@@ -61,9 +62,12 @@ class ListDB:
         return ListDB(rows, self.unit_size)
 
     def getvalue(self, probes: DataFrame, idx: str = "idx") -> DataFrame:
-        """The probes with ``value``; null where nothing was set."""
-        found = self.rows.select(F.col("idx").alias("_idx"), "value")
-        return probes.join(found, probes[idx] == F.col("_idx"), "left").drop("_idx")
+        """The probes with ``value``; null where nothing was set.
+
+        A probe column called ``value`` is replaced, others pass through.
+        """
+        found = self.rows.select(F.col("idx").alias("_key"), F.col("value").alias("_value"))
+        return look_up(probes, idx, found, {"value": F.col("_value")})
 
     def apply(self, op: int, rows: DataFrame) -> ListDB | DataFrame:
         """``setvalue`` or ``getvalue`` by code."""

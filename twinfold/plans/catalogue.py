@@ -13,7 +13,9 @@ from twinfold.functions.hashes import HASHES, bucket
 from twinfold.operators import dedup
 from twinfold.operators.bigtable import BigTable
 from twinfold.operators.kvtable import HashTable
-from twinfold.operators.listdb import ListDB
+from twinfold.operators.listdb import VALUE_GET, VALUE_SET, ListDB
+from twinfold.sources import files, staging
+from twinfold.sources.files import path_exists
 from twinfold.sources.tables import read_table as _table
 from twinfold.sources.tables import spread
 
@@ -169,11 +171,7 @@ def _capacity_sql(initial: int) -> str:
     {_capacity_sql(997)} UNION ALL {_capacity_sql(2)}""",
 )
 def ht_capacity(spark, sf_dir):
-    one = [
-        HashTable(_log(spark, sf_dir), init_size=n).capacity().select(long(n).alias("init_size"), "capacity")
-        for n in (997, 2)
-    ]
-    return one[0].union(one[1])
+    return HashTable(_log(spark, sf_dir)).capacities([997, 2])
 
 
 @_query(
@@ -190,12 +188,17 @@ def ht_cmp_key(spark, sf_dir):
 # --- the persistent table ---------------------------------------------------
 
 
-def _loaded(spark: SparkSession, sf_dir: str) -> BigTable:
+def _big_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by a key that several share; the highest id is the last write."""
-    docs = _table(spark, sf_dir, "documents")
-    table = BigTable(spark)
     key = F.concat_ws("/", F.col("lang"), F.col("source"), (F.col("doc_id") % 7).cast("string"))
-    table.insert(docs.select(F.col("doc_id").alias("seq"), key.alias("key"), F.col("text").alias("value")))
+    docs = _table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("seq"), key.alias("key"), F.col("text").alias("value"))
+
+
+def _loaded(spark: SparkSession, sf_dir: str) -> BigTable:
+    """A table with these rows; it goes when the program ends, after the result was read."""
+    table = BigTable(spark, staging.new_path(spark))
+    table.insert(_big_rows(spark, sf_dir))
     return table
 
 
@@ -209,6 +212,36 @@ def _big_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select(key.alias("key")).distinct()
 
 
+@_query(
+    "big_reopen",
+    f"""{_BIG_SQL}, n AS (SELECT count(*) AS keys FROM stored)
+    SELECT 1 AS step, 'created' AS state, 0 AS keys UNION ALL SELECT 2, 'kept', keys FROM n
+    UNION ALL SELECT 3, 'reopened', keys FROM n UNION ALL SELECT 4, 'added to', keys + 1 FROM n
+    UNION ALL SELECT 5, 'deleted', 0""",
+)
+def big_reopen(spark, sf_dir):
+    """A table that outlives its first user and goes with its second."""
+    path, steps = staging.new_path(spark), []
+
+    def note(state: str, table: BigTable | None) -> None:
+        there = path_exists(spark, path)
+        steps.append((len(steps) + 1, state, table.state().count() if table and there else 0))
+
+    with BigTable(spark, path, keep=True) as table:
+        note("created" if table.is_new else "found", table)
+        table.insert(_big_rows(spark, sf_dir))
+    note("kept", table)
+    with BigTable(spark, path) as table:
+        note("created" if table.is_new else "reopened", table)
+        table.insert(spark.createDataFrame([("one/more", "value")], "key string, value string"))
+        note("added to", table)
+    note("there" if path_exists(spark, path) else "deleted", None)
+    return spark.createDataFrame(steps, "step int, state string, keys long")
+
+
+_FILTER_BITS = 1 << 14
+
+
 @_query(
     "big_insert_get",
     f"""{_BIG_SQL} SELECT p.key, md5(value) AS value_md5, CAST(coalesce(octet_length(encode(value)), 0) AS INTEGER) AS value_size
@@ -250,6 +283,26 @@ def listdb_set_get(spark, sf_dir):
     return got.select("idx", F.col("value").cast("string").alias("value"))
 
 
+@_query(
+    "listdb_reopen",
+    """WITH stored AS (SELECT l_partkey AS idx, arg_max_null(lpad(CAST(CAST(l_quantity AS BIGINT) AS VARCHAR), 8, '0'),
+      l_orderkey * 100 + l_linenumber) AS value FROM lineitem GROUP BY 1)
+    SELECT p_partkey AS idx, CASE WHEN p_partkey <= 5 THEN '-swapped' ELSE value END AS value FROM part LEFT JOIN stored ON p_partkey = idx""",
+)
+def listdb_reopen(spark, sf_dir):
+    """An array that is saved, opened again, held, and changed by operation code."""
+    value = F.lpad(F.col("l_quantity").cast("bigint").cast("string"), 8, "0")
+    seq = F.col("l_orderkey") * 100 + F.col("l_linenumber")
+    writes = _table(spark, sf_dir, "lineitem").select(seq.alias("seq"), F.col("l_partkey").alias("idx"), value.alias("value"))
+    path = staging.new_path(spark)
+    ListDB.open(spark, path, 8).apply(VALUE_SET, writes).save(path)
+    array = ListDB.open(spark, path, 8).cached()
+    part = _table(spark, sf_dir, "part")
+    late = part.where("p_partkey <= 5").select(F.lit(1).alias("seq"), F.col("p_partkey").alias("idx"), F.lit("-swapped").alias("value"))
+    got = array.apply(VALUE_SET, late).apply(VALUE_GET, part.select(F.col("p_partkey").alias("idx")))
+    return got.select("idx", F.col("value").cast("string").alias("value"))
+
+
 # --- digests and checksums --------------------------------------------------
 
 
@@ -399,18 +452,34 @@ def ht_bucket(spark, sf_dir):
     return rows.groupBy("bucket").agg(F.count("*").alias("n"))
 
 
+_FILTER_SQL = f"[{hash_sql('ap', 'key')} % {_FILTER_BITS}, {hash_sql('js', 'key')} % {_FILTER_BITS}]"
+
+
+@_query(
+    "big_may_contain",
+    f"""{_BIG_SQL}, bits AS (SELECT DISTINCT unnest({_FILTER_SQL}) AS at FROM stored),
+    asked AS (SELECT key, unnest({_FILTER_SQL}) AS at FROM probes)
+    SELECT key, bool_and(b.at IS NOT NULL) AS may_contain FROM asked a LEFT JOIN bits b ON a.at = b.at GROUP BY key""",
+)
+def big_may_contain(spark, sf_dir):
+    table = _loaded(spark, sf_dir)
+    table.write_filter(_FILTER_BITS)
+    return table.may_contain(_big_probes(spark, sf_dir))
+
+
 # --- numbers, paths, file types ---------------------------------------------
 
 
 @_query(
     "uint2str",
-    """SELECT o_orderkey, CASE WHEN o_custkey % 100 = 0 THEN '' ELSE CAST(o_custkey % 100 AS VARCHAR) END AS digits,
-      CAST(CASE WHEN o_custkey % 100 = 0 THEN 0 ELSE length(CAST(o_custkey % 100 AS VARCHAR)) END AS INTEGER) AS n FROM orders""",
+    """SELECT o_orderkey, CASE WHEN o_custkey = 0 THEN '' ELSE CAST(o_custkey AS VARCHAR) END AS digits,
+      CAST(CASE WHEN o_custkey = 0 THEN 0 ELSE length(CAST(o_custkey AS VARCHAR)) END AS INTEGER) AS n,
+      CASE WHEN o_custkey - 1 = 0 THEN '' ELSE CAST(o_custkey - 1 AS VARCHAR) END AS less FROM orders""",
 )
 def uint2str(spark, sf_dir):
-    x = F.col("o_custkey") % 100
+    x = F.col("o_custkey")
     return _table(spark, sf_dir, "orders").select(
-        "o_orderkey", paths.uint2str(x).alias("digits"), paths.uint2str_length(x).alias("n")
+        "o_orderkey", paths.uint2str(x).alias("digits"), paths.uint2str_length(x).alias("n"), paths.uint2str(x - 1).alias("less")
     )
 
 
@@ -442,13 +511,13 @@ def file_in_list(spark, sf_dir):
 
 @_query(
     "file_in_table",
-    "SELECT doc_id FROM documents WHERE text IN (SELECT text FROM documents WHERE doc_id % 5 = 0)",
+    "SELECT c_custkey FROM customer WHERE c_name IN (SELECT 'Customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') FROM orders)",
 )
 def file_in_table(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents")
-    # digests stand for the texts, so that no text is shuffled
-    digest = digests.md5_hex(F.col("text")).alias("path")
-    return paths.semi_list(docs.select("doc_id", digest), "path", docs.where("doc_id % 5 = 0").select(digest)).select("doc_id")
+    """Names that occur in another table, which may be of any length."""
+    listed = F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"))
+    names = _table(spark, sf_dir, "orders").select(listed.alias("c_name"))
+    return paths.semi_list(_table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_name", names, "c_name").select("c_custkey")
 
 
 @_query(
@@ -460,6 +529,56 @@ def file_type(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", filetype.file_type(F.col("html")).alias("type"))
 
 
+def _files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with one text file for each nation; some begin like another type."""
+    path = staging.new_path(spark)
+    magic = F.when(F.col("n_nationkey") % 3 == 0, "%PDF-1.7 ").when(F.col("n_nationkey") % 3 == 1, "<!DOCTYPE html> ").otherwise("")
+    rows = _table(spark, sf_dir, "nation").select("n_nationkey", F.concat(magic, "n_name").alias("value"))
+    rows.write.partitionBy("n_nationkey").text(path)
+    return path
+
+
+_FILES_SQL = """files AS (SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN '%PDF-1.7 ' WHEN 1 THEN '<!DOCTYPE html> ' ELSE '' END
+  || n_name || chr(10) AS content FROM nation)"""
+
+
+def _file_number() -> Column:
+    return F.regexp_extract("path", r"n_nationkey=(\d+)", 1).cast("int").alias("n_nationkey")
+
+
+@_query("file_digests", f"WITH {_FILES_SQL} SELECT n_nationkey, CAST(length(content) AS BIGINT) AS length, md5(content) AS md5 FROM files")
+def file_digests(spark, sf_dir):
+    found = files.file_digests(files.read_files(spark, _files(spark, sf_dir), "*.txt"))
+    return found.select(_file_number(), "length", "md5")
+
+
+@_query(
+    "file_types",
+    f"""WITH {_FILES_SQL} SELECT n_nationkey, 'txt' AS ext, CASE WHEN starts_with(content, '%PDF') THEN 'pdf'
+      WHEN starts_with(content, '<!DOCTYPE') THEN 'html' END AS type FROM files""",
+)
+def file_types(spark, sf_dir):
+    found = files.file_types(files.read_files(spark, _files(spark, sf_dir), "*.txt"))
+    return found.select(_file_number(), "ext", "type")
+
+
+@_query(
+    "file_cleanup",
+    "SELECT count(*) AS files, true AS removed, false AS there, false AS removed_again FROM nation",
+)
+def file_cleanup(spark, sf_dir):
+    path = _files(spark, sf_dir)
+    n = files.read_files(spark, path, "*.txt").count()
+    row = n, files.remove_path(spark, path), files.path_exists(spark, path), files.remove_path(spark, path)
+    staging.forget(path)
+    return spark.createDataFrame([row], "files long, removed boolean, there boolean, removed_again boolean")
+
+
+@_query("magic_map", "SELECT * FROM (VALUES " + ", ".join(f"('{m}', '{t}')" for m, t in filetype.MAGIC.items()) + ") AS m(magic, type)")
+def magic_map(spark, sf_dir):
+    return spark.range(1).select(F.explode(filetype.magic_map()).alias("magic", "type"))
+
+
 # --- duplicate elimination --------------------------------------------------
 
 
