@@ -47,6 +47,64 @@ def test_long_texts_are_read_whole(model, monkeypatch):
     assert model.decide(text)[0] == "de"
 
 
+def plain_grams(text):
+    """The n-grams of a whole text as strings, by walking over its words."""
+    words, word = [], ""
+    for c in text.lower() + " ":
+        if c.isalpha():
+            word += c
+        elif word:
+            words.append(f" {word} ")
+            word = ""
+    return [w[i : i + n] for n in langid.ORDERS for w in words for i in range(len(w) - n + 1)]
+
+
+@pytest.mark.parametrize("piece", [10, 37, 100])
+def test_no_ngram_is_lost_at_a_cut(monkeypatch, piece):
+    """Scripts without spaces, where a cut falls inside a word, and a capital
+    whose small form depends on what follows."""
+    rng = np.random.default_rng(piece)
+    han = "".join(chr(0x4E00 + int(x)) for x in rng.integers(0, 400, 500))
+    for text in (han, han[:57] + " ab, " + han[57:], "ΑΣΒΣ" * 40, "a" * 101, "ab " * 80, "x", "", "İstanbul " * 20):
+        monkeypatch.setattr(langid, "_PIECE", 1 << 20)
+        whole = sorted(langid.gram_keys(text))
+        assert len(whole) == len(plain_grams(text)) and len(set(whole)) == len(set(plain_grams(text)))
+        monkeypatch.setattr(langid, "_PIECE", piece)
+        assert sorted(langid.gram_keys(text)) == whole
+
+
+def test_filter_against_exact_sets(spark):
+    """Shares and decisions of the filter against sets of n-grams counted in plain Python."""
+    docs = pq.read_table("/root/testdata/sf0.01/documents.parquet").to_pylist()
+    train = [d for d in docs if d["lang"] and zlib.crc32(str(d["doc_id"]).encode()) % 4 != 2]
+    rows = {k: [set(plain_grams(d["text"] or "")) for d in train if d["lang"] == k] for k in sorted({d["lang"] for d in train})}
+    counts = {k: {} for k in rows}
+    for k, found in rows.items():
+        for s in found:
+            for g in s:
+                counts[k][g] = counts[k].get(g, 0) + 1
+    share = {k: {g: n / len(rows[k]) for g, n in c.items() if n >= min(3, len(rows[k])) and n / len(rows[k]) >= 0.002} for k, c in counts.items()}
+    exact = {k: {g for g, x in c.items() if x >= 0.3 * max(o.get(g, 0) for o in share.values())} for k, c in share.items()}
+    model = langid.learn(spark.createDataFrame([(d["doc_id"], d["text"], d["lang"]) for d in train], "doc_id long, text string, lang string"))
+    assert model.languages == sorted(rows)
+    for d in docs[::7]:
+        grams = plain_grams(d["text"] or "")
+        if grams:
+            want = np.array([sum(g in exact[k] for g in grams) / len(grams) for k in model.languages])
+            got = model.shares(langid.gram_keys(d["text"]))
+            assert np.abs(got - want).max() < 0.1
+            assert got.argmax() == want.argmax() or np.sort(want)[-1] - np.sort(want)[-2] < 0.1
+
+
+def test_more_languages_than_bytes(spark, monkeypatch):
+    """Fewer positions for many languages, and no upper number of them."""
+    monkeypatch.setattr(langid, "FILTER_BYTES", 1 << 16)
+    rows = [(k, f"{chr(0x4E00 + 3 * k)}{chr(0x4E01 + 3 * k)}", f"l{k:04}") for k in range(1500)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 1500 and model.masks.shape == (24, 4096)
+    assert sum(model.decide(t)[0] == n for _, t, n in rows[::50]) >= 20
+
+
 def test_odd_documents(spark, odd_documents, model):
     out = langid.identify(odd_documents, model)
     assert out.columns == ["doc_id", "text", "lang", "lang_pred", "score"]

@@ -12,7 +12,8 @@ import corpus_pipeline
 from tests.llm.test_decontam import brute as hits
 from tests.llm.test_neardup import brute as groups
 from tests.llm.test_neardup import shingles
-from twinfold.llm import frames, neardup, secrets
+from twinfold.llm import neardup, secrets
+from twinfold.sources import staging
 
 
 def masked(text):
@@ -34,9 +35,9 @@ def test_run(spark, small):
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    before = set(frames._staged)
+    before = set(staging._staged)
     rows = corpus_pipeline.run(spark, small).collect()
-    assert len(set(frames._staged) - before) == 1  # what the last stage reads
+    assert len(set(staging._staged) - before) == 1  # what the last stage reads
     assert {r.doc_id for r in rows} == docs.keys() and len(rows) == len(docs)
     for r in rows:
         ids = library.encode_ordinary(docs[r.doc_id])
@@ -91,10 +92,12 @@ def row_by_row(rows, percent):
     return [{r for r in g if (r[0] is None, r[0]) == min((x[0] is None, x[0] or 0) for x in g) or r[0] == min((x[0] for x in g if x[0] is not None), default=None)} for g in groups.values()]
 
 
-@pytest.mark.parametrize("most_bits", [1 << 27, 64])
-def test_near_dedup_row_by_row(spark, small, monkeypatch, most_bits):
+@pytest.mark.parametrize("few, most_bits", [(1000, 64), (0, 1 << 27), (0, 64)])
+def test_near_dedup_row_by_row(spark, small, monkeypatch, few, most_bits):
     """Equal ids of different texts, ids of which one row is a copy, null ids;
-    with a filter that knows the rows to go, and with one that knows nothing."""
+    by the keys themselves, by a filter that knows the rows to go, and by one
+    that is too small to know anything."""
+    monkeypatch.setattr(neardup, "FEW_KEYS", few)
     monkeypatch.setattr(neardup, "MOST_FILTER_BITS", most_bits)
     rng = random.Random(most_bits)
     word = lambda n: f"w{n}x{rng.randrange(30)}"

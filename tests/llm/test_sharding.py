@@ -79,3 +79,23 @@ def test_odd_documents(spark, odd_documents):
     checked(rows, 8, 3)
     assert sorted((r["size"], r.text_crc32) for r in rows if r.doc_id == 2) == [(16, 0)]
     assert sharding.shuffle_into_shards(odd_documents.where("false"), 3).count() == 0
+
+
+def test_places_do_not_depend_on_the_layout(spark, monkeypatch):
+    """The same rows in other partitions and another order get the same places."""
+    monkeypatch.setattr(sharding, "PORTION", 7)
+    rows = [(i % 90, f"text {i % 45}") for i in range(180)] + [(5, "hot")] * 100 + [(None, None)] * 9
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(str, sharding.shuffle_into_shards(docs, 6, rows_per_block=20).collect()))
+    for other in (docs.coalesce(1), docs.repartition(7), docs.orderBy(F.desc("text"))):
+        got = sharding.shuffle_into_shards(other, 6, rows_per_block=20).collect()
+        checked(got, len(rows), 6)
+        assert sorted(map(str, got)) == want
+
+
+def test_plan_has_no_nested_loop(spark, small):
+    out = op8_sharding(spark, small)
+    out.collect()
+    blocks = spark.createDataFrame([(0, 3), (1, 4)], "block long, n long")
+    plan = sharding.communication_matrix(blocks, 2, [3, 4], 1)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan

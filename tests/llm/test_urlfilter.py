@@ -34,6 +34,7 @@ ENTRIES = [
     ("n", "allow", "bad.org/a/b", 8, "add"),
     ("l", "block", "same.net", 3, "add"),
     ("l", "block", "same.net", 3, "remove"),
+    ("l", "block", "[2001:DB8::1]", 0, "add"),
     (None, "block", "null.net", 0, "add"),
     ("l", "block", None, 0, "add"),
 ]
@@ -55,6 +56,14 @@ ENTRIES = [
         ("http://same.net/", 5, False, None),
         ("http://null.net/", 5, False, None),
         ("no url at all", 5, False, None),
+        # slashes that lean the other way, no scheme, addresses
+        ("http:\\\\example.com\\x", 0, True, "example.com"),
+        ("example.com/x", 0, True, "example.com"),
+        ("//example.com:81?q=a b", 0, True, "example.com"),
+        ("bad.org\\a\\b?c", 6, True, "bad.org/a/b"),
+        ("http://[2001:db8::1]:80/x", 5, True, "[2001:db8::1]"),
+        ("http://[2001:db8::2]/x", 5, False, None),
+        ("mailto:me@example.com", 5, False, None),
         (None, 5, False, None),
         ("http://example.com/", None, False, None),
         ("http://example.com/", -1, False, None),
@@ -101,3 +110,12 @@ def test_empty_tables(spark):
     rows = spark.range(3).select(F.lit("http://a.com/").alias("url"), F.current_date().alias("fetched_on"))
     assert urlfilter.filter_urls(rows, lists).where("blocked").count() == 0
     assert urlfilter.filter_urls(rows.where("false"), lists).count() == 0
+
+
+def test_a_hot_pattern_is_joined_once(spark):
+    """A pattern with a long history is one row for each capture, not one for each interval."""
+    entries = [("l", "block", "hot.org", dt.date(2020, 1, 1) + dt.timedelta(i), "add" if i % 2 == 0 else "remove") for i in range(400)]
+    lists = spark.createDataFrame(entries, "list string, kind string, pattern string, listed_on date, action string")
+    captures = spark.createDataFrame([(i, "http://hot.org/a", dt.date(2020, 1, 1) + dt.timedelta(i % 420)) for i in range(500)], "i int, url string, fetched_on date")
+    rows = urlfilter.filter_urls(captures, lists).collect()
+    assert all(r.blocked == (r.i % 420 % 2 == 0 and r.i % 420 < 400) for r in rows) and len(rows) == 500

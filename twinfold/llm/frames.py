@@ -1,22 +1,19 @@
 """Frame helpers shared by the training-data operators.
 
-Column picking that survives clashing names, tables staged in the shared
-folder of the cluster, and the rules every operator follows for both.
+Column picking that survives clashing names and tables staged in the shared
+folder of the cluster come from the rest of the package; here is how workers
+get the package, and how they read texts in batches of bounded size.
 """
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
 import math
 import os
-import shutil
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable
-from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -25,106 +22,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
-_ROOT = Path(__file__).resolve().parents[2]
-
-
-def position(df: DataFrame, name: str) -> int:
-    """Place of a column: an exactly spelt one wins over one that differs in
-    case, and of several columns with one name the first counts."""
-    columns = df.columns
-    folded = [c.lower() for c in columns]
-    if name in columns:
-        return columns.index(name)
-    if name.lower() in folded:
-        return folded.index(name.lower())
-    raise ValueError(f"column {name!r} is missing; the frame has {columns}")
-
-
-def pick(df: DataFrame, *names: str) -> DataFrame:
-    """Project the named columns whatever else the frame holds.
-
-    Renaming by position first keeps clashing or dotted extra columns from
-    making a reference ambiguous.
-    """
-    return df.toDF(*[f"_{i}" for i in range(len(df.columns))]).select(
-        *[F.col(f"_{position(df, n)}").alias(n) for n in names]
-    )
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where it is unset and everything runs on one machine (tests, a
-    laptop) a local folder stands in; on a cluster that is an error.
-    """
-    sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if configured:
-        return configured.rstrip("/")
-    if not sc.getCheckpointDir():
-        if sc.master != "local" and not sc.master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="twinfold-"))
-    return sc.getCheckpointDir().rstrip("/")
+from twinfold.operators.lookup import pick, position
+from twinfold.sources.staging import scope, stage, unstage
 
+__all__ = ["add_columns", "pick", "position", "power_of_two", "release", "same_columns", "scope", "ship", "slices", "stage", "tidy", "unstage"]
 
-#: Staged tables that nobody has deleted yet, each with what deletes it.
-_staged: dict[str, Callable[[], None]] = {}
-
-
-def stage(df: DataFrame) -> DataFrame:
-    """Write a frame to the shared folder as Parquet and read it back.
-
-    This cuts the lineage: a lost executor costs only the stages after it.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/twinfold/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    _staged[path] = lambda: system.delete(target, True)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._twinfold_path = path
-    return out
-
-
-def unstage(*frames: DataFrame) -> None:
-    """Delete staged tables that no later stage reads."""
-    for frame in frames:
-        if delete := _staged.pop(getattr(frame, "_twinfold_path", None), None):
-            delete()
-
-
-@contextmanager
-def scope():
-    """Delete on leaving whatever was staged inside, but for what is kept.
-
-    ``with scope() as keep: ... return keep(stage(result))``. For callers that
-    have a result written down before they leave; a result that is still to
-    be read needs the tables it reads.
-    """
-    before, kept = set(_staged), set()
-
-    def keep(frame: DataFrame) -> DataFrame:
-        kept.add(getattr(frame, "_twinfold_path", None))
-        return frame
-
-    try:
-        yield keep
-    finally:
-        for path in [p for p in _staged if p not in before and p not in kept]:
-            _staged.pop(path)()
-
-
-@atexit.register
-def _clear() -> None:
-    """What a result still read when the program ended, wherever it is stored."""
-    for path, delete in list(_staged.items()):
-        try:
-            delete()
-        except Exception:  # noqa: BLE001  the JVM has gone; a local folder needs none
-            if path.startswith(("/", "file:")):
-                shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+_ROOT = Path(__file__).resolve().parents[2]
 
 
 def ship(spark: SparkSession) -> None:

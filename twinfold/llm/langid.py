@@ -18,12 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField
 
-from twinfold.llm.frames import add_columns, pick, same_columns, slices, tidy
+from twinfold.llm.frames import add_columns, pick, power_of_two, same_columns, slices, stage, tidy, unstage
 
 #: Lengths of the n-grams, in characters.
 ORDERS = (2, 3, 4)
-#: Positions of the filter, positions of an n-gram, and languages at most.
-POSITIONS, PROBES, MOST_LANGUAGES = 1 << 19, 2, 1024
+#: Positions of the filter, fewer if there are very many languages, and of an n-gram.
+POSITIONS, LEAST_POSITIONS, PROBES = 1 << 19, 1 << 12, 2
+#: Bytes of the filter from which on it gets fewer positions.
+FILTER_BYTES = 64 << 20
 UNDETERMINED = "und"
 
 _U = np.uint64
@@ -37,17 +39,25 @@ def _letters() -> np.ndarray:
 
 
 def _pieces(text: str):
-    """Cut a very long text between words, so that no n-gram is lost."""
-    at = 0
+    """Cut a very long text: ``(piece, carried, whole)``.
+
+    Cuts fall between words. Where no word ends, the next piece begins with the
+    last characters of this one, which ``carried`` counts, and ``whole`` says
+    whether the last word of a piece ends there.
+    """
+    at = carried = 0
+    most = max(ORDERS) - 1
     while len(text) - at > _PIECE:
         end = at + _PIECE
         while end > at + _PIECE // 2 and text[end - 1].isalpha():
             end -= 1
-        if text[end - 1].isalpha():
+        whole = not text[end - 1].isalpha()
+        if not whole:
             end = at + _PIECE
-        yield text[at:end]
-        at = end
-    yield text[at:]
+            whole = not text[end - 1].isalpha()
+        yield text[at - carried : end], carried, whole
+        at, carried = end, 0 if whole else most
+    yield text[at - carried :], carried, True
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -63,28 +73,30 @@ def gram_keys(text: str) -> np.ndarray:
     that span two words are left out.
     """
     found = []
-    for piece in _pieces(text):
-        code = np.frombuffer(f" {piece.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    # in lower case before it is cut, as that can depend on what stands around
+    for piece, carried, whole in _pieces(text.lower()):
+        piece = f"{'' if carried else ' '}{piece}{' ' if whole else ''}"
+        code = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32)
         letter = _letters()[code]
         keep = letter.copy()
         keep[0] = True
         keep[1:] |= letter[:-1]
         c = np.where(letter, code, 32)[keep].astype(_U)
         space = c == 32
-        if len(c) < 3:
-            continue
         rolled = c.copy()
-        inner = np.zeros(len(c) - 1, bool)
+        inner = np.zeros(max(0, len(c) - 1), bool)
         for n in range(2, max(ORDERS) + 1):
+            if len(c) < max(n, 3):
+                break
             # h(n) from h(n - 1) and the next character
             rolled = (rolled[: len(c) - n + 1] * _MULT[0]) + c[n - 1 :]
             inner = inner[: len(c) - n + 1]
             if n > 2:
                 inner = inner | space[n - 2 : len(c) - 1]
             if n in ORDERS:
-                found.append(_mix(rolled[~inner] + _U(n)))
-            if len(c) <= n:
-                break
+                # what ends among the carried characters was in the piece before
+                fresh = max(0, carried - n + 1)
+                found.append(_mix(rolled[fresh:][~inner[fresh:]] + _U(n)))
     return np.concatenate(found) if found else np.zeros(0, _U)
 
 
@@ -149,24 +161,26 @@ def learn(labelled: DataFrame, sample_rows: int = 3000, least_share: float = 0.0
     if ``least_share`` of its rows (three at least, where it has so many) do,
     and if that share is at least ``contrast`` of the n-gram's share in any
     other language. No rows give a filter of no languages.
+
+    There may be any number of languages; the driver holds their names and two
+    counts of each. With very many of them the filter gets fewer positions, so
+    that it stays within ``FILTER_BYTES`` while that leaves it 4,096; the share
+    of false positives then grows, and is taken off as ever.
     """
     spark = labelled.sparkSession
-    sizes = {
-        r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()
-    }
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
     words = max(1, -(-len(languages) // 64))
+    positions = max(LEAST_POSITIONS, min(POSITIONS, FILTER_BYTES // 8 // power_of_two(words)))
     if not languages:
-        return LanguageFilter([], np.zeros((words, POSITIONS), _U))
+        return LanguageFilter([], np.zeros((words, positions), _U))
     number = {name: i for i, name in enumerate(languages)}
     table = spark.createDataFrame(
         [(name, number[name], float(sample_rows) / sizes[name]) for name in languages], "lang string, k int, part double"
     )
     unit = F.shiftrightunsigned(F.xxhash64("doc_id"), 11).cast("double") * F.lit(2.0**-53)
-    # at most MOST_LANGUAGES rows of a name and two numbers
-    sample = labelled.join(F.broadcast(table), "lang").where(unit < F.col("part")).select("k", "text")
+    # a name and two numbers of each language
+    sample = labelled.join(table, "lang").where(unit < F.col("part")).select("k", "text")
 
     def count(batches):
         held: dict[int, list[np.ndarray]] = {}
@@ -194,13 +208,13 @@ def learn(labelled: DataFrame, sample_rows: int = 3000, least_share: float = 0.0
                     held, rows, size = {}, {}, 0
         yield from emit()
 
-    counted = sample.mapInArrow(tidy(count), "k int, gram long, n long").groupBy("gram", "k").agg(F.sum("n").alias("n")).cache()
+    counted = stage(sample.mapInArrow(tidy(count), "k int, gram long, n long").groupBy("gram", "k").agg(F.sum("n").alias("n")))
     seen = {r["k"]: r["n"] for r in counted.where("gram = 0").collect()}  # one row for each language
     totals = spark.createDataFrame([(k, n) for k, n in seen.items()] or [(-1, 1)], "k int, total long")
     share = F.col("n") / F.col("total")
     kept = (
         counted.where("gram != 0")
-        .join(F.broadcast(totals), "k")
+        .join(totals, "k")
         .where((F.col("n") >= F.least(F.lit(3), F.col("total"))) & (share >= least_share))
         .groupBy("gram")
         .agg(F.collect_list(F.struct("k", share.alias("share"))).alias("of"))  # at most one for each language
@@ -217,7 +231,7 @@ def learn(labelled: DataFrame, sample_rows: int = 3000, least_share: float = 0.0
     )
     low, high = F.col("gram").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("gram", 32).bitwiseOR(F.lit(1).cast("long"))
     place = F.explode(
-        F.array(*[(low + F.lit(i).cast("long") * high).bitwiseAND(F.lit(POSITIONS - 1).cast("long")) for i in range(PROBES)])
+        F.array(*[(low + F.lit(i).cast("long") * high).bitwiseAND(F.lit(positions - 1).cast("long")) for i in range(PROBES)])
     )
     slots = (
         kept.select(place.alias("at"), F.floor(F.col("k") / 64).cast("int").alias("word"), F.expr("shiftleft(1L, k % 64)").alias("bit"))
@@ -226,8 +240,8 @@ def learn(labelled: DataFrame, sample_rows: int = 3000, least_share: float = 0.0
     )
     # as many rows as the filter has words, whatever the corpus holds
     found = slots.toArrow()
-    counted.unpersist()
-    masks = np.zeros((words, POSITIONS), _U)
+    unstage(counted)
+    masks = np.zeros((words, positions), _U)
     masks[found["word"].to_numpy(), found["at"].to_numpy()] = found["bits"].to_numpy().view(_U)
     return LanguageFilter(languages, masks)
 
@@ -260,8 +274,11 @@ def identify(docs: DataFrame, model: LanguageFilter) -> DataFrame:
 def keep_identified(docs: DataFrame, model: LanguageFilter, least: float = 0.2) -> DataFrame:
     """The rows whose language is known, with the columns they came with.
 
-    Rejected are ``und`` texts and those with a score below ``least``: fewer
-    of their n-grams than that belong to any learned language.
+    Rejected are ``und`` texts, so all null and empty ones, and those with a
+    score below ``least``: fewer of their n-grams than that belong to any
+    learned language. Equal texts are judged alike, repeated rows stay
+    repeated, very long texts are read whole, an empty table stays empty, and a
+    model without languages rejects all.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.masks))
 

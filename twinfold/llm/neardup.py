@@ -31,8 +31,9 @@ BANDS, ROWS, SKETCH_SAMPLES, SKETCH_BITS = 24, 5, 128, 512
 #: a member of a group weighs as many shingles beside its own, so that a block
 #: has few members however short they are.
 BUCKET_BLOCK, GROUP_BLOCK, MEMBER_WEIGHT = 512, 1_000_000, 4_000
-#: Bits of the filter of wanted ids at most, and for each id.
-MOST_FILTER_BITS, BITS_PER_ID = 1 << 27, 16
+#: Keys that are few enough to be broadcast; for more there is a filter of so
+#: many bits for each, and at most.
+FEW_KEYS, BITS_PER_ID, MOST_FILTER_BITS = 200_000, 16, 1 << 27
 
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(971))
@@ -54,7 +55,7 @@ class _Words(dict):
     """64-bit hashes of words, with a bound on how many are remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -304,6 +305,10 @@ def _across(make):
     return work
 
 
+def _few(keys: DataFrame) -> bool:
+    return keys.limit(FEW_KEYS + 1).count() <= FEW_KEYS
+
+
 def _filter_bits(wanted: DataFrame) -> np.ndarray:
     """A Bloom filter of the hashes ``h``, of bounded size, as 64-bit words.
 
@@ -334,13 +339,12 @@ def _in_filter(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
 
 
 def _sets(shared):
-    """``(node, content)`` of the rows ``(h, text)`` whose hash is in the filter:
-    the whole shingle set, as packed hashes."""
+    """``(node, content)`` of the rows ``(h, text)``, of those whose hash is in
+    the filter if there is one: the whole shingle set, as packed hashes."""
 
     def work(batches):
-        bits = shared.value
         for batch in batches:
-            some = batch.filter(pa.array(_in_filter(batch.column(0).to_numpy(), bits)))
+            some = batch.filter(pa.array(_in_filter(batch.column(0).to_numpy(), shared.value))) if shared else batch
             for part in slices([some], most_rows=512, most_bytes=4 << 20):
                 split = [split_words(t or b"") for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
@@ -454,11 +458,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, slack: float = 0.17, id_
     grouped = group.withColumnRenamed("component", "key").join(nodes.select("node", "doc_id", "n"), "node")
     weight = F.col("n") + MEMBER_WEIGHT
     totals = stage(grouped.groupBy("key").agg(F.sum(weight).alias("members")))
-    # no text is shuffled: the scan drops what the filter does not know, and the
-    # join what it let through by chance
-    bits = docs.sparkSession.sparkContext.broadcast(_filter_bits(grouped.select(F.xxhash64("doc_id").alias("h"))))
+    # no text is shuffled: the scan drops what is not wanted, by the ids if they
+    # are few, else by a filter whose chance hits the join drops
     texts = source.select(F.xxhash64("doc_id").alias("h"), "text")
-    sets = texts.mapInArrow(tidy(_sets(bits), _forget), "node binary, content binary").dropDuplicates(["node"])
+    wanted = stage(grouped.select(F.xxhash64("doc_id").alias("h")).distinct())
+    if _few(wanted):
+        some, bits = texts.join(F.broadcast(wanted), "h", "left_semi"), None
+    else:
+        some, bits = texts, docs.sparkSession.sparkContext.broadcast(_filter_bits(wanted))
+    sets = some.mapInArrow(tidy(_sets(bits), _forget), "node binary, content binary").dropDuplicates(["node"])
     chosen = grouped.join(totals, "key").join(sets.withColumnRenamed("content", "data"), "node")
     chosen = chosen.select("key", "members", "node", "n", "data")
     links = _links(chosen, totals, GROUP_BLOCK, weight, _by_set(percent), held)
@@ -474,7 +482,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, slack: float = 0.17, id_
     result = out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )
-    unstage(nodes, shared, group, totals, found, least, *held)
+    unstage(nodes, shared, group, wanted, totals, found, least, *held)
     return result
 
 
@@ -500,8 +508,9 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     nothing and stay, one row for each id; very long texts are compared whole;
     an empty table stays empty.
 
-    Few documents are shuffled: a filter of bounded size knows the rows that
-    are to go or that repeat, and those it does not know pass the scan.
+    Few documents are shuffled. The keys of rows that are to go or that repeat
+    are broadcast if they are few; else a filter of bounded size knows them,
+    and the rows that it does not know pass the scan.
     """
     at, text = f"_{position(docs, 'doc_id')}", f"_{position(docs, 'text')}"
     plain = docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])
@@ -514,10 +523,17 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     # rows of one key are kept or dropped together
     by_key = judged.groupBy(F.col("doc_id").alias("key")).agg(F.min("kept").alias("kept"), F.count("*").alias("n"))
     doubtful = stage(by_key.where("NOT kept OR n > 1").select("key", "kept"))
-    bits = docs.sparkSession.sparkContext.broadcast(_filter_bits(doubtful.select(F.xxhash64("key").alias("h"))))
-    hashed = rows.withColumn("h", F.xxhash64("key"))
-    clear = hashed.drop("key").mapInArrow(_hashed(bits, False), plain.schema)
-    unclear = hashed.mapInArrow(_hashed(bits, True), rows.schema)
+    if _few(doubtful):
+        known = F.broadcast(doubtful)
+        clear = rows.join(known, "key", "left_anti").select(plain.columns)
+        if doubtful.where("kept").isEmpty():
+            return clear.toDF(*docs.columns)
+        unclear = rows.join(known.where("kept"), "key", "left_semi")
+    else:
+        bits = docs.sparkSession.sparkContext.broadcast(_filter_bits(doubtful.select(F.xxhash64("key").alias("h"))))
+        hashed = rows.withColumn("h", F.xxhash64("key"))
+        clear = hashed.drop("key").mapInArrow(tidy(_hashed(bits, False)), plain.schema)
+        unclear = hashed.mapInArrow(tidy(_hashed(bits, True)), rows.schema)
     # before the join, so that every task drops its copies before they are dealt by key
     first = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64(text)))
     one = unclear.withColumn("first", first).where("first = 1").join(doubtful.where("NOT kept"), "key", "left_anti")

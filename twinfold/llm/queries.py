@@ -98,7 +98,7 @@ OP5_SQL = r"""
 WITH captures AS (
   SELECT page_id, url, CAST(DATE '2023-01-01' + CAST((page_id * 131) % 730 AS INTEGER) AS DATE) AS fetched_on,
          regexp_replace(lower(regexp_extract(url, '{url}', 1)), '\.$', '') AS host,
-         list_filter(string_split(regexp_extract(url, '{url}', 2), '/'), lambda s: s <> '') AS segments,
+         list_filter(string_split(replace(regexp_extract(url, '{url}', 2), '\\', '/'), '/'), lambda s: s <> '') AS segments,
          row_number() OVER () AS tag
   FROM pages),
 hosts AS (SELECT host, min(page_id) AS p, (min(page_id) * 17) % 600 AS d FROM captures WHERE host <> '' GROUP BY host),

@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from twinfold.llm.frames import pick, power_of_two, stage, unstage
 
 
+#: Interchangeable rows that one task numbers.
+PORTION = 4096
+
+
 def _let(value: Column, body) -> Column:
     """Bind a value once for use in several places of an expression."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -76,9 +80,8 @@ def communication_matrix(blocks: DataFrame, n_blocks: int, shard_sizes: list[int
     by a draw, level by level, so each level runs over all ranges in parallel.
     """
     spark, levels, n_shards = blocks.sparkSession, n_blocks.bit_length() - 1, len(shard_sizes)
-    node = spark.range(1).select(
-        F.lit(0).cast("long").alias("block"), F.array(*[F.lit(s).cast("long") for s in shard_sizes]).alias("counts")
-    )
+    # a table, as a literal key would leave a join without a condition
+    node = spark.createDataFrame([(0, shard_sizes)], "block long, counts array<bigint>")
     for level in range(1, levels + 1):
         left = (
             blocks.withColumn("half", F.shiftright("block", levels - level))
@@ -126,28 +129,40 @@ def shuffle_into_shards(
     returns ``doc_id, size, text_crc32, shard, slot``; other columns, clashing
     or not, are ignored. A null text has size 16 and the checksum of no bytes
     (0); a null id, repeated ids and repeated rows are rows like any other; an
-    empty table gives an empty result. The placement is a function of the seed
-    and of the staged row number, so a recomputed task repeats it.
-
-    Blocks and the pieces of a shard hold about ``rows_per_block`` rows each,
-    however skewed the ids or texts are, because both come from the staged
-    row number.
+    empty table gives an empty result. The placement is a function of the seed,
+    the ids and the texts: it does not depend on how the input is partitioned
+    or ordered, and a recomputed task repeats it.
+
+    Rows with one id and text are interchangeable, so they are counted and
+    then numbered, in portions that are dealt to all tasks. Blocks and the
+    pieces of a shard hold about ``rows_per_block`` rows each, however skewed
+    ids or texts are, because both come from a hash of id, text and number.
     """
     text = F.coalesce("text", F.lit(""))
-    base = stage(
-        pick(docs, "doc_id", "text").select(
+    same = ["doc_id", "size", "text_crc32", "hash"]
+    counted_rows = (
+        pick(docs, "doc_id", "text")
+        .select(
             "doc_id",
             (F.octet_length(text).cast("long") + 16).alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
-            F.monotonically_increasing_id().alias("tag"),
+            F.xxhash64(text).alias("hash"),
         )
+        .groupBy(*same)
+        .agg(F.count("*").alias("n"))
     )
+    portion = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {PORTION}"))).alias("portion")
+    portions = counted_rows.select(*same, "n", portion).repartition("hash", "doc_id", "portion")
+    number = F.explode(F.sequence(F.col("portion") * PORTION, F.least(F.col("n"), (F.col("portion") + 1) * PORTION) - 1))
+    numbered = portions.select(*same, number.alias("number"))
+    base = stage(numbered.withColumn("tag", F.xxhash64(F.lit(seed + 2), *same, "number")))
     total = base.count()
     n_blocks = power_of_two(max(least_blocks, total / rows_per_block))
     pieces = power_of_two(max(4, total / n_shards / rows_per_block))
     keyed = base.withColumn("r1", F.xxhash64(F.lit(seed), F.col("tag"))).withColumn(
         "block", F.shiftrightunsigned("r1", 64 - (n_blocks.bit_length() - 1))
     )
+    by = [*same, "number"]  # should two rows share a hash
     sizes = [total // n_shards + (j < total % n_shards) for j in range(n_shards)]
     counted = stage(keyed.groupBy("block").agg(F.count("*").alias("n")))
     matrix = stage(communication_matrix(counted, n_blocks, sizes, seed))
@@ -159,13 +174,14 @@ def shuffle_into_shards(
             lambda a, x: F.concat(a, F.array(x + F.coalesce(F.get(a, F.size(a) - 1), F.lit(0)))),
         ).alias("ends"),
     )
-    within = keyed.withColumn("p", F.row_number().over(Window.partitionBy("block").orderBy("r1", "tag")))
+    within = keyed.withColumn("p", F.row_number().over(Window.partitionBy("block").orderBy("r1", *by)))
     placed = stage(
         within.join(ends, "block").select(
             "doc_id",
             "size",
             "text_crc32",
-            "tag",
+            "hash",
+            "number",
             F.size(F.filter("ends", lambda e: e < F.col("p"))).alias("shard"),
             F.xxhash64(F.lit(seed + 1), F.col("tag")).alias("r2"),
         )
@@ -177,7 +193,7 @@ def shuffle_into_shards(
         .withColumn("offset", F.sum("n").over(Window.partitionBy("shard").orderBy("piece")) - F.col("n"))
         .drop("n")
     )
-    slot = F.row_number().over(Window.partitionBy("shard", "piece").orderBy("r2", "tag")) - 1
+    slot = F.row_number().over(Window.partitionBy("shard", "piece").orderBy("r2", *by)) - 1
     out = placed.withColumn("rank", slot).join(offsets, ["shard", "piece"])
     unstage(base, counted, matrix)
     return out.select(

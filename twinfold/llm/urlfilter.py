@@ -18,9 +18,15 @@ from pyspark.sql import functions as F
 
 from twinfold.llm.frames import pick, position, stage
 
-#: Host and path of a URL: an optional scheme, user and port are dropped, and
-#: the path ends before a query or fragment.
-URL = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)(?::[0-9]*)?(/[^?#]*)?"
+#: Host and path of a URL. Scheme, user and port are dropped, slashes may lean
+#: either way as browsers take them, a host may stand alone or be an address in
+#: brackets, and the path ends before a query or fragment.
+URL = (
+    r"^(?:(?:[A-Za-z][A-Za-z0-9+.-]*:)?[/\\][/\\](?:[^/\\?#@]*@)?)?"
+    r"(\[[0-9A-Fa-f:.%]+\]|[^/\\?#:@\s\[\]]+)(?::[0-9]*)?([/\\][^?#]*)?(?:[?#][\s\S]*)?$"
+)
+#: Rows of the table that drops patterns which no list has, at most.
+FILTER_ROWS = 1 << 20
 
 
 def host(url: Column) -> Column:
@@ -30,7 +36,7 @@ def host(url: Column) -> Column:
 
 def path_segments(url: Column) -> Column:
     """The segments of the path that are not empty."""
-    return F.filter(F.split(F.regexp_extract(url, URL, 2), "/"), lambda s: s != "")
+    return F.filter(F.split(F.regexp_extract(url, URL, 2), r"[/\\]"), lambda s: s != "")
 
 
 def normal_pattern(pattern: Column) -> Column:
@@ -48,7 +54,7 @@ def patterns_of(url: Column, most_segments: int) -> Column:
     prefixes could match nothing.
     """
     name, segments = host(url), path_segments(url)
-    labels = F.split(name, r"\.")
+    labels = F.when(F.startswith(name, F.lit("[")), F.array(name)).otherwise(F.split(name, r"\."))
     domains = F.transform(
         F.sequence(F.lit(1), F.size(labels)), lambda n: F.array_join(F.slice(labels, F.size(labels) - n + 1, n), ".")
     )
@@ -93,9 +99,10 @@ def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     host, and a null day are covered by nothing. Repeated captures are judged
     alike, empty lists block nothing, and no captures give no rows.
 
-    A hot host is no hot task: the as-of join is an inner equi-join on the
-    pattern, whose large partitions are split at run time, and everything
-    after it is keyed by the capture.
+    A hot host is no hot task: the as-of join finds one row for each pattern,
+    which holds its intervals in order, and its large partitions are split at
+    run time; everything after it is keyed by the capture. A pattern has no
+    more intervals than its history has days.
     """
     added = ["n_active", "decided_by", "decided_list", "blocked"]
     source = captures.toDF(*[f"_{i}" for i in range(len(captures.columns))])
@@ -111,12 +118,23 @@ def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
         F.col(f"_{at['fetched_on']}").cast("date").alias("day"),
         F.explode(patterns_of(F.col(f"_{at['url']}"), deepest)).alias("pattern"),
     ).where("day IS NOT NULL")
-    active = asked.join(lists, "pattern").where(
-        (F.col("day") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("day") < F.col("valid_to")))
+    # patterns that no list has go before anything is shuffled; a hash of
+    # bounded range, so that the table of those to keep can be broadcast
+    slot = F.pmod(F.xxhash64("pattern"), F.lit(FILTER_ROWS)).cast("int").alias("slot")
+    asked = asked.withColumn("slot", slot).join(F.broadcast(lists.select(slot).distinct()), "slot", "left_semi")
+    # one row for each pattern, with its intervals as of their beginning
+    spans = lists.groupBy("pattern").agg(
+        F.array_sort(F.collect_list(F.struct("valid_from", "valid_to", "kind", "list"))).alias("spans")
     )
+    day = F.col("day")
+    begun = F.filter("spans", lambda x: (x["valid_from"] <= day) & (x["valid_to"].isNull() | (day < x["valid_to"])))
+    active = asked.join(spans, "pattern").select("tag", "pattern", begun.alias("active")).where(F.size("active") > 0)
     # 'allow' sorts before 'block', and then the smaller list name counts
-    order = F.struct((-F.length("pattern")).alias("short"), "kind", "list", "pattern")
-    hits = active.groupBy("tag").agg(F.count("*").alias("n"), F.min(order).alias("by"))
+    first = F.array_min(F.transform("active", lambda x: F.struct(x["kind"].alias("kind"), x["list"].alias("list"))))
+    by = F.struct((-F.length("pattern")).alias("short"), first.alias("first"), "pattern")
+    hits = active.select("tag", F.size("active").alias("n"), by.alias("by"))
+    hits = hits.groupBy("tag").agg(F.sum("n").alias("n"), F.min("by").alias("by"))
+    hits = hits.select("tag", "n", F.struct("by.pattern", "by.first.list", "by.first.kind").alias("by"))
     out = source.join(hits, "tag", "left")
     return out.select(
         *[F.col(f"_{i}").alias(captures.columns[i]) for i in kept],
