@@ -88,6 +88,28 @@ def test_random_texts(spark):
     assert sorted(r.doc_id for r in clean) == [i for i, (_, hit, _) in enumerate(want) if not hit]
 
 
+def test_rounds_of_a_large_benchmark(spark, monkeypatch):
+    """Items in many rounds of few chunks, with columns that clash."""
+    rng = random.Random(11)
+    make = lambda n: " ".join(rng.choice(["a", "b", "c"]) for _ in range(n))
+    docs = [make(rng.randint(0, 40)) for _ in range(40)] + [None, "", "..."]
+    items = [(str(i), make(rng.randint(0, 9))) for i in range(12)] + [("99", None)]
+    frame = spark.createDataFrame([(i, t, 0, "x") for i, t in enumerate(docs)], "doc_id long, text string, c int, d string")
+    frame = frame.toDF("doc_id", "text", "Items", "TEXT")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    whole = decontam.decontaminate(frame, bench, window=5, longest=True).collect()
+    matches = decontam.longest_matches(frame, bench, least=4).collect()
+    monkeypatch.setattr(decontam, "MOST_CHUNKS", 2)
+    out = decontam.decontaminate(frame, bench, window=5, longest=True, chunk_bytes=20, shard_rows=17)
+    assert out.columns[:3] == ["doc_id", "text", "TEXT"] and out.columns[3:] == decontam.decontaminate(frame, bench, longest=True).columns[3:]
+    plain = lambda rows: sorted((r.doc_id, r.n_words, r.n_hit, r["items"], r.contaminated, r.longest_words, r.longest_at) for r in rows)
+    assert plain(out.collect()) == plain(whole)
+    assert sorted(decontam.longest_matches(frame, bench, least=4, chunk_bytes=20).collect()) == sorted(matches)
+    clean = decontam.remove_contaminated(frame, bench, window=5, chunk_bytes=20)
+    assert clean.columns == frame.columns
+    assert sorted(r[0] for r in clean.collect()) == sorted(r.doc_id for r in whole if not r.n_hit)
+
+
 def test_chunks_are_built_once(monkeypatch):
     """A worker builds the chunks it keeps once, the others once for each slice."""
     built = []

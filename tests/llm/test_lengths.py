@@ -56,4 +56,16 @@ def test_query(spark, small):
 
 def test_empty(made):
     _, frame = made
-    assert lengths.length_histogram(frame.where("false")).count() == 0
+    hist = lengths.length_histogram(frame.where("false"))
+    assert hist.count() == 0
+    assert lengths.truncated_totals(hist, [5]).count() == 0 and lengths.length_quantiles(hist, [0.5]).count() == 0
+
+
+def test_other_columns_may_clash(made):
+    rows, frame = made
+    clashing = frame.selectExpr("g", "n_tokens", "1 AS a", "2 AS b", "3 AS c").toDF("g", "n_tokens", "N_TOKENS", "G", "a.b")
+    hist = lengths.length_histogram(clashing, by=["g"])
+    assert sorted(map(str, hist.collect())) == sorted(map(str, lengths.length_histogram(frame, by=["g"]).collect()))
+    more = hist.selectExpr("*", "1 AS x", "2 AS y").toDF(*hist.columns, "DOCS_BELOW", "Context")
+    assert lengths.truncated_totals(more, [3, 4096], by=["g"]).count() == 6
+    assert lengths.length_quantiles(more, [0.5], by=["g"]).count() == 3

@@ -11,20 +11,17 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from functools import partial, reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import (
-    ArrayType,
-    BooleanType,
-    LongType,
-    StringType,
-    StructField,
-)
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
-from twinfold.llm.frames import add_columns, pick, same_columns, slices, tidy
+from twinfold.llm.frames import add_columns, pick, position, same_columns, slices, stage, tidy, unstage
 
 #: Bytes of text that one suffix array covers at most.
 SHARD_BYTES = 4 << 20
@@ -201,6 +198,18 @@ class Shard:
                 length[ok[better]], place[ok[better]] = n[better], found[better]
         return length, place
 
+    def first_of(self, which: np.ndarray, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of all places that share the first ``length`` words of a suffix the
+        one in the document of least rank, and there the first: document and word."""
+        if not len(which):
+            return which, which
+        low, high = self.bound(which, length, False), self.bound(which, length, True)
+        doc = np.searchsorted(self.begin, self.order, side="right") - 1
+        key = (rank[doc] << 32) + self.order - self.begin[doc]
+        key = np.append(key, np.iinfo(np.int64).max)
+        least = np.minimum.reduceat(key, np.column_stack([low, high]).ravel())[::2]
+        return np.argsort(rank)[least >> 32], least & 0xFFFFFFFF
+
     def longest_at(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each place the length of its longest match with a benchmark
         suffix, and which suffix that is."""
@@ -239,13 +248,14 @@ class Shard:
 class Found:
     """What one shard's documents have in common with the benchmark.
 
-    For each document its words, its hit words, the items found, and its
-    longest verbatim match: words, the word of the document where it begins,
+    For each document its words, its hit words, which words these are (begin
+    and end of each run of them), the items found, and its longest verbatim match: words, the word of the document where it begins,
     the item and the word of the item (0, -1, "", -1 without one).
     """
 
     n_words: np.ndarray
     n_hit: np.ndarray
+    covered: list[np.ndarray]
     items: list[set[str]]
     longest: np.ndarray
     at: np.ndarray
@@ -261,7 +271,7 @@ def _shard_rows(docs: list[bytes], chunks) -> Found:
     hit_marks = np.zeros(int((sizes + 1).sum()) + 1, dtype=np.int64)
     n = len(docs)
     none = np.full(n, -1, np.int64)
-    out = Found(sizes, sizes, [set() for _ in docs], np.zeros(n, np.int64), none, [""] * n, none.copy())
+    out = Found(sizes, sizes, [], [set() for _ in docs], np.zeros(n, np.int64), none, [""] * n, none.copy())
     for bench in chunks:
         known = bench.vocabulary.get
         shard = Shard([[known(w, 0) for w in s] for s in split], bench)
@@ -287,8 +297,13 @@ def _shard_rows(docs: list[bytes], chunks) -> Found:
             if length[i] > out.longest[d] or (length[i] == out.longest[d] and at < out.at[d]):
                 out.longest[d], out.at[d] = length[i], at
                 out.item[d], out.item_at[d] = bench.ids[bench.item[suffix[i]]], bench.first[suffix[i]]
-    hits = np.concatenate(([0], np.cumsum(np.cumsum(hit_marks)[:-1] > 0)))
+    hit = np.cumsum(hit_marks)[:-1] > 0
+    hits = np.concatenate(([0], np.cumsum(hit)))
     out.n_hit = hits[begin + sizes] - hits[begin] if n else sizes
+    # no run crosses a document's end, as the 0 there is never hit
+    edges = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0, append=0))
+    cuts = np.searchsorted(edges, np.append(begin, len(hit)))
+    out.covered = [edges[cuts[i] : cuts[i + 1]] - begin[i] for i in range(n)]
     return out
 
 
@@ -297,12 +312,16 @@ KEPT_CHUNKS = 4
 _suffixes: dict[tuple[str, int], Suffixes] = {}
 
 
-def _broadcast_items(benchmark: DataFrame, id_col: str, window: int, chunk_bytes: int):
-    """Broadcasts of the items in chunks of at most ``chunk_bytes`` of text,
-    each with a name of its own.
+#: Chunks that are broadcast at once. A larger benchmark takes several rounds.
+MOST_CHUNKS = 16
+
+
+def _rounds(benchmark: DataFrame, id_col: str, chunk_bytes: int):
+    """Lists of broadcasts, of as many chunks of items as are broadcast at once.
 
-    The driver streams the items, so neither it nor a worker ever holds more
-    than a few chunks; a benchmark of any size takes more chunks.
+    A chunk has at most ``chunk_bytes`` of text (or one item) and a name of its
+    own. The driver streams the items, so it holds one chunk at a time; there
+    is always a first list.
     """
     sc = benchmark.sparkSession.sparkContext
     rows = pick(benchmark, id_col, "text").where(F.col("text").isNotNull())
@@ -312,9 +331,12 @@ def _broadcast_items(benchmark: DataFrame, id_col: str, window: int, chunk_bytes
         if size and size + len(row.text) > chunk_bytes:
             out.append(sc.broadcast((uuid.uuid4().hex, part)))
             part, size = [], 0
+            if len(out) == MOST_CHUNKS:
+                yield out
+                out = []
         part.append((row.item or "", bytes(row.text)))
         size += len(row.text)
-    return [*out, sc.broadcast((uuid.uuid4().hex, part))]
+    yield [*out, sc.broadcast((uuid.uuid4().hex, part))]
 
 
 def _load(chunks, window: int):
@@ -354,18 +376,92 @@ def remove_contaminated(
     of a shorter item. Null and empty texts have no words and stay, as does
     every row if the benchmark is empty; repeated rows stay or go together,
     very long texts are read whole, and an empty table stays empty.
-    """
-    chunks = _broadcast_items(benchmark, "item_id", window, chunk_bytes)
-
-    def begin():
-        judge = _judge(chunks, window)
 
-        def clean(part, at):
-            return part.filter(pa.array(judge(part.column(at)).longest == 0, pa.bool_()))
-
-        return clean
+    A benchmark of more than ``MOST_CHUNKS`` chunks takes several rounds, each
+    over what the one before kept and wrote down.
+    """
 
-    return same_columns(docs, begin, most_rows=shard_rows, most_bytes=SHARD_BYTES)
+    def clean(docs, chunks):
+        def begin():
+            judge = _judge(chunks, window)
+            return lambda part, at: part.filter(pa.array(judge(part.column(at)).longest == 0, pa.bool_()))
+
+        return same_columns(docs, begin, most_rows=shard_rows, most_bytes=SHARD_BYTES)
+
+    names, written = docs.columns, None
+    rounds = _rounds(benchmark, "item_id", chunk_bytes)
+    chunks = next(rounds)
+    for following in rounds:
+        kept = stage(clean(docs, chunks).toDF(*[f"_{i}" for i in range(len(names))]))
+        if written is not None:
+            unstage(written)
+        for b in chunks:
+            b.destroy()
+        docs, written, chunks = kept.toDF(*names), kept, following
+    return clean(docs, chunks)
+
+
+_LONGEST = [*[StructField(f"longest_{c}", LongType()) for c in ("words", "at", "item_at")], StructField("longest_item", StringType())]
+
+
+def _longest_columns(got: Found) -> list[list]:
+    found = (got.longest > 0).tolist()
+    placed = [[int(x) if f else None for x, f in zip(c, found, strict=True)] for c in (got.at, got.item_at)]
+    return [got.longest.tolist(), *placed, [i if f else None for i, f in zip(got.item, found, strict=True)]]
+
+
+def _in_rounds(texts: DataFrame, rounds, window: int, shard_rows: int) -> DataFrame:
+    """``(tag, n_hit, items, longest_...)`` of those rows ``(tag, text)`` that
+    have a match, by several rounds over them, each of which writes down what
+    it found."""
+    schema = StructType(
+        [
+            StructField("tag", LongType()),
+            StructField("covered", ArrayType(LongType())),
+            StructField("items", ArrayType(StringType())),
+            *_LONGEST,
+        ]
+    )
+    arrow = to_arrow_schema(schema)
+
+    def search(chunks):
+        def work(batches):
+            judge = _judge(chunks, window)
+            for part in slices(batches, most_rows=shard_rows, most_bytes=SHARD_BYTES):
+                got = judge(part.column(1))
+                columns = [part.column(0).to_pylist(), [c.tolist() for c in got.covered], [sorted(i) for i in got.items]]
+                columns += _longest_columns(got)
+                found = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+                yield found.filter(pa.array(got.longest > 0, pa.bool_()))
+
+        return work
+
+    parts = []
+    for chunks in rounds:
+        parts.append(stage(texts.mapInArrow(tidy(search(chunks)), schema)))
+        for b in chunks:
+            b.destroy()
+    every = reduce(DataFrame.union, parts)
+    zero = F.lit(0).cast("long")
+    # begins and ends alternate: pairs, sorted, give the words that any round covers
+    pairs = F.array_sort(F.flatten(F.collect_list(F.transform(
+        F.filter("covered", lambda _, i: i % 2 == 0),
+        lambda x, i: F.struct(x.alias("a"), F.get("covered", i * 2 + 1).alias("b")),
+    ))))
+    union = F.aggregate(
+        "pairs",
+        F.struct(zero.alias("n"), zero.alias("end")),
+        lambda s, p: F.struct(
+            (s["n"] + F.greatest(zero, p["b"] - F.greatest(s["end"], p["a"]))).alias("n"), F.greatest(s["end"], p["b"]).alias("end")
+        ),
+        lambda s: s["n"],
+    )
+    names = [f.name for f in _LONGEST]
+    best = F.max_by(F.struct(*names), F.struct("longest_words", -F.col("longest_at")))
+    merged = every.groupBy("tag").agg(
+        pairs.alias("pairs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), best.alias("best")
+    )
+    return merged.select("tag", union.alias("n_hit"), "items", *[f"best.{n}" for n in names])
 
 
 def decontaminate(
@@ -389,33 +485,50 @@ def decontaminate(
     no words, so they hit nothing and no item without words is found; repeated
     documents and repeated items are each judged alike. Clashing input columns
     are replaced, others pass through; empty tables give no rows or no hits.
+
+    A benchmark of more than ``MOST_CHUNKS`` chunks is searched in rounds, so
+    what is broadcast at once is bounded; the documents are then written down
+    with a number, and what the rounds found is joined to them.
     """
-    chunks = _broadcast_items(benchmark, "item_id", window, chunk_bytes)
+    rounds = _rounds(benchmark, "item_id", chunk_bytes)
+    chunks, following = next(rounds), next(rounds, None)
     added = [
         StructField("n_words", LongType()),
         StructField("n_hit", LongType()),
         StructField("items", ArrayType(StringType())),
         StructField("contaminated", BooleanType()),
+        *_LONGEST * longest,
     ]
-    if longest:
-        added += [StructField(f"longest_{c}", LongType()) for c in ("words", "at", "item_at")]
-        added.append(StructField("longest_item", StringType()))
 
-    def begin():
+    def begin(chunks):
         judge = _judge(chunks, window)
 
         def columns(texts):
             got = judge(texts)
             out = [got.n_words, got.n_hit, [sorted(i) for i in got.items], got.longest > 0]
-            if longest:
-                found = got.longest > 0
-                placed = [[int(x) if f else None for x, f in zip(c, found, strict=True)] for c in (got.at, got.item_at)]
-                out += [got.longest, *placed, [i if f else None for i, f in zip(got.item, found, strict=True)]]
-            return out
+            return out + _longest_columns(got) * longest
 
         return columns
 
-    return add_columns(docs, added, begin, most_rows=shard_rows, most_bytes=SHARD_BYTES)
+    if following is None:
+        return add_columns(docs, added, lambda: begin(chunks), most_rows=shard_rows, most_bytes=SHARD_BYTES)
+    # a tag that a second run could draw differently is written down
+    tagged = docs.toDF(*[f"_{i}" for i in range(len(docs.columns))]).withColumn("tag", F.monotonically_increasing_id())
+    tagged = stage(tagged.withColumn("text", F.col(f"_{position(docs, 'text')}").cast("string")))
+    found = _in_rounds(tagged.select("tag", "text"), chain([chunks, following], rounds), window, shard_rows)
+    count = lambda texts: [[len(words(t or b"")) for t in texts.cast(pa.binary()).to_pylist()]]
+    joined = add_columns(tagged, added[:1], lambda: count).join(found, "tag", "left")
+    taken = {f.name.lower() for f in added}
+    kept = [i for i, c in enumerate(docs.columns) if c.lower() not in taken]
+    out = joined.select(
+        *[F.col(f"_{i}") for i in kept],
+        "n_words",
+        F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+        F.col("n_hit").isNotNull().alias("contaminated"),
+        *[F.coalesce("longest_words", F.lit(0).cast("long")).alias("longest_words"), *[f.name for f in _LONGEST[1:]]] * longest,
+    )
+    return out.toDF(*[docs.columns[i] for i in kept], *[f.name for f in added])
 
 
 def longest_matches(
@@ -426,37 +539,48 @@ def longest_matches(
     One row ``(item_id, item_word, n_words, doc_id, doc_word)`` for each item
     and word where a match of at least ``least`` words begins; of equally long
     matches the smallest ``(doc_id, doc_word)`` counts. Each shard sends one
-    row for each suffix at most, whatever its documents hold.
+    row for each suffix at most, whatever its documents hold. Null and empty
+    texts have no words, items of one id are one item, repeated documents
+    change nothing, empty tables give no rows, other columns are ignored.
     """
-    chunks = _broadcast_items(benchmark, "item_id", least, chunk_bytes)
     out = "item_id string, item_word long, n_words long, doc_id long, doc_word long"
 
-    def work(batches):
+    def search(batches, chunks):
         for part in slices(batches, most_rows=shard_rows, most_bytes=SHARD_BYTES):
             ids = part.column(0).to_pylist()
             split = [words(t or b"") for t in part.column(1).to_pylist()]
+            rank = np.empty(len(ids), np.int64)
+            rank[sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0))] = np.arange(len(ids))
             for bench in _load(chunks, least):
                 known = bench.vocabulary.get
                 shard = Shard([[known(w, 0) for w in s] for s in split], bench)
-                length, place = shard.longest()
+                length, _ = shard.longest()
                 good = np.flatnonzero(length >= least)
-                doc = np.searchsorted(shard.begin, place[good], side="right") - 1
+                doc, word = shard.first_of(good, length[good], rank)
                 first = bench.first[good]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([bench.ids[i] for i in bench.item[good]], pa.string()),
                         pa.array(first, pa.int64()),
                         pa.array(length[good], pa.int64()),
-                        pa.array([ids[d] for d in doc], pa.int64()),
-                        pa.array(place[good] - shard.begin[doc], pa.int64()),
+                        pa.array([ids[d] for d in doc.tolist()], pa.int64()),
+                        pa.array(word, pa.int64()),
                     ],
                     names=["item_id", "item_word", "n_words", "doc_id", "doc_word"],
                 )
 
     rows = pick(docs, "doc_id", "text").select("doc_id", F.col("text").cast("binary").alias("text"))
     best = F.max(F.struct("n_words", (-F.col("doc_id")).alias("d"), (-F.col("doc_word")).alias("w")))
+    parts, rounds = [], _rounds(benchmark, "item_id", chunk_bytes)
+    found = lambda chunks: rows.mapInArrow(tidy(partial(search, chunks=chunks)), out)
+    chunks = next(rounds)
+    for following in rounds:
+        parts.append(stage(found(chunks)))
+        for b in chunks:
+            b.destroy()
+        chunks = following
     return (
-        rows.mapInArrow(tidy(work), out)
+        reduce(DataFrame.union, [*parts, found(chunks)])
         .groupBy("item_id", "item_word")
         .agg(best.alias("b"))
         .select("item_id", "item_word", "b.n_words", (-F.col("b.d")).alias("doc_id"), (-F.col("b.w")).alias("doc_word"))

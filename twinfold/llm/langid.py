@@ -26,6 +26,8 @@ ORDERS = (2, 3, 4)
 POSITIONS, LEAST_POSITIONS, PROBES = 1 << 19, 1 << 12, 2
 #: Bytes of the filter from which on it gets fewer positions.
 FILTER_BYTES = 64 << 20
+#: Languages whose table is broadcast.
+MOST_BROADCAST = 100_000
 UNDETERMINED = "und"
 
 _U = np.uint64
@@ -179,8 +181,9 @@ def learn(labelled: DataFrame, sample_rows: int = 3000, least_share: float = 0.0
         [(name, number[name], float(sample_rows) / sizes[name]) for name in languages], "lang string, k int, part double"
     )
     unit = F.shiftrightunsigned(F.xxhash64("doc_id"), 11).cast("double") * F.lit(2.0**-53)
-    # a name and two numbers of each language
-    sample = labelled.join(table, "lang").where(unit < F.col("part")).select("k", "text")
+    # a name and two numbers of each language; so many names are no larger than the filter
+    small = F.broadcast if len(languages) <= MOST_BROADCAST else (lambda x: x)
+    sample = labelled.join(small(table), "lang").where(unit < F.col("part")).select("k", "text")
 
     def count(batches):
         held: dict[int, list[np.ndarray]] = {}
@@ -214,7 +217,7 @@ def learn(labelled: DataFrame, sample_rows: int = 3000, least_share: float = 0.0
     share = F.col("n") / F.col("total")
     kept = (
         counted.where("gram != 0")
-        .join(totals, "k")
+        .join(small(totals), "k")
         .where((F.col("n") >= F.least(F.lit(3), F.col("total"))) & (share >= least_share))
         .groupBy("gram")
         .agg(F.collect_list(F.struct("k", share.alias("share"))).alias("of"))  # at most one for each language

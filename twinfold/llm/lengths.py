@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinfold.llm.frames import stage
+from twinfold.llm.frames import pick, stage
 
 #: Lengths that one window task sums; the blocks of them are summed apart.
 BLOCK = 4096
@@ -23,7 +23,8 @@ def length_histogram(encoded: DataFrame, by: list[str] = [], length: str = "n_to
     ``docs_at_least`` and ``tokens_at_least`` are suffix sums over the lengths
     from this one on, ``docs_below`` and ``tokens_below`` the prefix sums
     before it. A null length counts as 0, a null in ``by`` is a value of its
-    own, repeated rows count each, and no rows give no rows.
+    own, repeated rows count each, and no rows give no rows. Other columns are
+    ignored, whatever their names.
 
     Lengths are counted before the shuffle, so a hot value of ``by`` costs a
     row for each of its lengths. Windows run within blocks of lengths and over
@@ -31,7 +32,7 @@ def length_histogram(encoded: DataFrame, by: list[str] = [], length: str = "n_to
     """
     # read twice, so the documents must not be encoded twice
     counts = stage(
-        encoded.select(*by, F.coalesce(F.col(length).cast("long"), F.lit(0).cast("long")).alias("n_tokens"))
+        pick(encoded, *by, length).select(*by, F.coalesce(F.col(length).cast("long"), F.lit(0).cast("long")).alias("n_tokens"))
         .groupBy(*by, "n_tokens")
         .agg(F.count("*").alias("n_docs"))
         .withColumn("tokens", F.col("n_docs") * F.col("n_tokens"))
@@ -75,9 +76,12 @@ def truncated_totals(histogram: DataFrame, limits: list[int], by: list[str] = []
     A limit needs one row of each group, that of the next length: documents
     below keep all their tokens, the others as many as the limit. A limit
     beyond the longest document truncates nothing. ``limits`` is a short list;
-    rows ``(*by, context, tokens_kept, docs_truncated)``.
+    rows ``(*by, context, tokens_kept, docs_truncated)``, one for each limit,
+    also of a null group; an empty histogram gives none. The histogram has one
+    row for each length; its other columns are ignored.
     """
-    rows = histogram.withColumn("context", F.explode(F.array(*[F.lit(int(x)) for x in limits]).cast("array<bigint>")))
+    needed = ["n_tokens", "n_docs", "docs_below", "tokens_below", "docs_at_least", "tokens_at_least"]
+    rows = pick(histogram, *by, *needed).withColumn("context", F.explode(F.array(*[F.lit(int(x)) for x in limits]).cast("array<bigint>")))
     reached = F.when(F.col("n_tokens") >= F.col("context"), F.col("n_tokens"))
     longer = F.col("docs_at_least") - F.when(F.col("n_tokens") == F.col("context"), F.col("n_docs")).otherwise(0)
     kept = F.col("tokens_below") + F.col("context") * F.col("docs_at_least")
@@ -95,7 +99,13 @@ def truncated_totals(histogram: DataFrame, limits: list[int], by: list[str] = []
 
 
 def length_quantiles(histogram: DataFrame, shares: list[float], by: list[str] = []) -> DataFrame:  # noqa: B006
-    """For each share in (0, 1] the least length that so many documents have at most."""
+    """For each share in (0, 1] the least length that so many documents have at most.
+
+    Ties and repeated lengths need no rule, as a length is one row of the
+    histogram; a null group has its own quantiles; an empty histogram gives
+    none; other columns are ignored.
+    """
+    histogram = pick(histogram, *by, "n_tokens", "n_docs", "docs_below", "docs_at_least")
     docs = F.col("docs_below") + F.col("docs_at_least")
     wanted = F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("share")
     rows = histogram.select(*by, "n_tokens", "n_docs", "docs_below", docs.alias("all_docs"), wanted)

@@ -30,7 +30,7 @@ BANDS, ROWS, SKETCH_SAMPLES, SKETCH_BITS = 24, 5, 128, 512
 #: Members of a bucket, and shingles of a group, that one task compares at once;
 #: a member of a group weighs as many shingles beside its own, so that a block
 #: has few members however short they are.
-BUCKET_BLOCK, GROUP_BLOCK, MEMBER_WEIGHT = 512, 1_000_000, 4_000
+BUCKET_BLOCK, GROUP_BLOCK, MEMBER_WEIGHT = 512, 1_000_000, 200
 #: Keys that are few enough to be broadcast; for more there is a filter of so
 #: many bits for each, and at most.
 FEW_KEYS, BITS_PER_ID, MOST_FILTER_BITS = 200_000, 16, 1 << 27
@@ -455,13 +455,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, slack: float = 0.17, id_
     held.clear()
 
     # whole sets of the grouped sequences, read again from one row of each
-    grouped = group.withColumnRenamed("component", "key").join(nodes.select("node", "doc_id", "n"), "node")
+    grouped = stage(group.withColumnRenamed("component", "key").join(nodes.select("node", "doc_id", "n"), "node"))
     weight = F.col("n") + MEMBER_WEIGHT
     totals = stage(grouped.groupBy("key").agg(F.sum(weight).alias("members")))
     # no text is shuffled: the scan drops what is not wanted, by the ids if they
     # are few, else by a filter whose chance hits the join drops
     texts = source.select(F.xxhash64("doc_id").alias("h"), "text")
-    wanted = stage(grouped.select(F.xxhash64("doc_id").alias("h")).distinct())
+    wanted = grouped.select(F.xxhash64("doc_id").alias("h"))
     if _few(wanted):
         some, bits = texts.join(F.broadcast(wanted), "h", "left_semi"), None
     else:
@@ -482,7 +482,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, slack: float = 0.17, id_
     result = out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )
-    unstage(nodes, shared, group, wanted, totals, found, least, *held)
+    unstage(nodes, shared, group, grouped, totals, found, least, *held)
     return result
 
 

@@ -376,7 +376,8 @@ def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str =
     """The same rows and columns, secrets in ``text`` replaced by ``mask``.
 
     Overlapping spans are replaced together by one mask. A text without
-    secrets, null or empty, is unchanged.
+    secrets, null or empty, is unchanged. Repeated rows stay repeated, very
+    long texts are scanned whole, and an empty table stays empty.
     """
 
     def masked(text, spans):
