@@ -185,3 +185,13 @@ def test_components(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: root(x) for x in linked}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_only_what_the_result_reads_stays(spark):
+    from twinfold.sources import staging
+
+    before = set(staging._staged)
+    out = neardup.near_duplicates(spark.createDataFrame(made(4)[:80], "doc_id long, text string"))
+    assert out.count() == 80 and len(set(staging._staged) - before) == 2
+    out = neardup.drop_near_duplicates(spark.createDataFrame(made(4)[:80], "doc_id long, text string"))
+    assert out.count() < 80 and len(set(staging._staged) - before) == 3

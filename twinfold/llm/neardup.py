@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from twinfold.llm.components import connected_components
-from twinfold.llm.frames import pick, position, power_of_two, slices, stage, tidy, unstage
+from twinfold.llm.frames import pick, position, power_of_two, scope, slices, stage, tidy, unstage
 
 SHINGLE = 5
 BANDS, ROWS, SKETCH_SAMPLES, SKETCH_BITS = 24, 5, 128, 512
@@ -427,12 +427,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, slack: float = 0.17, id_
     the pair is dropped unconfirmed: five standard deviations. ``id_type`` is
     what ids are cast to; any type with an order will do.
     """
+    with scope() as keep:
+        return _near_duplicates(docs, percent, slack, id_type, keep)
+
+
+def _near_duplicates(docs: DataFrame, percent: int, slack: float, id_type: str, keep) -> DataFrame:
     source = pick(docs, "doc_id", "text").select(F.col("doc_id").cast(id_type), F.col("text").cast("binary").alias("text"))
-    signed = stage(
-        source.mapInArrow(
-            tidy(_signatures, _forget), f"doc_id {id_type}, node binary, n_shingles long, bands array<long>, sketch binary"
-        )
-    )
+    signature_of = f"doc_id {id_type}, node binary, n_shingles long, bands array<long>, sketch binary"
+    signed = keep(stage(source.mapInArrow(tidy(_signatures, _forget), signature_of)))
     some = signed.where("node IS NOT NULL")
     # one row for each distinct word sequence
     nodes = stage(
@@ -474,16 +476,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, slack: float = 0.17, id_
 
     found = stage(nodes.select("node", F.col("doc_id").alias("own")).join(joined, "node", "left"))
     least = stage(found.where("component IS NOT NULL").groupBy("component").agg(F.min("own").alias("least")))
-    named = stage(
-        found.join(least, "component", "left").select("node", F.coalesce("least", "own").alias("component_id"))
-    )
+    named = found.join(least, "component", "left").select("node", F.coalesce("least", "own").alias("component_id"))
+    named = keep(stage(named))
     out = signed.select("doc_id", "node", "n_shingles").join(named, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    result = out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )
-    unstage(nodes, shared, group, grouped, totals, found, least, *held)
-    return result
 
 
 def _hashed(shared, inside: bool):
@@ -519,10 +518,11 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     ordered = F.lpad(F.hex(number.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
     digest = F.coalesce(F.md5(F.col(text).cast("binary")), F.lit(""))
     rows = plain.withColumn("key", F.unhex(F.concat(F.coalesce(F.concat(F.lit("00"), ordered), F.lit("01")), digest)))
-    judged = near_duplicates(rows.select(F.col("key").alias("doc_id"), F.col(text).alias("text")), percent, id_type="binary")
-    # rows of one key are kept or dropped together
-    by_key = judged.groupBy(F.col("doc_id").alias("key")).agg(F.min("kept").alias("kept"), F.count("*").alias("n"))
-    doubtful = stage(by_key.where("NOT kept OR n > 1").select("key", "kept"))
+    with scope() as keep:
+        judged = near_duplicates(rows.select(F.col("key").alias("doc_id"), F.col(text).alias("text")), percent, id_type="binary")
+        # rows of one key are kept or dropped together
+        by_key = judged.groupBy(F.col("doc_id").alias("key")).agg(F.min("kept").alias("kept"), F.count("*").alias("n"))
+        doubtful = keep(stage(by_key.where("NOT kept OR n > 1").select("key", "kept")))
     if _few(doubtful):
         known = F.broadcast(doubtful)
         clear = rows.join(known, "key", "left_anti").select(plain.columns)
