@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinfold.operators.lookup import among, look_up
-from twinfold.sources.staging import stage
+from twinfold.sources.staging import scope, stage
 
 #: Operations in one stretch of a log.
 STRETCH = 65_536
@@ -226,8 +226,10 @@ class HashTable:
         if min(initial) <= 1:
             raise ValueError("the initial size must exceed 1")
         spark = self.log.sparkSession
-        sizes = stage(self.running_sizes())
-        top = sizes.agg(F.max("n")).first()[0]
+        with scope() as keep:
+            sizes = stage(self.running_sizes())
+            top = sizes.agg(F.max("n")).first()[0]
+            ranked = keep(stage(_by_rank(sizes, FOLD)))
         starts = F.explode(F.array(*[F.lit(c).cast("bigint") for c in initial])).alias("init_size")
         if top is None:
             return spark.range(1).select(starts).withColumn("capacity", F.col("init_size"))
@@ -242,7 +244,6 @@ class HashTable:
 
             return F.transform(sizes_so_far, one)
 
-        ranked = stage(_by_rank(sizes, FOLD))
         ops = F.array_sort(F.collect_list(F.struct("seq", "op", "n")))  # about FOLD of them
         maps = ranked.groupBy("part").agg(ops.alias("ops"))
         maps = maps.select("part", F.aggregate("ops", every, step).alias("to"))
