@@ -80,8 +80,10 @@ def communication_matrix(blocks: DataFrame, n_blocks: int, shard_sizes: list[int
     by a draw, level by level, so each level runs over all ranges in parallel.
     """
     spark, levels, n_shards = blocks.sparkSession, n_blocks.bit_length() - 1, len(shard_sizes)
-    # a table, as a literal key would leave a join without a condition
-    node = spark.createDataFrame([(0, shard_sizes)], "block long, counts array<bigint>")
+    # not a literal, as that would leave a join without a condition
+    node = spark.range(1).select(
+        F.col("id").alias("block"), F.array(*[F.lit(s).cast("long") for s in shard_sizes]).alias("counts")
+    )
     for level in range(1, levels + 1):
         left = (
             blocks.withColumn("half", F.shiftright("block", levels - level))
