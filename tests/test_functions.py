@@ -3,6 +3,7 @@
 import hashlib
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +70,31 @@ def test_windows_of_each_row(spark, monkeypatch):
         checksums.rolling_checksums(frame, "k", "d", 0)
 
 
+def test_windows_of_many_values_share_batches(spark, monkeypatch):
+    """The batches of the result follow its windows, not the values they are of."""
+    frame = spark.createDataFrame([(i, chr(97 + i % 26) * (i % 13)) for i in range(3000)], "k long, d string").coalesce(1)
+    made, plain_map = [], type(frame).mapInArrow
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda df, f, *args: made.append(f) or plain_map(df, f, *args))
+    got = [tuple(r) for r in checksums.rolling_checksums(frame, "k", "d", 8).collect()]
+    want = [(r.k, i, weak(r.d[i : i + 8].encode())) for r in frame.collect() for i in range(len(r.d) - 7)]
+    assert got == want
+    values = [b"abcdefgh" + b"i" * (i % 5) for i in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(values, pa.binary())], names=["key", "data"])
+    for rows in (batch, batch.slice(7, 2990)):
+        assert [b.num_rows for b in made[0](iter([rows]))] == [sum(len(v) - 7 for v in rows.column(1).to_pylist())]
+
+
+@pytest.mark.parametrize("length", [1, 3, 40])
+def test_windows_of_mixed_lengths(spark, monkeypatch, length):
+    """Long values are cut, short ones summed together, no window spans two."""
+    monkeypatch.setattr(checksums, "PIECE", 32)
+    data = [bytes((i * 61 + j * j * 7 + 5) % 256 for j in range([0, 1, 3, 2, 39, 200, 40, 5, 32, 33, 97][i % 11])) for i in range(60)]
+    rows = [(str(i % 9), None if i % 10 == 7 else bytearray(d)) for i, d in enumerate(data)]
+    frame = spark.createDataFrame(rows, "k string, d binary").coalesce(1)
+    got = [tuple(r) for r in checksums.rolling_checksums(frame, "k", "d", length).collect()]
+    assert got == [(k, i, weak(bytes(d[i : i + length]))) for k, d in rows for i in range(len(d or b"") - length + 1)]
+
+
 def plain(name, data):
     h, n = {"djb": 5381, "djb2": 5381, "fnv": 2166136261, "js": 1315423911, "ap": 0xAAAAAAAA, "dek": len(data)}.get(name, 0), 63689
     for i, c in enumerate(data):

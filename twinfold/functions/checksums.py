@@ -55,10 +55,12 @@ def rolling_checksums(df: DataFrame, key: str, data: str, length: int) -> DataFr
     """Weak sums of all windows of ``length`` bytes: ``(key, at, checksum)``.
 
     Prefix sums of the bytes and of those sums give every window at once, so no
-    window is read twice; a value is read in pieces, within its row. Values
-    shorter than ``length`` and null ones have no windows; each row has its
-    own, whether or not its key or value is repeated. Other columns are
-    ignored, and the first one keeps its name even if that is ``at``.
+    window is read twice. All values of a batch are summed together, in pieces
+    that bound the memory: the work follows the bytes, however many values they
+    make, and a long value is cut within its row. Values shorter than
+    ``length`` and null ones have no windows; each row has its own, whether or
+    not its key or value is repeated. Other columns are ignored, and the first
+    one keeps its name even if that is ``at``.
     """
     if length < 1:
         raise ValueError("windows must have at least one byte")
@@ -66,25 +68,49 @@ def rolling_checksums(df: DataFrame, key: str, data: str, length: int) -> DataFr
     rows = df.toDF(*[f"_{i}" for i in range(len(df.columns))]).select(
         F.col(f"_{k}").alias("key"), F.col(f"_{d}").cast(BinaryType()).alias("data")
     )
+    # only values that have a window go to Python, where they lie end to end
+    rows = rows.where(F.octet_length("data") >= length)
     piece = PIECE
 
     def work(batches):
         import numpy as np
 
         for batch in batches:
-            for i, value in enumerate(batch.column(1).to_pylist()):
-                raw = np.frombuffer(value or b"", np.uint8)
-                for at in range(0, len(raw) - length + 1, piece):
-                    part = raw[at : at + piece + length - 1].astype(np.int64)
-                    n = len(part) - length + 1
-                    sums = np.concatenate(([0], np.cumsum(part)))  # of the bytes before each place
-                    twice = np.concatenate(([0], np.cumsum(sums)))
-                    a = sums[length:] - sums[:n]
-                    b = twice[length + 1 : length + 1 + n] - twice[1 : n + 1] - sums[:n] * length
-                    keys = batch.column(0).slice(i, 1).take(pa.array(np.zeros(n, np.int64)))
-                    places = pa.array(np.arange(at, at + n, dtype=np.int32))
-                    sums = pa.array((b & 0xFFFF) * 65536 + (a & 0xFFFF))
-                    yield pa.RecordBatch.from_arrays([keys, places, sums], names=["key", "at", "checksum"])
+            if not len(batch):
+                continue
+            values = batch.column(1).cast(pa.large_binary())
+            ends = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+            raw = np.frombuffer(values.buffers()[2], np.uint8)
+            # stretches of windows of one row: which row, from which window on, and how many
+            windows = np.diff(ends) - length + 1
+            cuts = -(-windows // piece)
+            row = np.repeat(np.arange(len(windows)), cuts)
+            at = (np.arange(len(row)) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * piece
+            count = np.minimum(windows[row] - at, piece)
+            begin = ends[row] + at
+            # as many of them together as have the bytes of a whole piece
+            total = np.concatenate(([0], np.cumsum(count + length - 1)))
+            i = 0
+            while i < len(row):
+                j = int(np.searchsorted(total, total[i] + piece + length - 1, "right")) - 1
+                part = raw[begin[i] : begin[j - 1] + count[j - 1] + length - 1]
+                m = len(part) - length + 1
+                # 32 bits may overflow: what is asked for is left modulo 2**16
+                sums = np.zeros(len(part) + 1, np.uint32)  # of the bytes before each place
+                np.cumsum(part, dtype=np.uint32, out=sums[1:])
+                twice = np.cumsum(sums, dtype=np.uint32)
+                a = sums[length:] - sums[:m]
+                b = twice[length:] - twice[:m] - sums[:m] * np.uint32(length & 0xFFFF)
+                # windows across two values are left out
+                n = count[i:j]
+                before = np.cumsum(n) - n
+                step = np.arange(int(n.sum()))
+                found = ((b << 16) | (a & 0xFFFF))[np.repeat(begin[i:j] - begin[i] - before, n) + step]
+                places = np.repeat(at[i:j] - before, n) + step
+                keys = batch.column(0).take(pa.array(np.repeat(row[i:j], n)))
+                columns = [keys, pa.array(places.astype(np.int32)), pa.array(found.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "at", "checksum"])
+                i = j
 
     fields = [rows.schema["key"], StructField("at", IntegerType()), StructField("checksum", LongType())]
     return rows.mapInArrow(work, StructType(fields)).toDF(df.columns[k], "at", "checksum")
